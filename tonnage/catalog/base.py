@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tonnage.functions.scalar import NUDGE
 from tonnage.plans.build import Build
 from tonnage.session import configure
 
@@ -44,11 +45,16 @@ def sql(needs: str, body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered) + "\n" + body
 
 
+def rnd(expression: str, digits: int = 6) -> str:
+    """The SQL twin of `functions.scalar.rounded`."""
+    return f"round(({expression}) * {NUDGE!r}::DOUBLE, {digits}) + 0.0::DOUBLE"
+
+
 def cols(names: str, digits: int | None = None) -> str:
     """Column list; with `digits`, each is rounded (and negative zero removed)."""
     out = []
     for name in names.split():
-        out.append(name if digits is None else f"round({name}, {digits}) + 0.0 AS {name}")
+        out.append(name if digits is None else f"{rnd(name, digits)} AS {name}")
     return ", ".join(out)
 
 

@@ -102,12 +102,19 @@ def strip_prefix(value, prefix: str) -> Column:
     return F.regexp_replace(F.lower(_col(value)), f"^{prefix.lower()}", "")
 
 
-def rounded(df: DataFrame, digits: int = 6, only: Sequence[str] | None = None) -> DataFrame:
-    """Round every double column (or the listed ones) so that results compare across engines."""
+NUDGE = 1.000000000001
+
+
+def rounded(df: DataFrame, digits: int = 6, coarse: dict[str, int] | None = None) -> DataFrame:
+    """Round every double column (`coarse` overrides the digits by name) so that results compare across engines.
+
+    Sums of two-decimal prices often sit exactly on a rounding tie, where the last bit of the sum (and so the
+    summation order) would decide. The nudge moves ties off that point, far above float noise.
+    """
     names = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-    names = names & set(only) if only else names
+    places = {n: digits for n in names} | (coarse or {})
     return df.select(
-        *[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns]
+        *[(F.round(F.col(c) * F.lit(NUDGE), places[c]) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns]
     )
 
 

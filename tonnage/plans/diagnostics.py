@@ -115,12 +115,12 @@ def spc_tbh(mart: DataFrame) -> DataFrame:
     return spc(mart, "tbh", ["line_key"], keep, "tbh", floor=0.0)
 
 
-def spc_quality(mart: DataFrame) -> DataFrame:
+def spc_quality(mart: DataFrame, k: float = 3.0) -> DataFrame:
     keep = (
         "date_key", "product_key", "line_key", "product_code", "grade_family", "line_id", "characteristic", "unit",
         "inspection_count", "mean_value", "conformance_rate",
     )
-    return spc(mart, "mean_value", ["line_key", "characteristic"], keep, "value")
+    return spc(mart, "mean_value", ["line_key", "characteristic"], keep, "value", k=k)
 
 
 def interactions(
