@@ -3,6 +3,7 @@
 from tonnage.catalog import views  # noqa: F401  (defines the CTEs first)
 from tonnage.catalog import star_queries  # noqa: F401
 from tonnage.catalog import relational_queries  # noqa: F401
+from tonnage.catalog import quality_queries  # noqa: F401
 from tonnage.catalog.base import ENTRIES, run
 
 __all__ = ["ENTRIES", "run"]
