@@ -12,6 +12,15 @@ from tonnage.operators import lookup
 from tonnage.plans import audit, contracts, explain, learn, metrics, splits
 from tonnage.plans.contracts import Task
 
+def _saved(b, df):
+    """Training reads its frame many times, so it is written once to the shared folder."""
+    from tonnage.catalog.relational_queries import scratch
+
+    path = f"{scratch(b.spark)}/samples"
+    df.write.mode("overwrite").parquet(path)
+    return b.spark.read.parquet(path)
+
+
 # ---- samples -------------------------------------------------------------------------------------
 view("samples", "", """SELECT o_orderkey AS sample_key, o_orderdate AS snapshot_ts, o_orderdate + to_hours(CAST(floor(o_totalprice / 5000) AS BIGINT)) AS target_available_at_ts,
   o_orderpriority, o_orderstatus, o_custkey, o_totalprice, o_totalprice > 250000 AS expensive FROM orders""")
@@ -284,7 +293,7 @@ def _au(m) -> str:
 
 @query("au1_mechanism_audit", sql("explained", " UNION ALL ".join(_au(m) for m in MECHANISMS)))
 def au1(b):
-    return S.rounded(audit.audit_pairs(explained(b), MECHANISMS))
+    return S.rounded(audit.audit_pairs(_saved(b, explained(b)), MECHANISMS))
 
 
 @query("au2_recovered_mechanisms", sql("explained contrib", f"""SELECT mechanism, associated, associated AND feature_ranked AS recovered, (sum((associated AND feature_ranked)::INT) OVER ()) >= 4 AS enough FROM (
@@ -292,7 +301,7 @@ def au1(b):
   FROM ({' UNION ALL '.join(_au(m) for m in MECHANISMS)}) a) x"""))
 def au2(b):
     expected = b.spark.createDataFrame([(m.name, f) for m in MECHANISMS for f in m.features], "mechanism string, feature string")
-    out = audit.recovered(audit.audit_pairs(explained(b), MECHANISMS), expected, explain.importance_rank(contributions(b)), top=2)
+    out = audit.recovered(audit.audit_pairs(_saved(b, explained(b)), MECHANISMS), expected, explain.importance_rank(contributions(b)), top=2)
     return out.select("mechanism", "associated", "recovered", "enough")
 
 
@@ -330,15 +339,6 @@ def order_samples(b):
     return splits.temporal_split(df, "snapshot_ts", "target_available_at_ts")
 
 
-def _saved(b, df):
-    """Training reads its frame many times, so it is written once to the shared folder."""
-    from tonnage.catalog.relational_queries import scratch
-
-    path = f"{scratch(b.spark)}/samples"
-    df.write.mode("overwrite").parquet(path)
-    return b.spark.read.parquet(path)
-
-
 def _prepared(b, scale):
     data = _saved(b, window_samples(b))
     task = _BY_TASK["downtime_occurrence"]

@@ -85,13 +85,15 @@ def running(
     aggs: Mapping[str, tuple[str, str | Column]],
     descending: bool = False,
     totals: bool = False,
+    own: bool = False,
     parts: int | None = None,
     ranges_from: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running aggregates over `order`, one row per distinct (by, order).
 
     `aggs` maps an output name to (`sum` | `max` | `min`, input). Ties share their value, as in a RANGE
-    frame. With `totals`, `<name>_total` carries the whole group's value. `ranges_from` may name a cheaper frame
+    frame. With `totals`, `<name>_total` carries the whole group's value; with
+    `own`, `<name>_own` carries the value of the order point alone. `ranges_from` may name a cheaper frame
     with the order column (a source before its joins) to place the range borders; they only balance the work.
     """
     by = list(by)
@@ -113,7 +115,8 @@ def running(
 
     direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*by, "__cell").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    local = points.select(*by, order, "__cell", *[combine[k](n).over(inside).alias(n) for n, (k, _) in aggs.items()])
+    alone = [F.col(n).alias(f"{n}_own") for n in aggs] if own else []
+    local = points.select(*by, order, "__cell", *alone, *[combine[k](n).over(inside).alias(n) for n, (k, _) in aggs.items()])
     joined = _cell_join(local, cells, [*by, "__cell"])
 
     def merged(name: str, kind: str) -> Column:
@@ -123,7 +126,9 @@ def running(
         return (F.greatest if kind == "max" else F.least)(before, here)
 
     out = [merged(n, k).alias(n) for n, (k, _) in aggs.items()]
-    return joined.select(*by, order, *out, *([f"{n}_total" for n in aggs] if totals else []))
+    extras = [f"{n}_total" for n in aggs] if totals else []
+    extras += [f"{n}_own" for n in aggs] if own else []
+    return joined.select(*by, order, *out, *extras)
 
 
 def row_numbers(
@@ -184,12 +189,9 @@ def tiles(
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """Distinct (by, value) with the mean rank of its ties and the number of tied rows."""
-    ranked = running(df, by, value, {"__upto": ("sum", F.lit(1))})
-    ties = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__ties"))
-    both = null_safe_join(ranked, ties, [*by, value])
-    return both.select(
-        *by, value, (F.col("__upto") - (F.col("__ties") - 1) / F.lit(2.0)).alias(name), F.col("__ties").alias(f"{name}_ties")
-    )
+    ranked = running(df, by, value, {"__upto": ("sum", F.lit(1))}, own=True)
+    mean = F.col("__upto") - (F.col("__upto_own") - 1) / F.lit(2.0)
+    return ranked.select(*by, value, mean.alias(name), F.col("__upto_own").alias(f"{name}_ties"))
 
 
 def exact_quantiles(

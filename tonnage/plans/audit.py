@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import null_safe_join, safe_corr
@@ -36,20 +36,40 @@ class Mechanism:
     features: tuple[str, ...] = ()
 
 
-def audit_pairs(df: DataFrame, mechanisms: Sequence[Mechanism], threshold: float = 0.08) -> DataFrame:
-    """One row per mechanism: is the association strong enough and of the expected sign?"""
+def audit_pairs(df: DataFrame, mechanisms: Sequence[Mechanism], threshold: float = 0.08, min_rows: int = 20) -> DataFrame:
+    """One row per mechanism: is the association strong enough and of the expected sign?
+
+    Without nulls each column is ranked once and one aggregation correlates all pairs; with nulls the ranks
+    depend on the pair, so each pair is ranked on its own rows.
+    """
+    columns = sorted({c for m in mechanisms for c in (m.signal, m.target)})
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     rows = None
-    for m in mechanisms:
-        row = spearman(df, m.signal, m.target).select(
-            F.lit(m.name).alias("mechanism"),
-            F.lit(m.signal).alias("signal"),
-            F.lit(m.target).alias("target"),
-            "pairs",
-            "rho",
-            F.coalesce((F.abs("rho") >= threshold) & (F.signum("rho") == F.lit(float(m.sign))), F.lit(False)).alias("associated"),
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    if any(gaps):
+        for i, m in enumerate(mechanisms):
+            row = spearman(df, m.signal, m.target, min_rows=min_rows).select(F.lit(i).alias("__i"), "pairs", "rho")
+            rows = row if rows is None else rows.unionByName(row)
+    else:
+        ranked = df.select(*columns)
+        for c in columns:
+            ranked = ranked.join(average_ranks(df.select(c), [], c, f"__rank_{c}").drop(f"__rank_{c}_ties"), c)
+        rhos = [safe_corr(f"__rank_{m.signal}", f"__rank_{m.target}").alias(f"r{i}") for i, m in enumerate(mechanisms)]
+        wide = ranked.agg(F.count(F.lit(1)).alias("pairs"), *rhos)
+        parts = F.array(*[F.struct(F.lit(i).alias("__i"), F.when(F.col("pairs") >= min_rows, F.col(f"r{i}")).alias("rho")) for i in range(len(mechanisms))])
+        rows = wide.select("pairs", F.inline(parts))
+
+    def pick(values) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("__i") + 1)
+
+    strong = (F.abs("rho") >= threshold) & (F.signum("rho") == pick([float(m.sign) for m in mechanisms]))
+    return rows.select(
+        pick([m.name for m in mechanisms]).alias("mechanism"),
+        pick([m.signal for m in mechanisms]).alias("signal"),
+        pick([m.target for m in mechanisms]).alias("target"),
+        "pairs",
+        "rho",
+        F.coalesce(strong, F.lit(False)).alias("associated"),
+    )
 
 
 def recovered(audit: DataFrame, expected: DataFrame, importance: DataFrame, top: int = 20, needed: int = 4) -> DataFrame:

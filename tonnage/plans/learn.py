@@ -145,7 +145,7 @@ def apply_quantiles(scored: DataFrame, overall: DataFrame, segments: DataFrame |
         offsets = [F.coalesce(F.col(n), base[n]) for n in names]
     else:
         offsets = [base[n] for n in names]
-    ordered = F.array_sort(F.array(*[F.col("prediction") + o for o in offsets]))
+    ordered = F.sort_array(F.array(*[F.col("prediction") + o for o in offsets]))
     out = scored.withColumn("__q", ordered)
     return out.withColumns({"p10": F.col("__q")[0], "p50": F.col("__q")[1], "p90": F.col("__q")[2]}).drop("__q", *(names if segments is not None else ()))
 
@@ -153,7 +153,7 @@ def apply_quantiles(scored: DataFrame, overall: DataFrame, segments: DataFrame |
 def platt(calibration: DataFrame) -> LogisticRegressionModel:
     """Sigmoid of a*score + b, fitted on calibration rows."""
     vector = VectorAssembler(inputCols=["score"], outputCol="__score")
-    return LogisticRegression(labelCol="label", featuresCol="__score", regParam=0.0).fit(vector.transform(calibration))
+    return LogisticRegression(labelCol="label", featuresCol="__score", regParam=0.0).fit(vector.transform(calibration.select("label", "score")))
 
 
 def calibrate(scored: DataFrame, model: LogisticRegressionModel) -> DataFrame:

@@ -83,9 +83,8 @@ def confusion_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) ->
 def _curve(df: DataFrame, y: str, p: str, by: Sequence[str], descending: bool) -> DataFrame:
     """Cumulative positives and rows per distinct score, with the positives and rows of the score itself."""
     scored = df.select(*by, clipped(p).alias("__p"), F.col(y).cast("double").alias("__y"))
-    points = scored.groupBy(*by, "__p").agg(F.sum("__y").alias("__pos"), F.count(F.lit(1)).cast("double").alias("__rows"))
-    upto = running(scored, by, "__p", {"__cpos": ("sum", "__y"), "__crows": ("sum", F.lit(1.0))}, descending=descending, totals=True)
-    return null_safe_join(upto, points, [*by, "__p"])
+    upto = running(scored, by, "__p", {"__cpos": ("sum", "__y"), "__crows": ("sum", F.lit(1.0))}, descending=descending, totals=True, own=True)
+    return upto.withColumnsRenamed({"__cpos_own": "__pos", "__crows_own": "__rows"})
 
 
 def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
