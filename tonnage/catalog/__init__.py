@@ -5,6 +5,7 @@ from tonnage.catalog import star_queries  # noqa: F401
 from tonnage.catalog import relational_queries  # noqa: F401
 from tonnage.catalog import quality_queries  # noqa: F401
 from tonnage.catalog import model_queries  # noqa: F401
+from tonnage.catalog import scenario_queries  # noqa: F401
 from tonnage.catalog.base import ENTRIES, run
 
 __all__ = ["ENTRIES", "run"]

@@ -11,15 +11,7 @@ from tonnage.functions import scalar as S
 from tonnage.operators import lookup
 from tonnage.plans import audit, contracts, explain, learn, metrics, splits
 from tonnage.plans.contracts import Task
-
-def _saved(b, df):
-    """Training reads its frame many times, so it is written once to the shared folder."""
-    from tonnage.catalog.relational_queries import scratch
-
-    path = f"{scratch(b.spark)}/samples"
-    df.write.mode("overwrite").parquet(path)
-    return b.spark.read.parquet(path)
-
+from tonnage.sources.scratch import written
 
 # ---- samples -------------------------------------------------------------------------------------
 view("samples", "", """SELECT o_orderkey AS sample_key, o_orderdate AS snapshot_ts, o_orderdate + to_hours(CAST(floor(o_totalprice / 5000) AS BIGINT)) AS target_available_at_ts,
@@ -293,7 +285,7 @@ def _au(m) -> str:
 
 @query("au1_mechanism_audit", sql("explained", " UNION ALL ".join(_au(m) for m in MECHANISMS)))
 def au1(b):
-    return S.rounded(audit.audit_pairs(_saved(b, explained(b)), MECHANISMS))
+    return S.rounded(audit.audit_pairs(written(explained(b)), MECHANISMS))
 
 
 @query("au2_recovered_mechanisms", sql("explained contrib", f"""SELECT mechanism, associated, associated AND feature_ranked AS recovered, (sum((associated AND feature_ranked)::INT) OVER ()) >= 4 AS enough FROM (
@@ -301,7 +293,7 @@ def au1(b):
   FROM ({' UNION ALL '.join(_au(m) for m in MECHANISMS)}) a) x"""))
 def au2(b):
     expected = b.spark.createDataFrame([(m.name, f) for m in MECHANISMS for f in m.features], "mechanism string, feature string")
-    out = audit.recovered(audit.audit_pairs(_saved(b, explained(b)), MECHANISMS), expected, explain.importance_rank(contributions(b)), top=2)
+    out = audit.recovered(audit.audit_pairs(written(explained(b)), MECHANISMS), expected, explain.importance_rank(contributions(b)), top=2)
     return out.select("mechanism", "associated", "recovered", "enough")
 
 
@@ -340,7 +332,7 @@ def order_samples(b):
 
 
 def _prepared(b, scale):
-    data = _saved(b, window_samples(b))
+    data = written(window_samples(b))
     task = _BY_TASK["downtime_occurrence"]
     train, test = splits.task_rows(data, task, "train"), splits.task_rows(data, task, "final_test")
     prep = learn.fit_preprocessor(train, WINDOW_FEATURES, scale=scale)
@@ -356,7 +348,7 @@ def ml9(b):
 
 
 def _minutes(b):
-    data = _saved(b, window_samples(b))
+    data = written(window_samples(b))
     task = Task("minutes", "asset_window", "next_window_downtime_duration_minutes", "regression")
     train, test = splits.task_rows(data, task, "train"), splits.task_rows(data, task, "final_test")
     prep = learn.fit_preprocessor(train, WINDOW_FEATURES, scale=True)
@@ -383,7 +375,7 @@ def ml12(b):
 
 @query("ml13_boosted_trees")
 def ml13(b):
-    data, task = _saved(b, window_samples(b)), _BY_TASK["downtime_duration"]
+    data, task = written(window_samples(b)), _BY_TASK["downtime_duration"]
     fitted = learn.fit(task, data, WINDOW_FEATURES, rounds=10, depth=3)
     return fitted.score(splits.task_rows(data, task, "final_test")).select("sample_key", "label", "prediction")
 
@@ -405,7 +397,7 @@ def ml15(b):
 
 
 def _scored_windows(b):
-    data, task = _saved(b, window_samples(b)), _BY_TASK["downtime_occurrence"]
+    data, task = written(window_samples(b)), _BY_TASK["downtime_occurrence"]
     fitted = learn.fit(task, data, WINDOW_FEATURES, rounds=8, depth=3)
     return fitted, learn.prediction_rows(fitted, data.filter("split = 'final_test'"))
 
@@ -417,7 +409,7 @@ def ml16(b):
 
 @query("snk10_prediction_table")
 def snk10(b):
-    from tonnage.catalog.relational_queries import scratch
+    from tonnage.sources.scratch import scratch
     from tonnage.sources import sinks
 
     path = f"{scratch(b.spark)}/predictions"
@@ -434,7 +426,7 @@ def me7(b):
 
 @query("ml17_run_tasks")
 def ml17(b):
-    frames = {"asset_window": _saved(b, window_samples(b)), "in_process_rolling": _saved(b, tube_samples(b)), "pre_order": _saved(b, order_samples(b))}
+    frames = {"asset_window": written(window_samples(b)), "in_process_rolling": written(tube_samples(b)), "pre_order": written(order_samples(b))}
     features = {"asset_window": WINDOW_FEATURES, "in_process_rolling": TUBE_FEATURES, "pre_order": ORDER_FEATURES}
     by = {"asset_window": ["line_id"], "in_process_rolling": ["product_code", "grade_family", "line_id"], "pre_order": ["product_code", "grade_family", "line_id"]}
     # the point here is the whole task contract, so the trees are small
@@ -443,7 +435,7 @@ def ml17(b):
 
 @query("mx11_backtest_runs")
 def mx11(b):
-    return learn.backtest_runs(_BY_TASK["downtime_occurrence"], _saved(b, window_samples(b)), WINDOW_FEATURES, 3, rounds=3, depth=3)
+    return learn.backtest_runs(_BY_TASK["downtime_occurrence"], written(window_samples(b)), WINDOW_FEATURES, 3, rounds=3, depth=3)
 
 
 @query("rm9_metric_reads")

@@ -151,7 +151,7 @@ _dq("dq23_targets_after_snapshot", lambda b: {"pt6": b.window_labels}, [Rule("ta
 @query("dq24_export_counts")
 def dq24(b):
     """Rows read back from the written files against the source."""
-    from tonnage.catalog.relational_queries import scratch
+    from tonnage.sources.scratch import scratch
     from tonnage.sources import sinks
 
     frames = {t: b.table(t) for t in ("supplier", "part", "orders")}

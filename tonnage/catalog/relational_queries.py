@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,14 +12,7 @@ from tonnage.functions import scalar as S
 from tonnage.operators import asof, lookup, ordered
 from tonnage.plans import contracts
 from tonnage.sources import sinks, tables
-
-
-def scratch(spark) -> str:
-    """A new folder under the shared checkpoint directory; a local one only where none is configured."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/tonnage-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+from tonnage.sources.scratch import scratch
 
 
 # ---- sources -------------------------------------------------------------------------------------

@@ -23,6 +23,7 @@ from tonnage.operators.ordered import exact_quantiles
 from tonnage.plans import metrics
 from tonnage.plans.contracts import Task
 from tonnage.plans.splits import expanding_folds, task_rows
+from tonnage.sources.scratch import written
 
 SEED = 20260818
 
@@ -215,15 +216,15 @@ def baseline_rows(task: Task, train: DataFrame, test: DataFrame, by: Sequence[st
     }
 
 
-def task_metrics(task: Task, model_name: str, scored: DataFrame, key: str = "sample_key") -> DataFrame:
-    """Long metric rows: task, model, metric, value."""
+def task_metrics(task: Task, scored: DataFrame, key: str = "sample_key") -> DataFrame:
+    """Long metric rows (task, model, metric, value); `scored` carries a `model` column, so all models share the jobs."""
     if task.kind == "regression":
-        wide = metrics.regression_metrics(scored, "label", "prediction")
+        wide = metrics.regression_metrics(scored, "label", "prediction", ["model"])
     else:
-        wide = metrics.classification_metrics(scored, "label", "prediction", key)
-    wide = wide.select(*[F.col(c).cast("double").alias(c) for c in wide.columns])
-    long = wide.unpivot([], wide.columns, "metric", "value")
-    return long.select(F.lit(task.name).alias("task"), F.lit(model_name).alias("model"), "metric", "value")
+        wide = metrics.classification_metrics(scored, "label", "prediction", key, ["model"])
+    names = [c for c in wide.columns if c != "model"]
+    long = wide.select("model", *[F.col(c).cast("double").alias(c) for c in names]).unpivot("model", names, "metric", "value")
+    return long.select(F.lit(task.name).alias("task"), "model", "metric", "value")
 
 
 def run_tasks(
@@ -236,12 +237,16 @@ def run_tasks(
         data = frames[task.snapshot]
         fitted = fit(task, data, features[task.snapshot], rounds, depth)
         train, test = task_rows(data, task, "train"), task_rows(data, task, "final_test")
-        scored = {"boosted": fitted.score(test), **baseline_rows(task, train, test, by[task.snapshot])}
-        for name, df in scored.items():
-            if task.kind == "classification" and name == "boosted":
-                df = df.drop("prediction").withColumnRenamed("calibrated_probability", "prediction")
-            rows = task_metrics(task, name, df)
-            out = rows if out is None else out.unionByName(rows)
+        main = fitted.score(test)
+        if task.kind == "classification":
+            main = main.drop("prediction").withColumnRenamed("calibrated_probability", "prediction")
+        models = {"boosted": main, **baseline_rows(task, train, test, by[task.snapshot])}
+        scored = None
+        for name, df in models.items():
+            rows = df.select("sample_key", "label", F.col("prediction").cast("double").alias("prediction"), F.lit(name).alias("model"))
+            scored = rows if scored is None else scored.unionByName(rows)
+        result = task_metrics(task, written(scored, task.name))
+        out = result if out is None else out.unionByName(result)
     return out
 
 
