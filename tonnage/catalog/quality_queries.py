@@ -16,7 +16,7 @@ def _report(df):
     return S.rounded(df.select("check_id", "observed", "status"))
 
 
-def _dq(name, frames, rules, needs, observed):
+def _dq(name, frames, rules, needs, observed, stored=False):
     """`observed` maps check_id to a scalar SQL query; the verdict follows from the rule."""
     parts = []
     for r in rules:
@@ -24,7 +24,7 @@ def _dq(name, frames, rules, needs, observed):
         parts.append(f"SELECT '{r.id}' AS check_id, CAST(o AS DOUBLE) AS observed, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status FROM ({observed[r.id]}) t(o)")
 
     def plan(b):
-        return _report(quality.run_rules(frames(b), rules))
+        return _report(quality.run_rules(frames(b.stored if stored else b), rules))
 
     query(name, sql(needs, " UNION ALL ".join(parts)))(plan)
 
@@ -94,6 +94,7 @@ def _pairs(name, needs, rows):
     parts = [f"SELECT '{i}' AS check_id, {rnd(f'({ls})', 4)} AS observed, CASE WHEN abs(({ls}) - ({rs})) <= greatest(1e-12 * greatest(abs(({ls})), abs(({rs}))), 1e-8) THEN 'PASS' ELSE 'FAIL' END AS status" for i, _, _, _, _, ls, rs in rows]
 
     def plan(b):
+        b = b.stored
         out = [quality.reconcile(i, lf(b), F.expr(lc), rf(b), F.expr(rc)) for i, lf, lc, rf, rc, _, _ in rows]
         return S.rounded(reduce(lambda x, y: x.unionByName(y), out).select("check_id", "observed", "status"), 4)
 
@@ -105,21 +106,21 @@ _pairs("dq12_layer_counts", "fp fe", [
     ("count.energy", lambda b: b.energy_events, "count(1)", lambda b: b.energy, "count(1)", "SELECT 3.0 * count(*)::DOUBLE FROM lineitem", "SELECT count(*)::DOUBLE FROM fe")])
 _GRAINS = {"mt1": ("order_id",), "mt2": ("date_key", "line_key", "shift_key"), "mt4": ("date_key", "product_key", "line_key", "grade_family", "characteristic", "unit")}
 _dq("dq13_grain_unique", lambda b: {"mt1": b.order_mart, "mt2": b.shift_mart, "mt4": b.quality_mart}, [Rule(f"grain.{m}", "key", m, columns=k) for m, k in _GRAINS.items()], "mt1 mt2 mt4",
-    {f"grain.{m}": f"SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM {m} GROUP BY {', '.join(k)}) g" for m, k in _GRAINS.items()})
+    {f"grain.{m}": f"SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM {m} GROUP BY {', '.join(k)}) g" for m, k in _GRAINS.items()}, stored=True)
 _pairs("dq14_reconciliations", "fp fe stops mt1 mt2 mt4 mt5", [
     ("good.order", lambda b: b.production, "sum(good_mass_t)", lambda b: b.order_mart, "sum(good_tonnes)", "SELECT sum(good_mass_t) FROM fp", "SELECT sum(good_tonnes) FROM mt1"),
     ("good.shift", lambda b: b.production, "sum(good_mass_t)", lambda b: b.shift_mart, "sum(good_tonnes)", "SELECT sum(good_mass_t) FROM fp", "SELECT sum(good_tonnes) FROM mt2"),
     ("hours.shift", lambda b: b.production, "sum(productive_hours)", lambda b: b.shift_mart, "sum(productive_hours)", "SELECT sum(productive_hours) FROM fp", "SELECT sum(productive_hours) FROM mt2"),
-    ("energy.order", lambda b: b.energy, "sum(energy_kwh)", lambda b: b.order_mart, "sum(energy_kwh)", "SELECT sum(energy_kwh) FROM fe", "SELECT sum(energy_kwh) FROM mt1"),
-    ("energy.mart", lambda b: b.energy, "sum(energy_kwh)", lambda b: b.energy_mart, "sum(energy_kwh)", "SELECT sum(energy_kwh) FROM fe", "SELECT sum(energy_kwh) FROM mt5"),
+    ("energy.order", lambda b: b.energy_events, "sum(energy_kwh)", lambda b: b.order_mart, "sum(energy_kwh)", "SELECT sum(energy_kwh) FROM fe", "SELECT sum(energy_kwh) FROM mt1"),
+    ("energy.mart", lambda b: b.energy_events, "sum(energy_kwh)", lambda b: b.energy_mart, "sum(energy_kwh)", "SELECT sum(energy_kwh) FROM fe", "SELECT sum(energy_kwh) FROM mt5"),
     ("downtime.shift", lambda b: b.stop_facts, "sum(duration_minutes)", lambda b: b.shift_mart, "sum(unplanned_downtime_minutes)", "SELECT sum(duration_minutes) FROM stops", "SELECT sum(unplanned_downtime_minutes) FROM mt2"),
     ("inspections", lambda b: b.quality, "count(1)", lambda b: b.quality_mart, "sum(inspection_count)", "SELECT count(*)::DOUBLE FROM fq", "SELECT sum(inspection_count)::DOUBLE FROM mt4")])
 _F1, _F2, _F3 = ("abs(tbh - good_tonnes / NULLIF(productive_hours, 0)) > 1e-10",) * 2 + ("abs(mix_adjusted_tbh_gap - (actual_tbh - mix_expected_tbh)) > 1e-10",)
 _dq("dq15_formulas", lambda b: {"mt1": b.order_mart, "mt2": b.shift_mart, "dg2": b.mix}, [Rule("formula.order_tbh", "rows", "mt1", _F1), Rule("formula.shift_tbh", "rows", "mt2", _F2), Rule("formula.mix_gap", "rows", "dg2", _F3)], "mt1 mt2 dg2",
-    {"formula.order_tbh": f"SELECT count(*) FROM mt1 WHERE {_F1}", "formula.shift_tbh": f"SELECT count(*) FROM mt2 WHERE {_F2}", "formula.mix_gap": f"SELECT count(*) FROM dg2 WHERE {_F3}"})
+    {"formula.order_tbh": f"SELECT count(*) FROM mt1 WHERE {_F1}", "formula.shift_tbh": f"SELECT count(*) FROM mt2 WHERE {_F2}", "formula.mix_gap": f"SELECT count(*) FROM dg2 WHERE {_F3}"}, stored=True)
 _BOUNDS = {"mt2": ("fpy", "rework_rate", "scrap_rate", "availability", "performance", "quality", "oee"), "mt8": ("loss_share", "cumulative_loss_share")}
 _dq("dq16_bounds", lambda b: {"mt2": b.shift_mart, "mt8": b.pareto}, [Rule(f"bounds.{t}.{c}", "rows", t, f"{c} NOT BETWEEN 0 AND 1 + 1e-9") for t, cs in _BOUNDS.items() for c in cs], "mt2 mt8",
-    {f"bounds.{t}.{c}": f"SELECT count(*) FROM {t} WHERE {c} NOT BETWEEN 0 AND 1 + 1e-9" for t, cs in _BOUNDS.items() for c in cs})
+    {f"bounds.{t}.{c}": f"SELECT count(*) FROM {t} WHERE {c} NOT BETWEEN 0 AND 1 + 1e-9" for t, cs in _BOUNDS.items() for c in cs}, stored=True)
 _dq("dq17_point_in_time", lambda b: {"pt1": b.pre_order, "pt2": b.in_process, "pt3": b.asset_snapshot}, [Rule(f"leak.{t}", "rows", t, "feature_max_source_ts > snapshot_ts") for t in ("pt1", "pt2", "pt3")], "pt1 pt2 pt3",
     {f"leak.{t}": f"SELECT count(*) FROM {t} WHERE feature_max_source_ts > snapshot_ts" for t in ("pt1", "pt2", "pt3")})
 _pairs("dq19_snapshot_counts", "pt1 pt3 ev cal ev_assets", [
@@ -164,7 +165,7 @@ _dq("dq25_spc_guardrails", lambda b: {"dg3": b.tbh_chart, "dg4": b.quality_chart
     Rule("spc.tbh_order", "rows", "dg3", "NOT (lower_control_tbh <= centerline_tbh AND centerline_tbh <= upper_control_tbh)"), Rule("spc.tbh_support", "rows", "dg3", "control_signal AND NOT limits_reliable"),
     Rule("spc.quality_order", "rows", "dg4", "NOT (lower_control_value <= centerline_value AND centerline_value <= upper_control_value)"), Rule("spc.quality_support", "rows", "dg4", "control_signal AND NOT limits_reliable")], "dg3 dg4",
     {"spc.tbh_order": "SELECT count(*) FROM dg3 WHERE NOT (lower_control_tbh <= centerline_tbh AND centerline_tbh <= upper_control_tbh)", "spc.tbh_support": "SELECT count(*) FROM dg3 WHERE control_signal AND NOT limits_reliable",
-     "spc.quality_order": "SELECT count(*) FROM dg4 WHERE NOT (lower_control_value <= centerline_value AND centerline_value <= upper_control_value)", "spc.quality_support": "SELECT count(*) FROM dg4 WHERE control_signal AND NOT limits_reliable"})
+     "spc.quality_order": "SELECT count(*) FROM dg4 WHERE NOT (lower_control_value <= centerline_value AND centerline_value <= upper_control_value)", "spc.quality_support": "SELECT count(*) FROM dg4 WHERE control_signal AND NOT limits_reliable"}, stored=True)
 _dq("dq26_interaction_cells", lambda b: {"dg5": b.cells}, [Rule("cells.empty", "rows", "dg5", "tube_count <= 0"), Rule("cells.present", "count", "dg5", at_least=1)], "dg5",
     {"cells.empty": "SELECT count(*) FROM dg5 WHERE tube_count <= 0", "cells.present": "SELECT count(*) FROM dg5"})
 

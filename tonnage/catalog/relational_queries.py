@@ -102,12 +102,14 @@ def snk2(b):
 
 @query("snk3_bi_export", sql("mt2 mt3 mt5 mt8", "SELECT 'line_shift_performance' AS table_name, count(*) AS rows FROM mt2 UNION ALL SELECT 'line_shift_summary', count(*) FROM mt3 UNION ALL SELECT 'energy_summary', count(*) FROM mt5 UNION ALL SELECT 'loss_pareto', count(*) FROM mt8"))
 def snk3(b):
+    b = b.stored
     frames = {"line_shift_performance": b.shift_mart, "line_shift_summary": b.shift_summary, "energy_summary": b.energy_mart, "loss_pareto": b.pareto}
     return sinks.export_package(frames, scratch(b.spark))
 
 
 @query("snk4_diagnostic_export", sql("dg1 dg2 dg3", "SELECT 'daily_trend' AS table_name, count(*) AS rows FROM dg1 UNION ALL SELECT 'mix_adjustment', count(*) FROM dg2 UNION ALL SELECT 'spc_tbh', count(*) FROM dg3"))
 def snk4(b):
+    b = b.stored
     return sinks.export_package({"daily_trend": b.trend, "mix_adjustment": b.mix, "spc_tbh": b.tbh_chart}, scratch(b.spark))
 
 

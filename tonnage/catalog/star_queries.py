@@ -252,7 +252,7 @@ _D2D = "good_tonnes productive_hours mix_expected_good_tonnes actual_tbh mix_exp
 
 @query("dg2_mix_adjustment", sql("dg2", f"SELECT {cols('date_key line_key line_id order_count low_support_segment_orders')}, {cols(_D2D, 6)} FROM dg2"))
 def dg2(b):
-    return rounded(b.mix)
+    return rounded(b.stored.mix)
 
 
 @query("dg3_spc_tbh", sql("dg3", f"SELECT {cols('date_key line_key shift_key line_id shift_id baseline_observations baseline_end_date_key limits_reliable control_signal')}, {cols('tbh centerline_tbh lower_control_tbh upper_control_tbh', 6)} FROM dg3"))
@@ -265,7 +265,7 @@ _D4K = "date_key product_key line_key product_code grade_family line_id characte
 
 @query("dg4_spc_quality", sql("dg4", f"SELECT {cols(_D4K)}, {cols('mean_value conformance_rate centerline_value lower_control_value upper_control_value', 5)} FROM dg4"))
 def dg4(b):
-    return rounded(b.quality_chart, 5)
+    return rounded(b.stored.quality_chart, 5)
 
 
 _D5K = "product_code grade_family line_id roll_speed_band thermal_uniformity_band tube_count"
@@ -299,6 +299,7 @@ def dg6(b):
     (SELECT round(s, 6) FROM spread) AS spread_tbh
   FROM fp""".replace("FROM spread", "FROM (SELECT product_code, grade_family, line_id, max(mean_actual_tph) - min(mean_actual_tph) AS s FROM dg5 GROUP BY 1, 2, 3 ORDER BY s DESC, 1, 2, 3 LIMIT 1) z")))
 def dg7(b):
+    b = b.stored
     return diagnostics.diagnostic_summary(b.production, b.mix, b.pareto, b.tbh_chart, b.quality_chart, b.cells)
 
 
@@ -328,13 +329,13 @@ _MONTHKEY = "strftime(strptime(CAST(date_key AS VARCHAR) || '01', '%Y%m%d'), '%Y
 
 @query("rm4_mix_by_date", sql("dg2", f"SELECT {_MONTHKEY} AS full_date, line_id, order_count, {cols('actual_tbh mix_expected_tbh mix_adjusted_tbh_gap', 6)} FROM dg2 ORDER BY 1, 2"))
 def rm4(b):
-    return rounded(day(readmodel.mix_by_date(b.mix), "full_date"))
+    return rounded(day(readmodel.mix_by_date(b.stored.mix), "full_date"))
 
 
 @query("rm5_quality_alerts", sql("dg4_tight", f"""SELECT * FROM (SELECT {_MONTHKEY} AS full_date, line_id, product_code, grade_family, characteristic, {cols('mean_value conformance_rate', 5)}, control_signal
   FROM dg4_tight WHERE limits_reliable AND control_signal) x ORDER BY full_date DESC, line_id, product_code, grade_family, characteristic LIMIT 100"""))
 def rm5(b):
-    return rounded(day(readmodel.quality_alerts(diagnostics.spc_quality(b.quality_mart, k=1.5)), "full_date"), 5)
+    return rounded(day(readmodel.quality_alerts(diagnostics.spc_quality(b.stored.quality_mart, k=1.5)), "full_date"), 5)
 
 
 @query("rm6_tbh_control", sql("dg3", f"SELECT {_MONTHKEY} AS full_date, line_id, shift_id, control_signal, {cols('tbh lower_control_tbh upper_control_tbh', 6)} FROM dg3 WHERE limits_reliable ORDER BY 1, 2, 3"))
@@ -371,7 +372,7 @@ def rm11(b):
 
 @query("rm12_monthly_mix_gap", sql("dg2", f"SELECT {_MONTHKEY} AS month, line_id, round((avg(mix_adjusted_tbh_gap)) * 1.000000000001::DOUBLE, 6) + 0.0 AS mix_adjusted_tbh_gap FROM dg2 GROUP BY 1, 2"))
 def rm12(b):
-    return rounded(day(readmodel.monthly_mix_gap(b.mix), "month"))
+    return rounded(day(readmodel.monthly_mix_gap(b.stored.mix), "month"))
 
 
 @query("rm13_loss_share", sql("mt8", """SELECT loss_type, round((t) * 1.000000000001::DOUBLE, 4) AS loss_tonnes_equivalent, round((t / sum(t) OVER ()) * 1.000000000001::DOUBLE, 6) AS share,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonnage.bindings import SENSORS, Plant
 from tonnage.plans import diagnostics, features, marts, star
+from tonnage.sources.scratch import written
 
 PERIOD = "yyyyMM"  # month keys give the order plant several rows per cell
 
@@ -35,6 +36,15 @@ class Build(Plant):
     def energy(self) -> DataFrame:
         return star.fact_energy(self.energy_events, self.production, PERIOD)
 
+    @cached_property
+    def tube_energy(self) -> DataFrame:
+        return star.energy_totals(self.energy_events, self.production, PERIOD)
+
+    @cached_property
+    def stored(self) -> "StoredBuild":
+        """The same build over facts and marts written once; for plans that read them several times."""
+        return StoredBuild(self.spark, self.sf_dir)
+
     @cached_property
     def quality(self) -> DataFrame:
         return star.fact_quality(self.quality_results, self.production, PERIOD)
@@ -47,11 +57,11 @@ class Build(Plant):
 
     @cached_property
     def order_mart(self) -> DataFrame:
-        return marts.order_performance(self.production, self.energy)
+        return marts.order_performance(self.production, self.tube_energy)
 
     @cached_property
     def shift_mart(self) -> DataFrame:
-        return marts.line_shift_performance(self.production, self.energy, self.stop_facts)
+        return marts.line_shift_performance(self.production, self.tube_energy, self.stop_facts)
 
     @cached_property
     def shift_summary(self) -> DataFrame:
@@ -63,7 +73,7 @@ class Build(Plant):
 
     @cached_property
     def energy_mart(self) -> DataFrame:
-        return marts.energy_summary(self.energy)
+        return marts.energy_summary(self.tube_energy)
 
     @cached_property
     def pareto(self) -> DataFrame:
@@ -87,11 +97,11 @@ class Build(Plant):
 
     @cached_property
     def cells(self) -> DataFrame:
-        return diagnostics.process_interactions(self.production, self.process_parameters, self.quality, self.energy)
+        return diagnostics.process_interactions(self.production, self.process_parameters, self.quality_results, self.energy_events)
 
     @cached_property
     def segment_links(self) -> DataFrame:
-        return diagnostics.segment_associations(self.production, self.process_parameters, self.quality)
+        return diagnostics.segment_associations(self.production, self.process_parameters, self.quality_results)
 
     # event plant
     @cached_property
@@ -154,3 +164,35 @@ class Build(Plant):
     def window_labels(self) -> DataFrame:
         coverage = self.table("events").agg(F.max("ts").alias("t")).scalar()
         return features.next_window_labels(self.windows, self.downtime_events, coverage)
+
+
+class StoredBuild(Build):
+    """Facts and marts as tables: each is written to shared storage on first use and read from there."""
+
+    @property
+    def stored(self) -> "StoredBuild":
+        return self
+
+    @cached_property
+    def production(self) -> DataFrame:
+        return written(Build.production.func(self), "fact_production")
+
+    @cached_property
+    def tube_energy(self) -> DataFrame:
+        return written(Build.tube_energy.func(self), "tube_energy")
+
+    @cached_property
+    def order_mart(self) -> DataFrame:
+        return written(Build.order_mart.func(self), "order_performance")
+
+    @cached_property
+    def shift_mart(self) -> DataFrame:
+        return written(Build.shift_mart.func(self), "line_shift_performance")
+
+    @cached_property
+    def quality_mart(self) -> DataFrame:
+        return written(Build.quality_mart.func(self), "quality_summary")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return written(Build.cells.func(self), "process_interactions")

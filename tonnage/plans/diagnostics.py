@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonnage.functions.scalar import flag, safe_corr, safe_ratio
 from tonnage.operators.ordered import exact_quantiles, tiles
 from tonnage.plans.features import DIMENSIONAL, pivot_characteristics
+from tonnage.sources.scratch import written
 
 
 def period_start(date_key: str = "date_key") -> Column:
@@ -147,6 +148,8 @@ def process_interactions(production: DataFrame, process: DataFrame, quality: Dat
     used = energy.groupBy("tube_id").agg(F.sum("energy_kwh").alias("energy_kwh"))
     made = production.select("tube_id", "product_code", "grade_family", "line_id", "actual_tph", "approved_first_pass", "disposition")
     ranked = made.join(state, "tube_id").join(pivot_characteristics(quality, DIMENSIONAL), "tube_id").join(used, "tube_id")
+    # two rankings read these rows four times
+    ranked = written(ranked, "ranked_tubes")
     means = {
         "mean_wall_eccentricity_pct": "wall_eccentricity_pct",
         "mean_outer_diameter_deviation_mm": "outer_diameter_deviation_mm",

@@ -103,6 +103,13 @@ def fact_energy(energy: DataFrame, production: DataFrame, period: str = "yyyyMMd
     return _with_context(energy, production).withColumn("date_key", period_key("event_ts", period))
 
 
+def energy_totals(energy: DataFrame, production: DataFrame, period: str = "yyyyMMdd") -> DataFrame:
+    """Energy summed per tube and period before the join to production: all the marts need, on fewer rows."""
+    keyed = energy.withColumn("date_key", period_key("event_ts", period))
+    sums = keyed.groupBy("tube_id", "order_id", "date_key").agg(F.sum("energy_kwh").alias("energy_kwh"), F.sum("good_mass_t").alias("good_mass_t"))
+    return _with_context(sums, production)
+
+
 def fact_downtime(downtime: DataFrame, lines: DataFrame, assets: DataFrame, shifts: DataFrame, period: str = "yyyyMMdd") -> DataFrame:
     """Stop fact; the shift follows from the eight-hour block the stop starts in."""
     return (
