@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import add_seconds
+from tonnage.operators.joins import broadcast_if_small
 from tonnage.sources.tables import literal_table
 
 CHARACTERISTICS = (
@@ -49,7 +50,7 @@ class Plant:
         return (
             self.table("lineitem")
             .join(self.table("part").select("p_partkey", "p_brand", "p_type", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(supplier.select("s_suppkey", "r_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(broadcast_if_small(supplier.select("s_suppkey", "r_name"), self.table("supplier")), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.table("orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
             .withColumn("tube_id", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]))
         )
@@ -129,6 +130,7 @@ class Plant:
         """Unplanned stops of the order plant: one per order."""
         places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         customer = self.table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
+        customer = broadcast_if_small(customer, self.table("customer"))
         minutes = F.col("o_totalprice") / 1000.0
         return self.table("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
             F.col("o_orderkey").alias("downtime_event_id"), F.col("r_name").alias("line_id"), F.col("o_orderpriority").alias("shift_id"),

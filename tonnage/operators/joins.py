@@ -1,0 +1,18 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, size_of: DataFrame | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow frame when it is known to have at most `rows` rows; otherwise leave the join to AQE.
+
+    `size_of` may be a cheaper frame that bounds the row count (the base table of a key lookup). Joins of
+    several small tables look large to the static size estimate, which would shuffle the fact side first.
+    """
+    bound = df if size_of is None else size_of
+    return F.broadcast(df) if bound.limit(rows + 1).count() <= rows else df

@@ -41,7 +41,7 @@ def mix_adjustment(orders: DataFrame, minimum_orders: int = 3) -> DataFrame:
         orders.join(baseline, segment)
         .groupBy("date_key", "line_key")
         .agg(
-            F.min("line_id").alias("line_id"),
+            F.min("line_id").alias("line_id"),  # an order's smallest line name need not match its smallest key
             F.sum("good_tonnes").alias("good_tonnes"),
             F.sum("productive_hours").alias("productive_hours"),
             F.sum(F.col("segment_median_tbh") * F.col("productive_hours")).alias("mix_expected_good_tonnes"),

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tonnage.functions.scalar import capped, flag, safe_ratio
 
 SHIFT_GRAIN = ("date_key", "line_key", "shift_key")
+# The names follow from the surrogate keys. As grouping keys they keep the hash aggregation, whereas
+# min(text) would turn it into a sort of all fact rows.
+SHIFT_NAMES = ("line_id", "shift_id")
 
 
 def _production_aggs() -> list[Column]:
@@ -57,7 +60,7 @@ def oee_components(df: DataFrame, rate: float = 42.0) -> DataFrame:
 def line_shift_performance(production: DataFrame, energy: DataFrame, downtime: DataFrame, rate: float = 42.0) -> DataFrame:
     """Date x line x shift KPIs; a cell without energy shows 0 kWh but an unknown intensity."""
     grain = list(SHIFT_GRAIN)
-    made = production.groupBy(*grain).agg(*_carried("line_id", "shift_id"), *_production_aggs())
+    made = production.groupBy(*grain, *SHIFT_NAMES).agg(*_production_aggs())
     used = energy.groupBy(*grain).agg(F.sum("energy_kwh").alias("__kwh"))
     stopped = downtime.groupBy(*grain).agg(F.sum("duration_minutes").alias("__stopped"))
     cells = made.join(used, grain, "left").join(stopped, grain, "left")
@@ -80,7 +83,7 @@ _SUMMED = (
 
 def line_shift_summary(mart: DataFrame, rate: float = 42.0) -> DataFrame:
     """Line x shift; every ratio is recomputed from the sums."""
-    sums = mart.groupBy("line_key", "shift_key").agg(*_carried("line_id", "shift_id"), *[F.sum(c).alias(c) for c in _SUMMED])
+    sums = mart.groupBy("line_key", "shift_key", *SHIFT_NAMES).agg(*[F.sum(c).alias(c) for c in _SUMMED])
     sums = sums.withColumns(
         {
             "tbh": safe_ratio("good_tonnes", "productive_hours"),
@@ -109,8 +112,7 @@ def quality_summary(quality: DataFrame) -> DataFrame:
 def energy_summary(energy: DataFrame, repeats: int = 3) -> DataFrame:
     """Good mass repeats on each of a tube's `repeats` energy rows, hence the division."""
     good = F.sum("good_mass_t") / F.lit(float(repeats))
-    return energy.groupBy(*SHIFT_GRAIN).agg(
-        *_carried("line_id", "shift_id"),
+    return energy.groupBy(*SHIFT_GRAIN, *SHIFT_NAMES).agg(
         F.sum("energy_kwh").alias("energy_kwh"),
         good.alias("good_tonnes"),
         safe_ratio(F.sum("energy_kwh"), good).alias("energy_per_good_tonne_kwh_t"),
@@ -120,8 +122,7 @@ def energy_summary(energy: DataFrame, repeats: int = 3) -> DataFrame:
 def downtime_maintenance(downtime: DataFrame, maintenance: DataFrame, lines: DataFrame) -> DataFrame:
     """Date x line; a day may have stops, interventions or both."""
     grain = ["date_key", "line_key"]
-    stops = downtime.groupBy(*grain).agg(
-        F.min("line_id").alias("__line"),
+    stops = downtime.groupBy(*grain, F.col("line_id").alias("__line")).agg(
         F.count(F.lit(1)).alias("downtime_event_count"),
         F.sum("duration_minutes").alias("unplanned_downtime_minutes"),
         F.sum("production_impact_t").alias("production_impact_t"),
@@ -155,8 +156,7 @@ def downtime_maintenance(downtime: DataFrame, maintenance: DataFrame, lines: Dat
 
 def asset_condition(process: DataFrame, production: DataFrame, stops_and_works: DataFrame) -> DataFrame:
     placed = process.drop("line_id").join(production.select("tube_id", "date_key", "line_key", "line_id"), "tube_id")
-    state = placed.groupBy("date_key", "line_key").agg(
-        F.min("line_id").alias("line_id"),
+    state = placed.groupBy("date_key", "line_key", "line_id").agg(
         F.avg("tool_wear_index").alias("mean_tool_wear_index"),
         F.max("tool_wear_index").alias("maximum_tool_wear_index"),
         F.avg("sensor_degradation_index").alias("mean_sensor_degradation_index"),
@@ -177,8 +177,7 @@ def asset_condition(process: DataFrame, production: DataFrame, stops_and_works:
 def losses(production: DataFrame, downtime: DataFrame) -> DataFrame:
     """Loss rows per cell and type. Rework and scrap come from one pass over production."""
     grain = list(SHIFT_GRAIN)
-    cells = production.groupBy(*grain).agg(
-        *_carried("line_id", "shift_id"),
+    cells = production.groupBy(*grain, *SHIFT_NAMES).agg(
         F.count_if(F.col("disposition") == "REWORK").alias("rework_n"),
         F.sum("rework_mass_t").alias("rework_t"),
         F.count_if(F.col("disposition") == "SCRAP").alias("scrap_n"),
@@ -189,13 +188,10 @@ def losses(production: DataFrame, downtime: DataFrame) -> DataFrame:
         F.struct(F.lit("SCRAP").alias("loss_type"), F.col("scrap_n").alias("event_count"), F.col("scrap_t").alias("loss_tonnes_equivalent")),
     )
     made = cells.select(*grain, "line_id", "shift_id", F.inline(kinds))
-    stops = downtime.groupBy(*grain).agg(
-        *_carried("line_id", "shift_id"),
-        F.lit("UNPLANNED_DOWNTIME").alias("loss_type"),
-        F.count(F.lit(1)).alias("event_count"),
-        F.sum("production_impact_t").alias("loss_tonnes_equivalent"),
+    stops = downtime.groupBy(*grain, *SHIFT_NAMES).agg(
+        F.count(F.lit(1)).alias("event_count"), F.sum("production_impact_t").alias("loss_tonnes_equivalent")
     )
-    return made.unionByName(stops)
+    return made.unionByName(stops.withColumn("loss_type", F.lit("UNPLANNED_DOWNTIME")))
 
 
 def pareto(df: DataFrame, by: Sequence[str], kind: str, value: str) -> DataFrame:
