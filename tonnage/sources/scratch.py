@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint directory; a local one only where none is configured."""
+    """A new folder under `spark.checkpoint.dir`, which all executors share.
+
+    Where that is unset, only a local master (one machine, as in tests) gets a temporary folder: on a cluster
+    each executor would write to its own disk and later reads would miss those files."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared}/tonnage-{os.urandom(8).hex()}"
+        return f"{shared.rstrip('/')}/tonnage-{os.urandom(8).hex()}"
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
