@@ -166,4 +166,4 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _sign(edges: DataFrame) -> tuple:
     mixed_ab = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(mixed_ab, 20)), F.bit_xor(mixed_ab)).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(mixed_ab, F.lit(1 << 20))), F.bit_xor(mixed_ab)).first())

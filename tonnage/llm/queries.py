@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonnage.llm import language_id
+from tonnage.llm import decontaminate, language_id, near_dedup, secret_scan
 from tonnage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,18 @@ def query(plan: Callable[[SparkSession, str], DataFrame]):
 @query
 def op1_language_id(spark, sf_dir):
     return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_secret_scan(spark, sf_dir):
+    return secret_scan.secrets(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
