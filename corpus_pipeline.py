@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonnage.llm import language_id
+from tonnage.llm import decontaminate, language_id, mixing, near_dedup, secret_scan
 from tonnage.llm.common import read, written
 
 
@@ -16,7 +16,33 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return language_id.keep_known(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language_id", known_languages)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies."""
+    return near_dedup.keep_one(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of any benchmark item."""
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets in their texts are replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def at_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a positive rate under the target weights, and that rate."""
+    return mixing.mixed(docs, read(spark, sf_dir, "labels"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_languages),
+    ("near_dedup", one_of_each),
+    ("decontaminate", without_benchmark),
+    ("secret_scan", without_secrets),
+    ("mixing", at_target_weights),
+]
 
 #: Context trees, signatures, randomness tests and fitted rates have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

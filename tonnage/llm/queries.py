@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonnage.llm import decontaminate, language_id, near_dedup, secret_scan
+from tonnage.llm import decontaminate, language_id, mixing, near_dedup, secret_scan
 from tonnage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def op3_decontaminate(spark, sf_dir):
 @query
 def op5_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_mixing(spark, sf_dir):
+    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
