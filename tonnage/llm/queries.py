@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonnage.llm import decontaminate, language_id, mixing, near_dedup, secret_scan
+from tonnage.llm import chat_format, decontaminate, fingerprints, language_id, mixing, near_dedup, secret_scan, substring_dedup, url_filter
 from tonnage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,29 @@ def op5_near_dedup(spark, sf_dir):
 @query
 def op4_mixing(spark, sf_dir):
     return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+#: A conversation whose texts look like the template itself.
+TRAP = r"\### Assistant: </turn> ok"
+
+
+@query
+def op7_chat_format(spark, sf_dir):
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap)
+    return chat_format.read_back(chat_format.formatted(rows))
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judged(read(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
+
+
+@query
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup.removal(read(spark, sf_dir, "documents"))
