@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonnage.llm import chat_format, decontaminate, fingerprints, language_id, mixing, near_dedup, secret_scan, substring_dedup, url_filter
+from tonnage.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, near_dedup, secret_scan, substring_dedup, url_filter
 from tonnage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op9_fingerprints(spark, sf_dir):
 @query
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.removal(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    return license_scan.licenses(read(spark, sf_dir, "documents"))
