@@ -93,7 +93,8 @@ def _bayes(table: DataFrame, label: str) -> Bayes:
     one, zero = F.coalesce(F.col(f"{label}_yes"), F.lit(0)), F.col(f"{label}_n") - F.coalesce(F.col(f"{label}_yes"), F.lit(0))
     p1, p0 = (one + 0.5) / (yes + 1.0), (zero + 0.5) / (no + 1.0)
     odds = F.log(p1) - F.log(p0)
-    z = F.abs(odds) / F.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
+    pooled = (one + zero) / float(max(n, 1))
+    z = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (yes + 1.0) + 1 / (no + 1.0)) + 1e-12)
     used = (F.col("bucket") >= 0) & (F.col(f"{label}_n") >= LEAST_SHARE * n) & (z >= LEAST_Z) & (F.abs(odds) >= LEAST_ODDS)
     best = table.filter(used).select("bucket", odds.alias("odds"), z.alias("z")).orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
     return Bayes(math.log((yes + 0.5) / (no + 0.5)), [Feature(r.bucket, r.odds) for r in best])
@@ -128,14 +129,14 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: floa
     curve = np.zeros((len(DOMAINS), len(DOMAINS)))
     for i, j in pairs:
         curve[i, j] = curve[j, i] = first[f"h{i}{j}"]
-    weight = np.where(curve.diagonal() > 0, 1 / np.maximum(curve.diagonal(), 1e-12), 0.0)  # domains count alike, large or small
-    steepest = float(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * curve * np.sqrt(weight)[None, :]).max())
+    # residuals are whitened by the curvature at the start, so that domains count alike and a step of length 1 is safe
+    weight = np.linalg.pinv(curve, rcond=1e-9, hermitian=True)
     goal = np.array([targets[d] for d in DOMAINS]) * (total if budget is None else budget)
     now, gradients = np.array([first[f"t{i}"] for i in range(len(DOMAINS))]), []
     for _ in range(steps):
         if np.abs(now - goal).max() <= MISS * goal.sum():
             break
-        gradients.append((weight * (now - goal) / steepest).tolist())
+        gradients.append((weight @ (now - goal)).tolist())
         sums = rows.select("__tokens", *p, rate_after(gradients).alias("r")).agg(*[F.sum(n * p[i] * F.col("r")).alias(f"t{i}") for i in range(len(DOMAINS))]).first()
         now = np.array([sums[f"t{i}"] for i in range(len(DOMAINS))])
     return gradients
