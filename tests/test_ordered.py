@@ -1,9 +1,11 @@
 """Range-wise ranks, running totals and quantiles against brute force, including skew and ties."""
 
+import decimal
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tonnage.operators import asof, ordered
@@ -89,3 +91,34 @@ def test_lookback_borders(spark):
     total = lambda closed: asof.lookback_agg(grid, [asof.EventSource(events, "ev", spec, closed)], "k", "at", 7200).first()["s"]
     assert total("right") == 101.0
     assert total("left") == 110.0
+
+
+def hard_keys(kind):
+    """Orders that one double can't tell apart: close large longs and decimals, many nulls, long shared prefixes, heavy values."""
+    rng = random.Random(11)
+    base = 2**60
+    if kind == "long":
+        return [base + rng.choice([0, 0, 0, 1, 2, 3, 700, rng.randrange(10**9)]) for _ in range(2000)], "long"
+    if kind == "decimal":
+        return [None if i % 50 == 0 else decimal.Decimal(base * 10 + rng.choice([1, 1, 2, 3, rng.randrange(500)])) / 10 for i in range(2000)], "decimal(30,1)"
+    if kind == "null":
+        return [None if i % 10 else rng.randrange(100) for i in range(2000)], "long"
+    return [None if i % 40 == 0 else "a" * (i % 2) + "same-prefix-" + rng.choice(["x", "x", "x", str(rng.randrange(1000))]) for i in range(2000)], "string"
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["long", "decimal", "null", "string"])
+def test_row_numbers_with_hard_keys(spark, kind, descending):
+    values, ddl = hard_keys(kind)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {ddl}")
+    got = {r["i"]: r["n"] for r in ordered.row_numbers(df, [], "v", "i", descending=descending, name="n", parts=16).collect()}
+    mine = Window.orderBy(F.col("v").desc() if descending else F.col("v").asc(), "i")
+    assert got == {r["i"]: r["n"] for r in df.select("i", F.row_number().over(mine).alias("n")).collect()}
+
+
+def test_null_heavy_cells_are_cut(spark):
+    df = spark.createDataFrame([(i, None if i % 10 else float(i)) for i in range(4000)], "i int, v double")
+    plan = ordered.row_numbers(df, [], "v", "i", name="n", parts=16)
+    assert plan.count() == 4000
+    splits, heavy = ordered._splits(df, ordered.order_code(df, "v"), 16, isolate_heavy=True)
+    assert 0 in heavy and splits[1] < -1e300

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonnage.functions.scalar import NUDGE
+from tonnage.functions.scalar import TIERS
 from tonnage.plans.build import Build
 from tonnage.session import configure
 
@@ -28,6 +28,23 @@ def view(name: str, needs: str, body: str) -> None:
     VIEWS[name] = (tuple(needs.split()), body)
 
 
+def expanded(text: str) -> str:
+    """`text` with each settled(expression, digits) written out, the twin of `functions.scalar.settled`."""
+    while (at := text.rfind("settled(")) >= 0:  # the last one holds no other
+        depth, end = 1, at + len("settled(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        inner, _, digits = text[at + len("settled(") : end - 1].rpartition(",")
+        arms = []
+        for size, fewer in TIERS:
+            place = int(digits) - fewer
+            value = f"round(({inner}) + {0.02 * 10.0**-place!r}::DOUBLE, {place})"
+            arms.append(f"ELSE {value}" if size is None else f"WHEN abs({inner}) < {10.0 ** (size - int(digits))!r}::DOUBLE THEN {value}")
+        text = f"{text[:at]}(CASE {' '.join(arms)} END){text[end:]}"
+    return text
+
+
 def sql(needs: str, body: str) -> str:
     """`body` preceded by the CTEs it needs, in dependency order."""
     ordered: list[str] = []
@@ -47,7 +64,7 @@ def sql(needs: str, body: str) -> str:
 
 def rnd(expression: str, digits: int = 6) -> str:
     """The SQL twin of `functions.scalar.rounded`."""
-    return f"round(({expression}) * {NUDGE!r}::DOUBLE, {digits}) + 0.0::DOUBLE"
+    return f"settled({expression}, {digits}) + 0.0::DOUBLE"
 
 
 def cols(names: str, digits: int | None = None) -> str:
@@ -62,7 +79,7 @@ def query(name: str, oracle: str | None = None):
     def register(plan: Callable[[Build], DataFrame]):
         if name in ENTRIES:
             raise ValueError(f"query {name} registered twice")
-        ENTRIES[name] = Entry(name, plan, oracle)
+        ENTRIES[name] = Entry(name, plan, oracle if oracle is None else expanded(oracle))
         return plan
 
     return register

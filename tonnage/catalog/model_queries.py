@@ -35,10 +35,9 @@ def assigned(b):
     return splits.temporal_split(samples(b), "snapshot_ts", "target_available_at_ts")
 
 
-@query("ml1_temporal_split", sql("split", f"SELECT sample_key, strftime(snapshot_ts, {TS}) AS snapshot_ts, CASE WHEN split = 'embargo' THEN 'late' ELSE split END AS split FROM split"))
+@query("ml1_temporal_split", sql("split", f"SELECT sample_key, strftime(snapshot_ts, {TS}) AS snapshot_ts, split FROM split"))
 def ml1(b):
-    df = assigned(b).select("sample_key", "snapshot_ts", F.when(F.col("split") == "embargo", "late").otherwise(F.col("split")).alias("split"))
-    return texted(df, "snapshot_ts")
+    return texted(assigned(b).select("sample_key", "snapshot_ts", "split"), "snapshot_ts")
 
 
 @query("ml2_label_embargo", sql("split", "SELECT split, label_available_before_next_window, count(*) AS n FROM split GROUP BY 1, 2"))

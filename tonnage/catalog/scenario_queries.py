@@ -26,7 +26,7 @@ view("emb_long", "emb", " UNION ALL ".join(f"SELECT vec_id, label, '{c}' AS cont
 view("ranges", "emb_long", "SELECT label, control, quantile_cont(value, 0.02) AS p_low, quantile_cont(value, 0.98) AS p_high, median(value) AS mid, stddev_pop(value) AS sd FROM emb_long GROUP BY 1, 2")
 view("medoid", "emb_long ranges", f"""SELECT m.*, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM (
   SELECT label, vec_id, avg(((value - mid) / greatest(sd, 1e-12)) * ((value - mid) / greatest(sd, 1e-12))) AS distance FROM emb_long JOIN ranges USING (label, control) GROUP BY 1, 2) m
-  JOIN (SELECT label, count(*) AS support FROM emb GROUP BY 1 HAVING count(*) >= {MIN_SUPPORT}) s USING (label)""".replace("ranges USING", "ranges USING").replace("FROM emb GROUP", "FROM (SELECT DISTINCT label, vec_id FROM emb_long) d GROUP"))
+  JOIN (SELECT label, count(*) AS support FROM emb GROUP BY 1 HAVING count(*) >= {MIN_SUPPORT}) s USING (label)""".replace("FROM emb GROUP", "FROM (SELECT DISTINCT label, vec_id FROM emb_long) d GROUP"))
 _F = "CASE " + " ".join(f"WHEN control = '{c}' THEN {f}::DOUBLE" for c, f in CHANGE.items()) + " END"
 view("bounds", "emb_long ranges medoid", f"""SELECT *, greatest(lower, current_value - reach) AS decision_lower, least(upper, current_value + reach) AS decision_upper,
   CASE WHEN NOT current_value BETWEEN lower AND upper THEN 'OUTSIDE' WHEN least(upper, current_value + reach) <= greatest(lower, current_value - reach) THEN 'COLLAPSED' ELSE 'OK' END AS status
@@ -160,7 +160,7 @@ _SCEN = {
     "downtime_probability": "avg(l_tax) * 7.0", "downtime_duration_p50": "avg(l_extendedprice) / 900.0", "distance_ratio": "stddev_pop(l_quantity) / 14.6",
 }
 # fixed rounding first: every later comparison then sees the same numbers in both engines
-view("scen", "", "SELECT *, throughput_p50 <= 27 AS within_conditional_bounds FROM (SELECT l_suppkey AS scenario_id, " + ", ".join(f"round(({e.replace('0.9', '0.9::DOUBLE')}) * 1.000000000001::DOUBLE, 6) AS {n}" for n, e in _SCEN.items()) + " FROM lineitem GROUP BY 1) x")
+view("scen", "", "SELECT *, throughput_p50 <= 27 AS within_conditional_bounds FROM (SELECT l_suppkey AS scenario_id, " + ", ".join(f"settled({e.replace('0.9', '0.9::DOUBLE')}, 6) AS {n}" for n, e in _SCEN.items()) + " FROM lineitem GROUP BY 1) x")
 _CONS = {n: (v, "1.0" if k is None else str(sc.LIMITS[k])) for n, (v, k) in sc.CONSTRAINTS.items()}
 view("scored", "scen", f"""SELECT *, {', '.join(f"{v} - {m}::DOUBLE AS constraint_{n}" for n, (v, m) in _CONS.items())}, greatest({', '.join(f"{v} - {m}::DOUBLE" for v, m in _CONS.values())}) <= 1e-9 AND within_conditional_bounds AS hard_constraints_pass,
   -estimated_tbh_proxy AS objective_negative_tbh_proxy, quality_failure_probability AS objective_quality_risk, energy_p50 AS objective_energy, downtime_probability AS objective_downtime_risk,
@@ -171,8 +171,8 @@ OBJECTIVES = (*sc.OBJECTIVES, "objective_intervention_magnitude")
 
 
 def scenario_table(b):
-    aggs = [(F.round(F.expr(e.replace("0.9", "0.9D").replace("1.2", "1.2D").replace("4.9", "4.9D").replace("20.0", "20.0D").replace("23.0", "23.0D").replace("85.0", "85.0D").replace("11.0", "11.0D")
-             .replace("7.0", "7.0D").replace("500.0", "500.0D").replace("900.0", "900.0D").replace("14.6", "14.6D").replace("25.0", "25.0D").replace("30.0", "30.0D")) * F.lit(S.NUDGE), 6)).alias(n) for n, e in _SCEN.items()]
+    aggs = [S.settled(F.expr(e.replace("0.9", "0.9D").replace("1.2", "1.2D").replace("4.9", "4.9D").replace("20.0", "20.0D").replace("23.0", "23.0D").replace("85.0", "85.0D").replace("11.0", "11.0D")
+             .replace("7.0", "7.0D").replace("500.0", "500.0D").replace("900.0", "900.0D").replace("14.6", "14.6D").replace("25.0", "25.0D").replace("30.0", "30.0D")), 6).alias(n) for n, e in _SCEN.items()]
     return b.table("lineitem").groupBy(F.col("l_suppkey").alias("scenario_id")).agg(*aggs).withColumn("within_conditional_bounds", F.col("throughput_p50") <= 27)
 
 
@@ -232,17 +232,27 @@ def sc11(b):
 
 _N = lambda c: f"(({c} - min({c}) OVER ()) / coalesce(NULLIF(max({c}) OVER () - min({c}) OVER (), 0), 1))"
 _UNC = ("throughput_interval_width", "energy_interval_width")
-view("alt_scores", "front", f"""SELECT scenario_id, objective_negative_tbh_proxy AS productivity, {' + '.join(_N(c) for c in OBJECTIVES[1:-1])} + ({_N(_UNC[0])} + {_N(_UNC[1])}) / 2.0::DOUBLE + greatest(distance_ratio, 0.0::DOUBLE) + objective_intervention_magnitude AS conservative,
-  sqrt({' + '.join(_N(c) + ' * ' + _N(c) for c in OBJECTIVES)}) AS balanced FROM front""")
+# recommendations come from the scenarios that keep all hard limits, one of each control setting
+view("feasible", "scored", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY throughput_p50, energy_p50 ORDER BY scenario_id) AS copy FROM scored WHERE hard_constraints_pass) x WHERE copy = 1")
+view("feasible_front", "feasible", f"SELECT * FROM feasible s WHERE NOT EXISTS (SELECT 1 FROM feasible o WHERE {_BEATS})")
+view("alt_scores", "feasible_front", f"""SELECT scenario_id, objective_negative_tbh_proxy AS productivity, {' + '.join(_N(c) for c in OBJECTIVES[1:-1])} + ({_N(_UNC[0])} + {_N(_UNC[1])}) / 2.0::DOUBLE + greatest(distance_ratio, 0.0::DOUBLE) + objective_intervention_magnitude AS conservative,
+  sqrt({' + '.join(_N(c) + ' * ' + _N(c) for c in OBJECTIVES)}) AS balanced FROM feasible_front""")
 view("alt1", "alt_scores", "SELECT scenario_id FROM alt_scores ORDER BY productivity, scenario_id LIMIT 1")
 view("alt2", "alt_scores alt1", "SELECT scenario_id FROM alt_scores WHERE scenario_id NOT IN (SELECT scenario_id FROM alt1) ORDER BY conservative, scenario_id LIMIT 1")
 view("alt3", "alt_scores alt1 alt2", "SELECT scenario_id FROM alt_scores WHERE scenario_id NOT IN (SELECT scenario_id FROM alt1 UNION ALL SELECT scenario_id FROM alt2) ORDER BY balanced, scenario_id LIMIT 1")
 
 
+def feasible_front(b):
+    """Front of the scenarios that keep all hard limits, one of each control setting."""
+    allowed = scored(b).filter("hard_constraints_pass")
+    kept = allowed.groupBy("throughput_p50", "energy_p50").agg(F.min("scenario_id").alias("scenario_id")).select("scenario_id")
+    return skyline(allowed.join(kept, "scenario_id", "left_semi"), OBJECTIVES, "scenario_id")
+
+
 def alternatives(b):
     from tonnage.sources.scratch import written
 
-    scores = written(sc.alternative_scores(front(b), OBJECTIVES, _UNC, "distance_ratio", "objective_intervention_magnitude"), "scores")
+    scores = written(sc.alternative_scores(feasible_front(b), OBJECTIVES, _UNC, "distance_ratio", "objective_intervention_magnitude"), "scores")
     return sc.select_alternatives(scores, "scenario_id", [], ["estimated_tbh_proxy", "quality_failure_probability", "energy_p50"])
 
 
@@ -360,7 +370,7 @@ def _sw_rows(df):
     return S.rounded(micro, 5, {"slope_micro": 3})
 
 
-@query("sw1_window_summary", SW_SQL.replace("round(slope * 1e6, 3) + 0.0", "round(round(slope * 1e6, 3) * 1.000000000001::DOUBLE, 3) + 0.0"))
+@query("sw1_window_summary", SW_SQL.replace("round(slope * 1e6, 3) + 0.0", "settled(round(slope * 1e6, 3), 3) + 0.0"))
 def sw1(b):
     return _sw_rows(window_summary(b.table("events"), "user_id", "event_type", "ts", "value", 1.0, 60.0, width="1 day"))
 

@@ -156,7 +156,7 @@ def mt8(b):
 
 # ---- measures ------------------------------------------------------------------------------------
 def _measure_query(name, mart, by, needs, table, exprs, digits=6):
-    body = ", ".join(f"round(({e}) * 1.000000000001::DOUBLE, {digits}) + 0.0 AS {n}" for n, e in exprs.items())
+    body = ", ".join(f"settled({e}, {digits}) + 0.0 AS {n}" for n, e in exprs.items())
     text = sql(needs, f"SELECT {by}, {body} FROM {table} GROUP BY {by}")
 
     def plan(b):
@@ -312,14 +312,14 @@ def rm1(b):
     return rounded(day(readmodel.executive_trend(b.trend), "full_date"))
 
 
-@query("rm2_line_summary", sql("mt2", """SELECT line_id, CAST(sum(tube_count) AS BIGINT) AS tube_count, round((sum(good_tonnes) / NULLIF(sum(productive_hours), 0)) * 1.000000000001::DOUBLE, 6) AS tbh,
-  round((sum(good_tonnes) / NULLIF(sum(total_tonnes), 0)) * 1.000000000001::DOUBLE, 6) AS quality, round((sum(energy_kwh) / NULLIF(sum(good_tonnes), 0)) * 1.000000000001::DOUBLE, 6) AS energy_per_good_tonne_kwh_t,
-  round((sum(unplanned_downtime_minutes)) * 1.000000000001::DOUBLE, 5) AS unplanned_downtime_minutes, round((sum(oee * tube_count) / NULLIF(sum(tube_count), 0)) * 1.000000000001::DOUBLE, 6) AS oee FROM mt2 GROUP BY 1 ORDER BY 1"""))
+@query("rm2_line_summary", sql("mt2", """SELECT line_id, CAST(sum(tube_count) AS BIGINT) AS tube_count, settled(sum(good_tonnes) / NULLIF(sum(productive_hours), 0), 6) AS tbh,
+  settled(sum(good_tonnes) / NULLIF(sum(total_tonnes), 0), 6) AS quality, settled(sum(energy_kwh) / NULLIF(sum(good_tonnes), 0), 6) AS energy_per_good_tonne_kwh_t,
+  settled(sum(unplanned_downtime_minutes), 5) AS unplanned_downtime_minutes, settled(sum(oee * tube_count) / NULLIF(sum(tube_count), 0), 6) AS oee FROM mt2 GROUP BY 1 ORDER BY 1"""))
 def rm2(b):
     return rounded(readmodel.line_summary(b.shift_mart), 6, {"unplanned_downtime_minutes": 5})
 
 
-@query("rm3_loss_pareto", sql("mt8", "SELECT loss_type, CAST(sum(event_count) AS BIGINT) AS event_count, round((sum(loss_tonnes_equivalent)) * 1.000000000001::DOUBLE, 4) AS loss_tonnes_equivalent FROM mt8 GROUP BY 1 ORDER BY 3 DESC"))
+@query("rm3_loss_pareto", sql("mt8", "SELECT loss_type, CAST(sum(event_count) AS BIGINT) AS event_count, settled(sum(loss_tonnes_equivalent), 4) AS loss_tonnes_equivalent FROM mt8 GROUP BY 1 ORDER BY 3 DESC"))
 def rm3(b):
     return rounded(readmodel.loss_totals(b.pareto), 4)
 
@@ -348,7 +348,7 @@ def rm7(b):
     return rounded(day(readmodel.asset_condition_by_date(b.condition_mart), "full_date"))
 
 
-@query("rm8_interactions_and_associations", sql("dg5 dg6", f"""SELECT * FROM (SELECT product_code, grade_family, line_id, roll_speed_band, thermal_uniformity_band, {cols('mean_actual_tph fpy', 6)}, round((association_roll_speed_tph) * 1.000000000001::DOUBLE, 6) + 0.0 AS association_roll_speed_tph
+@query("rm8_interactions_and_associations", sql("dg5 dg6", f"""SELECT * FROM (SELECT product_code, grade_family, line_id, roll_speed_band, thermal_uniformity_band, {cols('mean_actual_tph fpy', 6)}, settled(association_roll_speed_tph, 6) + 0.0 AS association_roll_speed_tph
   FROM dg5 JOIN dg6 USING (product_code, grade_family, line_id)) x ORDER BY 1, 2, 3, 4, 5"""))
 def rm8(b):
     keys = ["product_code", "grade_family", "line_id"]
@@ -357,38 +357,38 @@ def rm8(b):
     return rounded(linked.orderBy(*keys, "roll_speed_band", "thermal_uniformity_band"))
 
 
-@query("rm10_monthly_by_line", sql("dg1", """SELECT strftime(date_trunc('month', full_date), '%Y-%m-%d') AS month, line_id, round((sum(good_tonnes)) * 1.000000000001::DOUBLE, 6) AS good_tonnes, round((sum(productive_hours)) * 1.000000000001::DOUBLE, 6) AS productive_hours,
-  round((sum(energy_kwh)) * 1.000000000001::DOUBLE, 6) AS energy_kwh, round((avg(fpy)) * 1.000000000001::DOUBLE, 6) AS unweighted_fpy, round((sum(good_tonnes) / NULLIF(sum(productive_hours), 0)) * 1.000000000001::DOUBLE, 6) AS tbh,
-  round((sum(energy_kwh) / NULLIF(sum(good_tonnes), 0)) * 1.000000000001::DOUBLE, 6) AS energy_per_good_tonne_kwh_t FROM dg1 GROUP BY 1, 2"""))
+@query("rm10_monthly_by_line", sql("dg1", """SELECT strftime(date_trunc('month', full_date), '%Y-%m-%d') AS month, line_id, settled(sum(good_tonnes), 6) AS good_tonnes, settled(sum(productive_hours), 6) AS productive_hours,
+  settled(sum(energy_kwh), 6) AS energy_kwh, settled(avg(fpy), 6) AS unweighted_fpy, settled(sum(good_tonnes) / NULLIF(sum(productive_hours), 0), 6) AS tbh,
+  settled(sum(energy_kwh) / NULLIF(sum(good_tonnes), 0), 6) AS energy_per_good_tonne_kwh_t FROM dg1 GROUP BY 1, 2"""))
 def rm10(b):
     return rounded(day(readmodel.monthly_by_line(b.trend), "month"))
 
 
-@query("rm11_line_tbh", sql("dg1", """SELECT line_id, round((sum(good_tonnes)) * 1.000000000001::DOUBLE, 5) AS good_tonnes, round((sum(productive_hours)) * 1.000000000001::DOUBLE, 5) AS productive_hours, round((sum(good_tonnes) / NULLIF(sum(productive_hours), 0)) * 1.000000000001::DOUBLE, 5) AS tbh
+@query("rm11_line_tbh", sql("dg1", """SELECT line_id, settled(sum(good_tonnes), 5) AS good_tonnes, settled(sum(productive_hours), 5) AS productive_hours, settled(sum(good_tonnes) / NULLIF(sum(productive_hours), 0), 5) AS tbh
   FROM dg1 WHERE shift_id = '1-URGENT' AND full_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1"""))
 def rm11(b):
     return rounded(readmodel.line_tbh(b.trend, shift="1-URGENT", start="1996-01-01", end="1999-12-31"), 5)
 
 
-@query("rm12_monthly_mix_gap", sql("dg2", f"SELECT {_MONTHKEY} AS month, line_id, round((avg(mix_adjusted_tbh_gap)) * 1.000000000001::DOUBLE, 6) + 0.0 AS mix_adjusted_tbh_gap FROM dg2 GROUP BY 1, 2"))
+@query("rm12_monthly_mix_gap", sql("dg2", f"SELECT {_MONTHKEY} AS month, line_id, settled(avg(mix_adjusted_tbh_gap), 6) + 0.0 AS mix_adjusted_tbh_gap FROM dg2 GROUP BY 1, 2"))
 def rm12(b):
     return rounded(day(readmodel.monthly_mix_gap(b.stored.mix), "month"))
 
 
-@query("rm13_loss_share", sql("mt8", """SELECT loss_type, round((t) * 1.000000000001::DOUBLE, 4) AS loss_tonnes_equivalent, round((t / sum(t) OVER ()) * 1.000000000001::DOUBLE, 6) AS share,
-  round((sum(t) OVER (ORDER BY t DESC, loss_type ROWS UNBOUNDED PRECEDING) / sum(t) OVER ()) * 1.000000000001::DOUBLE, 6) AS cumulative_share FROM (SELECT loss_type, sum(loss_tonnes_equivalent) AS t FROM mt8 GROUP BY 1) x"""))
+@query("rm13_loss_share", sql("mt8", """SELECT loss_type, settled(t, 4) AS loss_tonnes_equivalent, settled(t / sum(t) OVER (), 6) AS share,
+  settled(sum(t) OVER (ORDER BY t DESC, loss_type ROWS UNBOUNDED PRECEDING) / sum(t) OVER (), 6) AS cumulative_share FROM (SELECT loss_type, sum(loss_tonnes_equivalent) AS t FROM mt8 GROUP BY 1) x"""))
 def rm13(b):
     return rounded(readmodel.loss_share(b.pareto), 6, {"loss_tonnes_equivalent": 4})
 
 
-@query("rm14_executive_card", sql("dg1", """SELECT round((sum(good_tonnes) / greatest(sum(productive_hours), 1e-12)) * 1.000000000001::DOUBLE, 6) AS tbh, round((sum(fpy * tube_count) / greatest(sum(tube_count), 1e-12)) * 1.000000000001::DOUBLE, 6) AS fpy,
-  round((sum(oee * tube_count) / greatest(sum(tube_count), 1e-12)) * 1.000000000001::DOUBLE, 6) AS oee, round((sum(energy_kwh) / greatest(sum(good_tonnes), 1e-12)) * 1.000000000001::DOUBLE, 6) AS energy_per_good_tonne_kwh_t,
-  round((sum(unplanned_downtime_minutes)) * 1.000000000001::DOUBLE, 4) AS unplanned_downtime_minutes, round((sum(good_tonnes)) * 1.000000000001::DOUBLE, 4) AS good_tonnes FROM dg1"""))
+@query("rm14_executive_card", sql("dg1", """SELECT settled(sum(good_tonnes) / greatest(sum(productive_hours), 1e-12), 6) AS tbh, settled(sum(fpy * tube_count) / greatest(sum(tube_count), 1e-12), 6) AS fpy,
+  settled(sum(oee * tube_count) / greatest(sum(tube_count), 1e-12), 6) AS oee, settled(sum(energy_kwh) / greatest(sum(good_tonnes), 1e-12), 6) AS energy_per_good_tonne_kwh_t,
+  settled(sum(unplanned_downtime_minutes), 4) AS unplanned_downtime_minutes, settled(sum(good_tonnes), 4) AS good_tonnes FROM dg1"""))
 def rm14(b):
     return rounded(readmodel.executive_card(b.trend), 6, {"unplanned_downtime_minutes": 4, "good_tonnes": 4})
 
 
-@query("rm15_interaction_heatmap", sql("dg5", """SELECT product_code, grade_family, thermal_uniformity_band, round((avg(mean_actual_tph) FILTER (roll_speed_band = 1)) * 1.000000000001::DOUBLE, 6) AS speed_1,
-  round((avg(mean_actual_tph) FILTER (roll_speed_band = 2)) * 1.000000000001::DOUBLE, 6) AS speed_2, round((avg(mean_actual_tph) FILTER (roll_speed_band = 3)) * 1.000000000001::DOUBLE, 6) AS speed_3 FROM dg5 GROUP BY 1, 2, 3"""))
+@query("rm15_interaction_heatmap", sql("dg5", """SELECT product_code, grade_family, thermal_uniformity_band, settled(avg(mean_actual_tph) FILTER (roll_speed_band = 1), 6) AS speed_1,
+  settled(avg(mean_actual_tph) FILTER (roll_speed_band = 2), 6) AS speed_2, settled(avg(mean_actual_tph) FILTER (roll_speed_band = 3), 6) AS speed_3 FROM dg5 GROUP BY 1, 2, 3"""))
 def rm15(b):
     return rounded(readmodel.interaction_heatmap(b.cells, "mean_actual_tph"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -99,23 +100,35 @@ def close_to(left, right, relative: float = 1e-12, absolute: float = 1e-8) -> Co
 
 
 def strip_prefix(value, prefix: str) -> Column:
-    return F.regexp_replace(F.lower(_col(value)), f"^{prefix.lower()}", "")
+    return F.regexp_replace(F.lower(_col(value)), f"^{re.escape(prefix.lower())}", "")
 
 
-NUDGE = 1.000000000001
+#: Magnitudes from which on three and six digits fewer are compared, as powers of ten above the last digit.
+TIERS = ((11, 0), (14, 3), (None, 6))
 
 
-def rounded(df: DataFrame, digits: int = 6, coarse: dict[str, int] | None = None) -> DataFrame:
-    """Round every double column (`coarse` overrides the digits by name) so that results compare across engines.
+def settled(value, digits: int) -> Column:
+    """`value` rounded for a comparison across engines, with fewer digits where a double holds fewer.
 
-    Sums of two-decimal prices often sit exactly on a rounding tie, where the last bit of the sum (and so the
-    summation order) would decide. The nudge moves ties off that point, far above float noise.
+    Sums of prices often lie exactly between two rounded values, where the order of summation would decide; a fiftieth
+    of the last digit lifts them off that point, and everything else rounds as it would.
     """
+    column, out = _col(value), None
+    for size, fewer in TIERS:
+        place = digits - fewer
+        rounded_here = F.round(column + F.lit(0.02 * 10.0**-place), place)
+        if size is None:
+            return out.otherwise(rounded_here)
+        inside = F.abs(column) < F.lit(10.0 ** (size - digits))
+        out = F.when(inside, rounded_here) if out is None else out.when(inside, rounded_here)
+    return out
+
+
+def rounded(df: DataFrame, digits: int = 6, coarse: dict[str, int] | None = None) -> DataFrame:
+    """Settle every double column (`coarse` overrides the digits by name); only for comparisons, plans return plain values."""
     names = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
     places = {n: digits for n in names} | (coarse or {})
-    return df.select(
-        *[(F.round(F.col(c) * F.lit(NUDGE), places[c]) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns]
-    )
+    return df.select(*[(settled(c, places[c]) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def text_ts(ts) -> Column:

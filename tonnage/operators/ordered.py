@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import epoch_micros, null_safe_join
 
-_LOSSLESS = {"double", "float", "integer", "short", "byte", "date", "timestamp", "timestamp_ntz", "boolean", "long"}
+#: Types whose order codes differ wherever their values do; others have a second code for values that share the first.
+_LOSSLESS = {"double", "float", "integer", "short", "byte", "date", "boolean"}
+_LOWEST = -1.7976931348623157e308
 
 
 def range_count(df: DataFrame) -> int:
-    """As many ranges as the session uses shuffle partitions: the user's own sizing knob."""
-    return max(2, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """As many ranges as the session uses shuffle partitions: the user's own sizing knob, which follows the data."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def _shared_prefix(df: DataFrame, column: str) -> int:
@@ -38,7 +40,7 @@ def _shared_prefix(df: DataFrame, column: str) -> int:
 
 
 def order_code(df: DataFrame, column: str) -> Column:
-    """A double that never decreases when `column` grows; nulls come first."""
+    """A double that never decreases when `column` grows; nulls come first, at minus infinity, and alone there."""
     kind = df.schema[column].dataType.typeName()
     value = F.col(column)
     if kind in ("timestamp", "timestamp_ntz"):
@@ -46,16 +48,37 @@ def order_code(df: DataFrame, column: str) -> Column:
     elif kind == "date":
         code = F.unix_date(value).cast("double")
     elif kind == "string":
-        tail = F.substring(value, _shared_prefix(df, column) + 1, 1_000_000)
-        code = F.conv(F.substring(F.rpad(F.hex(tail.cast("binary")), 12, "0"), 1, 12), 16, 10).cast("double")
+        code = _bytes_code(value, _shared_prefix(df, column), 0)
     else:
         code = value.cast("double")
+    return F.when(code.isNull(), float("-inf")).otherwise(F.greatest(code, F.lit(_LOWEST)))
+
+
+def _bytes_code(value: Column, prefix: int, skip: int) -> Column:
+    """Six bytes of a string as a number, after `prefix` characters (ASCII) and `skip` bytes."""
+    tail = F.hex(F.substring(value, prefix + 1, 1_000_000).cast("binary"))
+    return F.conv(F.substring(F.rpad(tail, 2 * skip + 12, "0"), 2 * skip + 1, 12), 16, 10).cast("double")
+
+
+def second_code(df: DataFrame, column: str) -> Column | None:
+    """A double that never decreases among values of one order code; None where one code means one value."""
+    kind = df.schema[column].dataType.typeName()
+    value = F.col(column)
+    if kind in _LOSSLESS:
+        return None
+    if kind == "string":
+        code = _bytes_code(value, _shared_prefix(df, column), 6)
+    elif kind == "decimal":
+        code = F.try_subtract(value, value.cast("double").try_cast(df.schema[column].dataType)).cast("double")
+    else:
+        whole = epoch_micros(value) if kind in ("timestamp", "timestamp_ntz") else value
+        code = (whole.cast("decimal(38,0)") - whole.cast("double").cast("decimal(38,0)")).cast("double")
     return F.coalesce(code, F.lit(float("-inf")))
 
 
 def _splits(df: DataFrame, code: Column, parts: int, isolate_heavy: bool) -> tuple[list[float], set[int]]:
     """Range borders (a bounded driver-side list) and the ranges that hold one heavy value only."""
-    sample = df.select(code.alias("c")).filter(F.col("c") > float("-inf"))
+    sample = df.select(code.alias("c"))
     points = sample.approxQuantile("c", [i / parts for i in range(1, parts)], 0.5 / parts) if parts > 1 else []
     heavy = {p for p in points if points.count(p) > 1} if isolate_heavy else set()
     borders = set(points)
@@ -147,30 +170,40 @@ def row_numbers(
     parts = parts or range_count(df)
     source = df if ranges_from is None else ranges_from
     code = order_code(source, order)
-    lossless = df.schema[order].dataType.typeName() in _LOSSLESS
-    splits, heavy = _splits(source, code, parts, isolate_heavy=bool(tie) and lossless)
-    cut = _cut(df, code, splits, "__cell")
+    finer = second_code(source, order)
+    splits, heavy = _splits(source, code, parts, isolate_heavy=bool(tie) or finer is not None)
+    cut = _cut(df, code, splits, "__cell").withColumns({"__mid": F.lit(0), "__sub": F.lit(0)})
     if heavy:
-        tie_code = order_code(source, tie)
-        tie_splits, _ = _splits(source, tie_code, parts, isolate_heavy=False)
-        cut = _cut(cut, tie_code, tie_splits, "__sub")
-        cut = cut.withColumn("__sub", F.when(F.col("__cell").isin(*heavy), F.col("__sub")).otherwise(F.lit(0)))
-    else:
-        cut = cut.withColumn("__sub", F.lit(0))
-
-    cells = cut.groupBy(*by, "__cell", "__sub").agg(F.count(F.lit(1)).alias("__n"))
-    step = F.col("__cell").desc() if descending else F.col("__cell").asc()
-    earlier = Window.partitionBy(*by).orderBy(step, "__sub").rowsBetween(Window.unboundedPreceding, -1)
+        # a heavy code is cut again: by what tells its values apart, then, where one value is left, by the tie-break key
+        one_value = F.col("__cell").isin(*heavy)
+        if finer is not None:
+            crowded = source.withColumn("__c", code)
+            crowded = _cut(crowded, F.col("__c"), splits, "__cell").filter(one_value)
+            mid_splits, single = _splits(crowded, finer, parts, isolate_heavy=bool(tie))
+            cut = _cut(cut.drop("__mid"), finer, mid_splits, "__mid").withColumn("__mid", F.when(one_value, F.col("__mid")).otherwise(0))
+            same = F.col(order).isNull()
+            if single and df.schema[order].dataType.typeName() != "string":  # a residual and its code make one value
+                same = same | F.col("__mid").isin(*single)
+            one_value = one_value & same
+        if tie:
+            tie_code = order_code(source, tie)
+            tie_splits, _ = _splits(source, tie_code, parts, isolate_heavy=False)
+            cut = _cut(cut.drop("__sub"), tie_code, tie_splits, "__sub")
+            cut = cut.withColumn("__sub", F.when(one_value, F.col("__sub")).otherwise(0))
+
+    cells = cut.groupBy(*by, "__cell", "__mid", "__sub").agg(F.count(F.lit(1)).alias("__n"))
+    step = [F.col(c).desc() if descending else F.col(c).asc() for c in ("__cell", "__mid")]
+    earlier = Window.partitionBy(*by).orderBy(*step, "__sub").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum("__n").over(Window.partitionBy(*by)).alias(total)] if total else []
     cells = cells.select(
-        *by, "__cell", "__sub", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), *extra
+        *by, "__cell", "__mid", "__sub", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), *extra
     )
     keys = [F.col(order).desc() if descending else F.col(order).asc(), *([F.col(tie).asc()] if tie else [])]
-    inside = Window.partitionBy(*by, "__cell", "__sub").orderBy(*keys)
+    inside = Window.partitionBy(*by, "__cell", "__mid", "__sub").orderBy(*keys)
     local = cut.withColumn("__rn", F.row_number().over(inside))
-    joined = _cell_join(local, cells, [*by, "__cell", "__sub"])
+    joined = _cell_join(local, cells, [*by, "__cell", "__mid", "__sub"])
     return joined.withColumn(name, (F.col("__rn") + F.col("__before")).cast("long")).drop(
-        "__rn", "__before", "__cell", "__sub"
+        "__rn", "__before", "__cell", "__mid", "__sub"
     )
 
 

@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from tonnage.operators.ordered import _cut, _splits
 from tonnage.sources.scratch import written
 
-MAX_BLOCKS = 1024
-
 
 def _dominated(victims: np.ndarray, killers: np.ndarray, tolerance: float) -> np.ndarray:
     out = np.zeros(len(victims), dtype=bool)
@@ -36,7 +34,7 @@ def skyline(df: DataFrame, objectives: Sequence[str], key: str, by: Sequence[str
 
     A first pass drops rows beaten inside their own Arrow batch. The rest is cut into blocks by the sum of the
     objectives; only block pairs whose bounding boxes allow dominance are compared, and a task emits the keys of
-    beaten rows, not pairs. The driver holds one box per block, at most MAX_BLOCKS of them.
+    beaten rows, not pairs. The driver holds one box per block of `block_rows` rows, whatever the size.
     """
     objectives, by = list(objectives), list(by)
     names = [*by, key, *objectives]
@@ -57,7 +55,7 @@ def skyline(df: DataFrame, objectives: Sequence[str], key: str, by: Sequence[str
     slim = written(slim, "thinned")
     score = sum((F.col(c) for c in objectives[1:]), F.col(objectives[0]))
     rows = slim.count()
-    parts = max(1, min(MAX_BLOCKS, -(-rows // block_rows)))
+    parts = max(1, -(-rows // block_rows))
     splits, _ = _splits(slim, score, parts, isolate_heavy=False)
     cut = _cut(slim, score, splits, "__block")
     boxes = cut.groupBy("__block").agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(objectives)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(objectives)]).collect()
@@ -65,10 +63,13 @@ def skyline(df: DataFrame, objectives: Sequence[str], key: str, by: Sequence[str
     # a killer block matters only when its best corner is no worse than the victims' worst corner
     slack = 1e-9
     pairs = {v: [k for k in spots if k <= v + 1 and np.all(spots[k][0] <= spots[v][1] + slack)] for v in spots}
-    reverse = {k: [v for v in spots if k in pairs[v]] for k in spots}
+    reverse: dict[int, list[int]] = {k: [] for k in spots}
+    for v, opposite in pairs.items():
+        for k in opposite:
+            reverse[k].append(v)
 
     def spread(frame: DataFrame, mine: str, other: str, mapping: dict) -> DataFrame:
-        # literal map: block -> opposite blocks, bounded by MAX_BLOCKS
+        # block -> opposite blocks
         table = [(int(b), [int(x) for x in xs]) for b, xs in mapping.items() if xs]
         small = frame.sparkSession.createDataFrame(table, f"{mine} int, __others array<int>")
         return frame.withColumnRenamed("__block", mine).join(small, mine).withColumn(other, F.explode("__others")).drop("__others")

@@ -25,7 +25,7 @@ from tonnage.plans.contracts import Task
 from tonnage.plans.splits import expanding_folds, task_rows
 from tonnage.sources.scratch import written
 
-SEED = 20260818
+SEED = 7
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,12 @@ def fit_preprocessor(train: DataFrame, features: Features, scale: bool = False,
     return Preprocessor(modes, Pipeline(stages=stages).fit(typed.fillna(modes)), features)
 
 
+def _bins(train: DataFrame) -> int:
+    """Split candidates: at least one for each value of the widest category, as the encoded features declare it."""
+    attributes = train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    return max([32, *(len(a.get("vals", ())) for a in attributes.get("nominal", ()))])
+
+
 def ridge(train: DataFrame, alpha: float = 10.0):
     """Squared loss plus alpha * |w|^2; Spark averages the loss, so the penalty is divided by the row count."""
     n = train.count()
@@ -104,7 +110,7 @@ def logistic(train: DataFrame, c: float = 0.5):
 
 
 def forest(train: DataFrame, kind: str, trees: int = 60, depth: int = 12, leaf: int = 10):
-    common = dict(labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=SEED)
+    common = dict(labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, maxBins=_bins(train), seed=SEED)
     if kind == "regression":
         return RandomForestRegressor(**common).fit(train)
     return RandomForestClassifier(weightCol="weight", **common).fit(balanced(train))
@@ -113,7 +119,7 @@ def forest(train: DataFrame, kind: str, trees: int = 60, depth: int = 12, leaf:
 def boosted(task: Task, train: DataFrame, tune: DataFrame, rounds: int | None = None, depth: int | None = None):
     """Boosted trees that stop when the tuning split no longer improves."""
     both = train.withColumn("__tuning", F.lit(False)).unionByName(tune.withColumn("__tuning", F.lit(True)))
-    common = dict(labelCol="label", validationIndicatorCol="__tuning", maxIter=rounds or task.rounds, maxDepth=depth or task.depth, stepSize=task.rate, seed=SEED)
+    common = dict(labelCol="label", validationIndicatorCol="__tuning", maxIter=rounds or task.rounds, maxDepth=depth or task.depth, stepSize=task.rate, maxBins=_bins(both), seed=SEED)
     if task.kind == "regression":
         return GBTRegressor(lossType=task.loss, **common).fit(both)
     return GBTClassifier(**common).fit(both)

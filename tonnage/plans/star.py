@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import period_key, shift_start_hour
@@ -10,16 +10,8 @@ from tonnage.operators.ordered import row_numbers
 from tonnage.sources.tables import date_series
 
 
-ONE_TASK_ROWS = 100_000
-
-
 def with_surrogate(df: DataFrame, natural_key: str, name: str) -> DataFrame:
-    """Dense integer key in natural-key order.
-
-    A dimension whose size was checked is numbered by a plain window; a larger one by range-wise numbering.
-    """
-    if df.select(natural_key).limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(natural_key)))
+    """Dense integer key in natural-key order, numbered range by range."""
     return row_numbers(df, [], natural_key, name=name).withColumn(name, F.col(name).cast("int"))
 
 
