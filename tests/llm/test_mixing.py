@@ -54,10 +54,11 @@ def test_rates_against_projected_gradient_by_hand(spark):
     goal = np.array(list(targets.values())) * n.sum()
     h = (p * n[:, None]).T @ p
     weight = np.linalg.inv(h)
-    rate = np.ones(50)
+    rate, left = np.ones(50), np.inf
     for _ in range(15):
         miss = (rate * n) @ p - goal
-        if np.abs(miss).max() <= M.MISS * goal.sum():
+        before, left = left, miss @ weight @ miss
+        if np.abs(miss).max() <= M.MISS * goal.sum() or left > (1 - M.GAIN) * before:
             break
         rate = np.maximum(0, rate - p @ weight @ miss)
     assert np.allclose(sorted(got), sorted(rate), atol=1e-9) and (got == 0).any()

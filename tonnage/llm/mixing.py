@@ -26,9 +26,9 @@ TARGETS = {"good_clean": 0.8, "good_toxic": 0.0, "poor_clean": 0.2, "poor_toxic"
 #: Bound of the training sample (labelled documents, chosen by hash), and of the features of one label.
 FIT_ROWS, FEATURES = 20_000, 1_000
 #: Buckets of features; least share of the sample, z-score and log odds (either sign) of a feature that is used.
-BUCKETS, LEAST_SHARE, LEAST_Z, LEAST_ODDS = 1 << 20, 0.001, 4.0, 2.5
-#: Most gradient steps, and the miss (as a share of the budget) that ends them.
-STEPS, MISS = 40, 1e-4
+BUCKETS, LEAST_SHARE, LEAST_Z, LEAST_ODDS = 1 << 20, 0.001, 4.0, 3.0
+#: Most gradient steps; the miss (as a share of the budget) that ends them, and the least share of it a step must gain.
+STEPS, MISS, GAIN = 40, 1e-3, 0.01
 _SCALE = 1 << 30
 P = [f"p_{d}" for d in DOMAINS]
 
@@ -53,16 +53,18 @@ class Feature:
 
 @dataclass(frozen=True)
 class Bayes:
-    base: float  # log odds of a text without any used feature
+    prior: float  # log odds before any feature is seen
+    bare: float  # log odds of a text without any used feature
     features: list[Feature]
 
     def log_odds(self, found: Column) -> Column:
         if not self.features:
-            return F.lit(self.base)
+            return F.lit(self.bare)
         keys = F.split(F.lit(",".join(str(f.bucket) for f in self.features)), ",").cast("array<bigint>")
         worth = F.split(F.lit(",".join(repr(f.odds) for f in self.features)), ",").cast("array<double>")
         weights = F.map_from_arrays(keys, worth)
-        return F.aggregate(F.array_intersect(found, keys), F.lit(self.base), lambda total, k: total + F.element_at(weights, k))
+        summed = F.aggregate(F.array_intersect(found, keys), F.lit(self.prior), lambda total, k: total + F.element_at(weights, k))
+        return F.when(F.arrays_overlap(found, keys), summed).otherwise(F.lit(self.bare))
 
     def posterior(self, found: Column) -> Column:
         odds = F.least(F.greatest(self.log_odds(found), F.lit(-30.0)), F.lit(30.0))
@@ -79,14 +81,16 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[s
     share = int(_SCALE * min(1.0, rows / n)) if n else 0
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE)) < share)
     taught = bound(documents, doc_id="doc_id", text="text").join(F.broadcast(sample), "doc_id")  # `rows` bounds the sample
-    counts = _marked(taught).select(F.explode(F.array_append(F.array_distinct("__found"), F.lit(-1).cast("bigint"))).alias("bucket"), "quality", "toxic")
+    marked = written(_marked(taught).select("__found", "quality", "toxic"), "sample")
+    counts = marked.select(F.explode(F.array_append(F.array_distinct("__found"), F.lit(-1).cast("bigint"))).alias("bucket"), "quality", "toxic")
     sums = [f(F.col(c)).alias(f"{c}_{k}") for c in ("quality", "toxic") for k, f in (("n", F.count), ("yes", F.sum))]
     table = written(counts.groupBy("bucket").agg(*sums), "features")
-    return {c: _bayes(table, c) for c in ("quality", "toxic")}
+    return {c: _bayes(marked, table, c) for c in ("quality", "toxic")}
 
 
-def _bayes(table: DataFrame, label: str) -> Bayes:
-    """Naive Bayes over the presence of the buckets whose odds differ most surely, and strongly, between the classes."""
+def _bayes(sample: DataFrame, table: DataFrame, label: str) -> Bayes:
+    """Naive Bayes over the presence of the buckets whose odds differ most surely, and strongly, between the classes; texts
+    without any of them get the odds that such texts have in the sample."""
     whole = table.filter("bucket = -1").first()
     n, yes = (whole[f"{label}_n"] or 0, whole[f"{label}_yes"] or 0) if whole else (0, 0)
     no = n - yes
@@ -97,7 +101,13 @@ def _bayes(table: DataFrame, label: str) -> Bayes:
     z = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (yes + 1.0) + 1 / (no + 1.0)) + 1e-12)
     used = (F.col("bucket") >= 0) & (F.col(f"{label}_n") >= LEAST_SHARE * n) & (z >= LEAST_Z) & (F.abs(odds) >= LEAST_ODDS)
     best = table.filter(used).select("bucket", odds.alias("odds"), z.alias("z")).orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
-    return Bayes(math.log((yes + 0.5) / (no + 0.5)), [Feature(r.bucket, r.odds) for r in best])
+    prior, features = math.log((yes + 0.5) / (no + 0.5)), [Feature(r.bucket, r.odds) for r in best]
+    if not features:
+        return Bayes(prior, prior, features)
+    keys = F.split(F.lit(",".join(str(f.bucket) for f in features)), ",").cast("array<bigint>")
+    plain = sample.filter(~F.arrays_overlap("__found", keys)).agg(F.sum(label).alias("yes"), F.count(label).alias("n")).first()
+    bare = math.log(((plain["yes"] or 0) + 0.5) / ((plain["n"] or 0) - (plain["yes"] or 0) + 0.5))
+    return Bayes(prior, bare, features)
 
 
 def with_posteriors(documents: DataFrame, models: dict[str, Bayes]) -> DataFrame:
@@ -133,8 +143,10 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, budget: floa
     weight = np.linalg.pinv(curve, rcond=1e-9, hermitian=True)
     goal = np.array([targets[d] for d in DOMAINS]) * (total if budget is None else budget)
     now, gradients = np.array([first[f"t{i}"] for i in range(len(DOMAINS))]), []
+    miss = np.inf
     for _ in range(steps):
-        if np.abs(now - goal).max() <= MISS * goal.sum():
+        before, miss = miss, float((now - goal) @ weight @ (now - goal))
+        if np.abs(now - goal).max() <= MISS * goal.sum() or miss > (1 - GAIN) * before:
             break
         gradients.append((weight @ (now - goal)).tolist())
         sums = rows.select("__tokens", *p, rate_after(gradients).alias("r")).agg(*[F.sum(n * p[i] * F.col("r")).alias(f"t{i}") for i in range(len(DOMAINS))]).first()
