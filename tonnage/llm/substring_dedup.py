@@ -111,14 +111,15 @@ def removal(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("copy"), text.alias("text"))
     heads = keyed.groupBy("copy").agg(F.min("id").alias("id"))
-    # three branches read this one exchange of the texts
-    texts = keyed.select("id", "copy", "text").join(heads, ["copy", "id"], "left_semi").select("id", "copy", F.xxhash64("copy").alias("key"), "text")
-    seeds = _seeds(texts, window)
+    # one exchange of the texts, by a key of text and id; three branches read it, and all joins with texts are on that key
+    key = F.xxhash64("copy", "id").alias("key")
+    texts = keyed.select(key, "id", "copy", "text").join(heads.select(key), "key", "left_semi")
+    seeds = _seeds(texts.select("key", "text"), window)
     again = seeds.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
     known = seeds.select("seed", "key").join(again, "seed", "left_semi").groupBy("key").agg(F.collect_set("seed").alias("seeds"))
     windows = _windows(texts.join(known, "key").select("id", "key", "text", "seeds"), window)
     place = F.struct("id", "start")
-    first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
+    first = windows.groupBy("hash").agg(F.min(place).alias("first"))
     later = windows.join(first, "hash").filter(place > F.col("first")).groupBy("key").agg(F.collect_set("start").alias("starts"))
 
     @F.arrow_udf(RESULT)
