@@ -44,17 +44,11 @@ def src5(b):
     return tables.step_series(b.event_assets.select("asset_id"), 0, 24, 2, "window_hour")
 
 
-_WEIGHTED = "sum({0} * tube_count) / sum(tube_count)"
 _KPI_VALUES = {
     "good_tonnes": "sum(good_tonnes)", "productive_hours": "sum(productive_hours)", "tbh": "sum(good_tonnes) / sum(productive_hours)",
-    **{n: _WEIGHTED.format(n) for n in ("fpy", "scrap_rate", "rework_rate", "availability", "performance", "quality", "oee")},
-    "energy_per_good_tonne": "sum(energy_kwh) / sum(good_tonnes)", "unplanned_downtime": "sum(unplanned_downtime_minutes)",
-}
-_MEAN = "sum({0} * inspection_count) FILTER (WHERE characteristic {1}) / NULLIF(sum(inspection_count) FILTER (WHERE characteristic {1}), 0)"
-_QUALITY_VALUES = {
-    "outer_diameter_deviation": _MEAN.format("mean_value", "= 'outer_diameter_deviation_mm'"),
-    "wall_eccentricity": _MEAN.format("mean_value", "= 'wall_eccentricity_pct'"), "ovality": _MEAN.format("mean_value", "= 'ovality_pct'"),
-    "simulated_mechanical_conformance": _MEAN.format("conformance_rate", "IN ('yield_strength_mpa', 'tensile_strength_mpa')"),
+    "fpy": "sum(fpy * tube_count) / sum(tube_count)", "scrap_rate": "sum(scrap_rate * tube_count) / sum(tube_count)",
+    "rework_rate": "sum(rework_rate * tube_count) / sum(tube_count)", "energy_per_good_tonne": "sum(energy_kwh) / sum(good_tonnes)",
+    "unplanned_downtime": "sum(unplanned_downtime_minutes)",
 }
 
 
@@ -71,17 +65,14 @@ def src6(b):
     return declared.join(seen, "table_name")
 
 
-@query("mt9_kpi_catalog", sql("mt2 mt4", "SELECT kpi_name, value FROM (" + " UNION ALL ".join(
-    [f"SELECT '{n}' AS kpi_name, {rnd(e, 4)} AS value FROM mt2" for n, e in _KPI_VALUES.items()] +
-    [f"SELECT '{n}', {rnd(e, 4)} FROM mt4" for n, e in _QUALITY_VALUES.items()] + ["SELECT 'next_window_downtime_probability', NULL::DOUBLE"]) + ") k"))
+@query("mt9_kpi_catalog", sql("mt2", "SELECT kpi_name, value FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS kpi_name, {rnd(e, 4)} AS value FROM mt2" for n, e in _KPI_VALUES.items()) + ") k"))
 def mt9(b):
-    """All KPIs with the value each has over the marts; null where no mart holds it (predictions are not stored here)."""
-    names = tables.literal_table(b.spark, [(n,) for n in contracts.KPI_NAMES], "kpi_name string")
-    long = None
-    for mart, exprs in ((b.shift_mart, _KPI_VALUES), (b.quality_mart, _QUALITY_VALUES)):
-        values = mart.agg(*[F.expr(e).alias(n) for n, e in exprs.items()]).unpivot([], list(exprs), "kpi_name", "value")
-        long = values if long is None else long.unionByName(values)
-    return S.rounded(names.join(long, "kpi_name", "left"), 4)
+    """Catalogue entries with the value each line-shift KPI has on the data."""
+    catalogue = tables.literal_table(b.spark, [(n,) for n in contracts.KPI_NAMES], "kpi_name string")
+    values = b.shift_mart.agg(*[F.expr(e).alias(n) for n, e in _KPI_VALUES.items()])
+    long = values.unpivot([], list(_KPI_VALUES), "kpi_name", "value")
+    return S.rounded(catalogue.join(long, "kpi_name"), 4)
 
 
 @query("src7_document_scan")
