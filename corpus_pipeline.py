@@ -32,7 +32,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def at_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a positive rate under the target weights, and that rate."""
+    """Documents that are not called toxic, and their rate under the target weights (0 for some)."""
     return mixing.mixed(docs, read(spark, sf_dir, "labels"))
 
 

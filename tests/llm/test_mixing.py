@@ -80,3 +80,28 @@ def test_plans_are_native(spark, tables):
     plan = M.rates(docs, labels)._jdf.queryExecution().toString() + M.with_posteriors(docs, M.fit(docs, labels))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
     assert F.col("x") is not None
+
+
+def test_clean_documents_stay(spark):
+    """Learned from half of the labels of sf0.1; the other half says which documents are clean."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality is not null and toxic is not null")
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    half = labels.filter("pmod(xxhash64(doc_id, 1), 2) = 0")
+    held = {r.doc_id: r.toxic for r in labels.join(half, "doc_id", "left_anti").collect()}
+    kept = {r.doc_id: r.mix_rate for r in M.mixed(docs, half).collect()}
+    clean = [i for i, toxic in held.items() if not toxic]
+    assert sum(i not in kept for i in clean) < 0.04 * len(clean)
+    assert sum(i in kept for i in held if held[i]) < 0.1 * (len(held) - len(clean))
+
+
+def test_a_clean_document_stays_at_rate_zero(spark, tables):
+    docs, labels = tables
+    kept = {r.doc_id: r.mix_rate for r in M.mixed(docs, labels, {"good_clean": 1.0, "good_toxic": 0.0, "poor_clean": 0.0, "poor_toxic": 0.0}).collect()}
+    assert {i for i in range(240) if i % 5} <= kept.keys() and not {i for i in range(240) if i % 5 == 0} & kept.keys()
+    assert min(kept.values()) == 0.0
+
+
+def test_evidence_that_many_features_need():
+    few, many = M._least_cell({0: 90, 12: 10}), M._least_cell({0: 10_000_000, 12: 10})
+    assert few == 12 and many > M.CELLS and M._least_cell({}) > M.CELLS

@@ -23,10 +23,12 @@ from tonnage.llm.common import bound, written
 
 DOMAINS = ("good_clean", "good_toxic", "poor_clean", "poor_toxic")
 TARGETS = {"good_clean": 0.8, "good_toxic": 0.0, "poor_clean": 0.2, "poor_toxic": 0.0}
-#: Bound of the training sample (labelled documents, chosen by hash), and of the features of one label.
-FIT_ROWS, FEATURES = 20_000, 1_000
-#: Buckets of features; least share of the sample, z-score and log odds (either sign) of a feature that is used.
-BUCKETS, LEAST_SHARE, LEAST_Z, LEAST_ODDS = 1 << 20, 0.001, 4.0, 3.0
+#: Bound of the training sample (labelled documents, chosen by hash).
+FIT_ROWS = 20_000
+#: Buckets of features; least documents and log odds (either sign) of a feature that is used.
+BUCKETS, LEAST_COUNT, LEAST_ODDS = 1 << 20, 5, 3.0
+#: Share of chance features among the used ones, and the cells (of one nat) that their evidence is counted in.
+FALSE_SHARE, CELLS = 0.01, 700
 #: Most gradient steps; the miss (as a share of the budget) that ends them, and the least share of it a step must gain.
 STEPS, MISS, GAIN = 40, 1e-3, 0.01
 _SCALE = 1 << 30
@@ -45,6 +47,10 @@ def _marked(documents: DataFrame) -> DataFrame:
     return rows.withColumn("__found", F.transform(features, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)))).drop("__kinds")
 
 
+def _listed(buckets: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, buckets))), ",").cast("array<bigint>")
+
+
 @dataclass(frozen=True)
 class Feature:
     bucket: int
@@ -60,7 +66,7 @@ class Bayes:
     def log_odds(self, found: Column) -> Column:
         if not self.features:
             return F.lit(self.bare)
-        keys = F.split(F.lit(",".join(str(f.bucket) for f in self.features)), ",").cast("array<bigint>")
+        keys = _listed([f.bucket for f in self.features])
         worth = F.split(F.lit(",".join(repr(f.odds) for f in self.features)), ",").cast("array<double>")
         weights = F.map_from_arrays(keys, worth)
         summed = F.aggregate(F.array_intersect(found, keys), F.lit(self.prior), lambda total, k: total + F.element_at(weights, k))
@@ -88,23 +94,43 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[s
     return {c: _bayes(marked, table, c) for c in ("quality", "toxic")}
 
 
+def _evidence(one: Column, zero: Column, yes: int, no: int) -> Column:
+    """Whole nats of evidence that a feature of `one` and `zero` documents is no chance draw from `yes` and `no`: minus the log of
+    the Chernoff bound of the two-sided binomial tail, which holds at any count (a normal z-score doesn't, for rare words)."""
+    q = (yes + 0.5) / (yes + no + 1.0)
+    n = one + zero
+    part = lambda k, share: F.when(k > 0, k * (F.log(k / n) - math.log(share))).otherwise(F.lit(0.0))
+    nats = part(one, q) + part(zero, 1 - q) - math.log(2)
+    return F.greatest(F.lit(0), F.least(F.lit(CELLS), F.floor(nats))).cast("int")
+
+
+def _least_cell(counts: dict[int, int]) -> int:
+    """The least evidence above which at most FALSE_SHARE of the features are expected to be chance (Benjamini-Hochberg): it
+    grows with the log of the number of tested features. Above all cells if there is none."""
+    tested, above, least = sum(counts.values()), 0, CELLS + 1
+    for cell in sorted(counts, reverse=True):
+        above += counts[cell]
+        if tested * math.exp(-cell) <= FALSE_SHARE * above:
+            least = cell
+    return least
+
+
 def _bayes(sample: DataFrame, table: DataFrame, label: str) -> Bayes:
-    """Naive Bayes over the presence of the buckets whose odds differ most surely, and strongly, between the classes; texts
-    without any of them get the odds that such texts have in the sample."""
+    """Naive Bayes over the presence of all buckets whose odds differ surely, and strongly, between the classes; texts without
+    any of them get the odds that such texts have in the sample."""
     whole = table.filter("bucket = -1").first()
     n, yes = (whole[f"{label}_n"] or 0, whole[f"{label}_yes"] or 0) if whole else (0, 0)
     no = n - yes
     one, zero = F.coalesce(F.col(f"{label}_yes"), F.lit(0)), F.col(f"{label}_n") - F.coalesce(F.col(f"{label}_yes"), F.lit(0))
     p1, p0 = (one + 0.5) / (yes + 1.0), (zero + 0.5) / (no + 1.0)
     odds = F.log(p1) - F.log(p0)
-    pooled = (one + zero) / float(max(n, 1))
-    z = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (yes + 1.0) + 1 / (no + 1.0)) + 1e-12)
-    used = (F.col("bucket") >= 0) & (F.col(f"{label}_n") >= LEAST_SHARE * n) & (z >= LEAST_Z) & (F.abs(odds) >= LEAST_ODDS)
-    best = table.filter(used).select("bucket", odds.alias("odds"), z.alias("z")).orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
+    tested = table.filter((F.col("bucket") >= 0) & (F.col(f"{label}_n") >= LEAST_COUNT)).withColumns({"odds": odds, "cell": _evidence(one, zero, yes, no)})
+    least = _least_cell({r.cell: r.n for r in tested.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()})
+    best = tested.filter((F.col("cell") >= least) & (F.abs("odds") >= LEAST_ODDS)).select("bucket", "odds").orderBy("bucket").collect()
     prior, features = math.log((yes + 0.5) / (no + 0.5)), [Feature(r.bucket, r.odds) for r in best]
     if not features:
         return Bayes(prior, prior, features)
-    keys = F.split(F.lit(",".join(str(f.bucket) for f in features)), ",").cast("array<bigint>")
+    keys = _listed([f.bucket for f in features])
     plain = sample.filter(~F.arrays_overlap("__found", keys)).agg(F.sum(label).alias("yes"), F.count(label).alias("n")).first()
     bare = math.log(((plain["yes"] or 0) + 0.5) / ((plain["n"] or 0) - (plain["yes"] or 0) + 0.5))
     return Bayes(prior, bare, features)
@@ -167,7 +193,13 @@ def rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = T
 
 
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
-    """The documents with a positive rate, their columns and `mix_rate` (how often to draw the document, on average)."""
+    """The documents that are not called toxic, their columns and `mix_rate` (how often to draw the document, on average).
+
+    A clean document stays whatever its rate, also at 0. A document that is more likely toxic than clean goes, unless a toxic
+    domain has a target and the document a positive rate."""
     rows = written(with_posteriors(documents, fit(documents, labels)), "posteriors")
-    out = rows.withColumn("__rate", rate_after(fit_rates(rows, targets, budget))).filter("__rate > 0")
+    rows = rows.withColumn("__rate", rate_after(fit_rates(rows, targets, budget)))
+    toxic = F.col("__p_good_toxic") + F.col("__p_poor_toxic") > 0.5
+    wanted = F.lit(targets["good_toxic"] > 0 or targets["poor_toxic"] > 0) & (F.col("__rate") > 0)
+    out = rows.filter(~toxic | wanted)
     return out.select(*[F.col(f"`{c}`") for c in documents.columns if c != "mix_rate"], F.col("__rate").alias("mix_rate"))
