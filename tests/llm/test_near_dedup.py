@@ -115,3 +115,30 @@ def test_words_of_texts(texts):
         for h, w in zip(hashes[at].tolist(), want, strict=True):
             assert name.setdefault(w, h) == h
     assert len(set(name.values())) == len(name)
+
+
+def test_a_group_of_a_third_of_the_rows(spark):
+    """Plain Jaccard similarity decides, also where the group's shingles are common: all copies have one changed word."""
+    base = prose(1, 100).split()
+    copies = [" ".join([*base[:at], f"edit{at}", *base[at + 1 :]]) for at in range(5, 95, 2)]
+    others = [prose(1000 + k, 100) for k in range(180)]
+    plain = [set(d) for d in shingle_weights(copies, np.ones(N.BUCKETS))]
+    assert min(max(len(a & b) / len(a | b) for b in plain if b is not a) for a in plain) >= 0.8
+    texts = copies + copies + others
+    found = {r.doc_id: r.class_id for r in N.near_duplicates(documents(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])).collect()}
+    assert {found[k] for k in range(2 * len(copies))} == {0}
+    assert len({found[2 * len(copies) + k] for k in range(len(others))}) == len(others)
+
+
+def test_weights_are_bounded_in_any_corpus():
+    for n in (10, 10**6, 10**12):
+        idf = N.inverse_frequency(np.array([0, n // 3, n]), n)
+        assert (np.diff(idf) < 0).all() and 1 <= idf.min() and idf.max() / idf.min() < 1 + N.DAMPED
+
+
+def test_copies_do_not_make_shingles_common(spark, monkeypatch):
+    seen = []
+    count = N.document_frequency
+    monkeypatch.setattr(N, "document_frequency", lambda d: seen.append(count(d)) or seen[-1])
+    N.classes(documents(spark, [(k, prose(1, 50), None, None, None) for k in range(9)] + [(0, prose(1, 50), None, None, None), (20, prose(2, 50), None, None, None)]))
+    assert seen[0][1] == 2 and seen[0][0].max() <= 2
