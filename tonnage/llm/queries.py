@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonnage.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, near_dedup, oracles, secret_scan, substring_dedup, url_filter
+from tonnage.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, merkle_manifest, mixing, near_dedup, oracles, secret_scan, substring_dedup, url_filter
 from tonnage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op10_substring_dedup(spark, sf_dir):
 @query
 def op6_license_scan(spark, sf_dir):
     return license_scan.licenses(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle_manifest.manifest(read(spark, sf_dir, "documents"))
