@@ -1,9 +1,9 @@
 """Merkle manifest of a document table as a postorder append log.
 
 Every row is a leaf; the leaves of a source, by ascending id, make a tree whose nodes have up to three children, and the
-trees' roots, by source, make one more tree above them. Aligned builders, one per WIDTH = 3^7 consecutive nodes, write
+trees' roots, by source, make one more tree above them. Aligned builders, one per 3^LEVELS consecutive nodes, write
 their nodes in completion order: a leaf, then every node that this leaf completes. Builders of one tier run side by
-side; their last nodes are the leaves of the next tier's builders, so no group ever holds more than WIDTH rows.
+side; their last nodes are the leaves of the next tier's builders, so no group ever holds more rows than that.
 
 Where a node stands in a log follows from the sizes of the subtrees before it (`position`), so a proof is read by
 address: no digest is searched for, and nothing is sorted a second time.
@@ -24,9 +24,8 @@ from tonnage.llm.common import bound, written
 from tonnage.operators.ordered import row_numbers
 
 FAN = 3
-#: Levels that one builder completes, and the nodes it starts from.
+#: Levels that one builder completes; it starts from at most 3^7 nodes.
 LEVELS = 7
-WIDTH = FAN**LEVELS
 PATH = "array<struct<slot:int,siblings:string>>"
 
 
@@ -102,15 +101,9 @@ def folded(leaf: str, way: Sequence[tuple[int, str]]) -> str:
     return leaf
 
 
-def _climb(n: int, whole: int) -> int:
-    """Levels of a builder with n nodes in a tree of `whole` nodes: all, but LEVELS where other builders stand beside it."""
-    return LEVELS if whole > WIDTH else levels_over(n)
-
-
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def _log(leaves: pa.Array, whole: pa.Array) -> pa.Array:
-    logs = [appended(own.as_py(), _climb(len(own), n)) for own, n in zip(leaves, whole.to_pylist(), strict=True)]
-    return pa.array(logs, pa.list_(pa.string()))
+def _log(leaves: pa.Array, climbs: pa.Array) -> pa.Array:
+    return pa.array([appended(own.as_py(), climb) for own, climb in zip(leaves, climbs.to_pylist(), strict=True)], pa.list_(pa.string()))
 
 
 def _per_block(blocks: DataFrame, rows: Callable[[dict], dict[str, list]], schema: str) -> DataFrame:
@@ -128,7 +121,7 @@ def _per_block(blocks: DataFrame, rows: Callable[[dict], dict[str, list]], schem
 def _ways(block: dict) -> list[list[dict]]:
     """The way from each member of a block to the root: through the block, then on from its last node."""
     own = block["members"]
-    sides = siblings(block["log"], len(own), _climb(len(own), block["n"]))
+    sides = siblings(block["log"], len(own), block["climb"])
     return [[{"slot": s, "siblings": o} for s, o in path(sides, k)] + block["way"] for k in range(len(own))]
 
 
@@ -150,33 +143,37 @@ def leaves(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", tree.alias("tree"), row_digest(F.col("text")).alias("leaf"), changed.alias("changed"))
 
 
-def build(nodes: DataFrame) -> list[DataFrame]:
-    """Logs of all trees by tier: (tree, block, n, members, log), from rows (tree, rank from 0, n of the tree, leaf, extra).
+def build(nodes: DataFrame, levels: int) -> list[DataFrame]:
+    """Logs of all trees by tier: (tree, block, n, members, climb, log), from rows (tree, rank from 0, n of the tree, leaf, extra).
 
-    `members` keeps the rows of the block in order. A tree of one block is complete with that block's last node."""
-    tiers = []
+    `members` keeps the rows of the block in order, `climb` the levels that its builder completes: `levels` where others stand
+    beside it. A tree of one block is complete with that block's last node."""
+    tiers, width = [], FAN**levels
+    needed = F.lit(0)
+    for k in range(levels):
+        needed += (F.col("n") > FAN**k).cast("int")
     while True:
-        block = F.floor(F.col("rank") / WIDTH).alias("block")
-        members = F.sort_array(F.collect_list(F.struct("rank", "leaf", "extra"))).alias("members")  # at most WIDTH
-        grouped = nodes.groupBy("tree", block, "n").agg(members)
-        tiers.append(written(grouped.withColumn("log", _log(F.col("members.leaf"), F.col("n"))), f"log{len(tiers)}"))
-        higher = tiers[-1].filter(F.col("n") > WIDTH)
+        block = F.floor(F.col("rank") / width).alias("block")
+        members = F.sort_array(F.collect_list(F.struct("rank", "leaf", "extra"))).alias("members")  # at most `width`
+        grouped = nodes.groupBy("tree", block, "n").agg(members).withColumn("climb", needed)
+        tiers.append(written(grouped.withColumn("log", _log(F.col("members.leaf"), F.col("climb"))), f"log{len(tiers)}"))
+        higher = tiers[-1].filter(F.col("n") > width)
         if higher.isEmpty():
             return tiers
         top = F.element_at("log", -1).alias("leaf")
-        nodes = higher.select("tree", F.col("block").alias("rank"), F.ceil(F.col("n") / WIDTH).alias("n"), top, F.lit(0).alias("extra"))
+        nodes = higher.select("tree", F.col("block").alias("rank"), F.ceil(F.col("n") / width).alias("n"), top, F.lit(0).alias("extra"))
 
 
-def roots(tiers: list[DataFrame]) -> DataFrame:
+def roots(tiers: list[DataFrame], levels: int) -> DataFrame:
     """(tree, subroot) of all trees."""
-    done = [t.filter(F.col("n") <= WIDTH).select("tree", F.element_at("log", -1).alias("subroot")) for t in tiers]
+    done = [t.filter(F.col("n") <= FAN**levels).select("tree", F.element_at("log", -1).alias("subroot")) for t in tiers]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def ways(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def ways(tiers: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """The blocks of the lowest tier with `way`, the path from a block's last node to the very root.
 
     `above` has (tree, subroot, way): a tree's last node, and the path from there on."""
@@ -188,61 +185,60 @@ def ways(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
 
     known = None
     for tier in reversed(tiers):
-        blocks = tier.filter(F.col("n") <= WIDTH).join(above, "tree")
+        blocks = tier.filter(F.col("n") <= FAN**levels).join(above, "tree")
         if known is not None:
-            blocks = blocks.unionByName(tier.filter(F.col("n") > WIDTH).join(known, ["tree", "block"]))
+            blocks = blocks.unionByName(tier.filter(F.col("n") > FAN**levels).join(known, ["tree", "block"]))
         if tier is not tiers[0]:
             known = _per_block(blocks.withColumn("members", F.transform("members", lambda m: F.struct(m["rank"].alias("rank")))), climbed, f"tree string, subroot string, block long, way {PATH}")
     return blocks
 
 
-def nodes(tiers: list[DataFrame]) -> DataFrame:
+def nodes(tiers: list[DataFrame], levels: int) -> DataFrame:
     """(tree, position, level, node, digest) of every node: the log of each tree, in completion order by `position`."""
     kinds = "tree string, position long, level int, node long, digest string"
     found = None
     for tier, frame in enumerate(tiers):
-        base = tier * LEVELS
+        base = tier * levels
 
         def placed(block: dict, base: int = base) -> dict[str, list]:
             size, log, rows = block["size"], block["log"], []
-            climb = _climb(size, block["n"])
-            for level in range(0 if not base else 1, climb + 1):  # the leaves of a higher tier stand in the tier below
+            for level in range(0 if not base else 1, block["climb"] + 1):  # the leaves of a higher tier stand in the tier below
                 for k in range(-(-size // FAN**level)):
-                    node = block["block"] * FAN ** (LEVELS - level) + k
+                    node = block["block"] * FAN ** (levels - level) + k
                     rows.append((block["tree"], position(base + level, node, block["leaves"]), base + level, node, log[position(level, k, size)]))
             return {c: [r[i] for r in rows] for i, c in enumerate(("tree", "position", "level", "node", "digest"))}
 
         counted = tiers[0].select("tree", F.col("n").alias("leaves")).distinct()
-        rows = _per_block(frame.select("tree", "block", "n", F.size("members").alias("size"), "log").join(counted, "tree"), placed, kinds)
+        rows = _per_block(frame.select("tree", "block", "climb", F.size("members").alias("size"), "log").join(counted, "tree"), placed, kinds)
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
-def _forest(documents: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def _forest(documents: DataFrame, levels: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Tiers of the sources' trees, and of the tree over their roots."""
     found = written(leaves(documents), "leaves")
     numbered = row_numbers(found, ["tree"], "doc_id", tie="leaf", name="place", total="n")
-    below = build(numbered.select("tree", (F.col("place") - 1).alias("rank"), "n", "leaf", F.struct("doc_id", "changed").alias("extra")))
-    ordered = row_numbers(written(roots(below), "subroots"), [], "tree", name="place", total="n")
-    over = build(ordered.select(F.lit("").alias("tree"), (F.col("place") - 1).alias("rank"), "n", F.col("subroot").alias("leaf"), F.col("tree").alias("extra")))
+    below = build(numbered.select("tree", (F.col("place") - 1).alias("rank"), "n", "leaf", F.struct("doc_id", "changed").alias("extra")), levels)
+    ordered = row_numbers(written(roots(below, levels), "subroots"), [], "tree", name="place", total="n")
+    over = build(ordered.select(F.lit("").alias("tree"), (F.col("place") - 1).alias("rank"), "n", F.col("subroot").alias("leaf"), F.col("tree").alias("extra")), levels)
     return below, over
 
 
-def log(documents: DataFrame) -> DataFrame:
+def log(documents: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The manifest itself: every node of the sources' trees ('=' and source, or '-') and of the tree over them ('')."""
-    below, over = _forest(documents)
-    return nodes(below).unionByName(nodes(over))
+    below, over = _forest(documents, levels)
+    return nodes(below, levels).unionByName(nodes(over, levels))
 
 
-def manifest(documents: DataFrame) -> DataFrame:
+def manifest(documents: DataFrame, levels: int = LEVELS) -> DataFrame:
     """One row per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     Nulls in any column are digested as `-`, an empty text as `0:`. Rows without id come first in their source and are never
     tampered; rows that repeat an id stand beside each other in the order of their leaf, equal rows get leaves of their own.
     A null source is a tree of its own, before all others. An empty table gives an empty result; other columns are not read.
     """
-    below, over = _forest(documents)
-    top = roots(over).first()
+    below, over = _forest(documents, levels)
+    top = roots(over, levels).first()
     root = top["subroot"] if top else digest([])
 
     def heads(block: dict) -> dict[str, list]:
@@ -263,8 +259,8 @@ def manifest(documents: DataFrame) -> DataFrame:
         }
 
     no_way = F.expr(f"cast(array() as {PATH})").alias("way")
-    crowns = _per_block(ways(over, roots(over).select("tree", "subroot", no_way)), heads, f"tree string, subroot string, way {PATH}")
+    crowns = _per_block(ways(over, roots(over, levels).select("tree", "subroot", no_way), levels), heads, f"tree string, subroot string, way {PATH}")
     crowns = written(crowns, "crowns")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    blocks = ways(below, crowns)
+    blocks = ways(below, crowns, levels)
     return _per_block(blocks, proofs, f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")

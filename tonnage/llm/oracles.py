@@ -66,3 +66,45 @@ counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+_FIELDS = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}, '-')"
+_ROW = " || ".join(_FIELDS.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: The last bit of crc32 of a decimal number: bytes, each followed by eight shifts (-1).
+_ODD = """list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: list_concat([ord(c)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) & 1"""
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, sha256({_ROW} || {_FIELDS.format('text')}) AS leaf,
+    CASE WHEN {_ODD} = 1 THEN sha256({_ROW} || {_FIELDS.format("replace(text, chr(10), '')")}) END AS changed
+  FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree AS (
+  SELECT source, 0 AS lvl, i, leaf AS d, n FROM ranked
+  UNION ALL
+  SELECT source, lvl + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, lvl, i // 3, n),
+tops AS (SELECT source, lvl, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (
+  SELECT 0 AS lvl, i, d, n FROM tops
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM crown WHERE n > 1 GROUP BY lvl, i // 3, n),
+own AS (SELECT row_number() OVER () AS r, k.*, t.lvl AS depth, t.d AS subroot, t.i AS place FROM ranked k JOIN tops t ON k.source IS NOT DISTINCT FROM t.source),
+runs AS (
+  SELECT r, t.lvl, t.i, t.d, t.i = o.i // CAST(pow(3, t.lvl) AS BIGINT) AS self
+  FROM own o JOIN tree t ON t.source IS NOT DISTINCT FROM o.source AND t.lvl < o.depth AND t.i // 3 = o.i // CAST(pow(3, t.lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT r, o.depth + c.lvl, c.i, c.d, c.i = o.place // CAST(pow(3, c.lvl) AS BIGINT)
+  FROM own o JOIN crown c ON c.n > 1 AND c.i // 3 = o.place // CAST(pow(3, c.lvl + 1) AS BIGINT)),
+proofs AS (SELECT r, sha256(coalesce(string_agg(d, '' ORDER BY lvl, i) FILTER (NOT self), '')) AS proof FROM runs GROUP BY r),
+steps AS (SELECT r, lvl, coalesce(string_agg(d, '' ORDER BY i) FILTER (i < me), '') AS low, coalesce(string_agg(d, '' ORDER BY i) FILTER (i > me), '') AS high
+  FROM (SELECT *, max(i) FILTER (self) OVER (PARTITION BY r, lvl) AS me FROM runs) x GROUP BY r, lvl),
+fold AS (
+  SELECT r, 0 AS lvl, coalesce(changed, leaf) AS d FROM own
+  UNION ALL
+  SELECT f.r, f.lvl + 1, sha256(s.low || f.d || s.high) FROM fold f JOIN steps s ON s.r = f.r AND s.lvl = f.lvl),
+last AS (SELECT r, max_by(d, lvl) AS folded_root FROM fold GROUP BY r),
+root AS (SELECT d AS root FROM crown WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM own JOIN last USING (r) LEFT JOIN proofs USING (r), root
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonnage.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, merkle_manifest, mixing, near_dedup, oracles, secret_scan, substring_dedup, url_filter
+from tonnage.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, merkle_manifest, mixing, near_dedup, oracles, quality_classifier, secret_scan, substring_dedup, url_filter, whitening
 from tonnage.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {
     "op7_chat_format": oracles.CHAT_FORMAT,
     "op8_url_filter": oracles.URL_FILTER,
     "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op11_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
 
 
@@ -84,3 +85,13 @@ def op6_license_scan(spark, sf_dir):
 @query
 def op11_merkle_manifest(spark, sf_dir):
     return merkle_manifest.manifest(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_quality_classifier(spark, sf_dir):
+    return quality_classifier.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
