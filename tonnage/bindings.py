@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import add_seconds
-from tonnage.operators.joins import broadcast_if_small
 from tonnage.sources.tables import literal_table
 
 CHARACTERISTICS = (
@@ -23,6 +22,7 @@ CHARACTERISTICS = (
     ("ovality_pct", "l_quantity", 1.0, 45.0, "pct"),
     ("yield_strength_mpa", "l_extendedprice", 1000.0, 90000.0, "MPa"),
 )
+TUBE_PARTS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 ENERGY_STAGES = (("REHEAT", 0.5), ("ROLLING_SIZING", 0.25), ("HEAT_TREATMENT", 0.25))
 SENSORS = (
     "furnace_zone_temperature",
@@ -42,24 +42,29 @@ class Plant:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # ---- order plant -------------------------------------------------------------------------
+    @cached_property
+    def line_rows(self) -> DataFrame:
+        """lineitem with tube_key, a 64-bit number spread over the tubes (the identity stays tube_id)."""
+        return self.table("lineitem").withColumn("tube_key", F.xxhash64(*TUBE_PARTS))
+
     @cached_property
     def lines(self) -> DataFrame:
         """lineitem with its order, part and supplier context."""
         places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         supplier = self.table("supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
         return (
-            self.table("lineitem")
+            self.line_rows
             .join(self.table("part").select("p_partkey", "p_brand", "p_type", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(broadcast_if_small(supplier.select("s_suppkey", "r_name"), self.table("supplier")), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(supplier.select("s_suppkey", "r_name"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.table("orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .withColumn("tube_id", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]))
         )
 
     @cached_property
     def tubes(self) -> DataFrame:
         hours = F.col("l_extendedprice") / 10000.0
         return self.lines.select(
-            "tube_id",
+            "tube_key",
+            self._tube_id,
             F.col("l_orderkey").alias("order_id"),
             F.col("p_brand").alias("product_code"),
             F.col("p_type").alias("grade_family"),
@@ -76,21 +81,20 @@ class Plant:
         )
 
     @property
-    def _tube_key(self):
-        parts = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        return F.concat_ws("-", *[F.col(c).cast("string") for c in parts]).alias("tube_id")
+    def _tube_id(self):
+        return F.concat_ws("-", *[F.col(c).cast("string") for c in TUBE_PARTS]).alias("tube_id")
 
     @cached_property
     def energy_events(self) -> DataFrame:
         good = F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0.0)
         stages = F.array(*[F.struct(F.lit(s).alias("stage_name"), F.lit(w).alias("share")) for s, w in ENERGY_STAGES])
-        rows = self.table("lineitem").select(
-            self._tube_key, F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("event_ts"),
+        rows = self.line_rows.select(
+            "tube_key", self._tube_id, F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("event_ts"),
             (F.col("l_extendedprice") * F.col("l_tax")).alias("kwh"), good.alias("good_mass_t"), F.explode(stages).alias("s"),
         )
         kwh = F.col("kwh") * F.col("s.share") + F.lit(0.0)
         return rows.select(
-            F.concat_ws("-", "tube_id", "s.stage_name").alias("energy_event_id"), "tube_id", "order_id",
+            F.concat_ws("-", "tube_id", "s.stage_name").alias("energy_event_id"), "tube_key", "tube_id", "order_id",
             F.col("s.stage_name").alias("stage_name"), "event_ts", kwh.alias("energy_kwh"), "good_mass_t",
             F.try_divide(kwh, F.col("good_mass_t")).alias("energy_per_good_tonne_kwh_t"),
         )
@@ -101,12 +105,12 @@ class Plant:
             F.struct(F.lit(n).alias("characteristic"), (F.col(c) + F.lit(0.0)).alias("measured_value"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(u).alias("unit"))
             for n, c, lo, hi, u in CHARACTERISTICS
         ])
-        rows = self.table("lineitem").select(
-            self._tube_key, F.col("l_orderkey").alias("order_id"),
+        rows = self.line_rows.select(
+            "tube_key", self._tube_id, F.col("l_orderkey").alias("order_id"),
             add_seconds("l_shipdate", "floor(l_extendedprice)").alias("inspection_ts"), F.explode(tests).alias("t"),
         )
         return rows.select(
-            F.concat_ws("-", "tube_id", "t.characteristic").alias("quality_result_id"), "tube_id", "order_id",
+            F.concat_ws("-", "tube_id", "t.characteristic").alias("quality_result_id"), "tube_key", "tube_id", "order_id",
             F.col("t.characteristic").alias("characteristic"), F.col("t.measured_value").alias("measured_value"),
             F.col("t.lo").alias("internal_simulated_lower_limit"), F.col("t.hi").alias("internal_simulated_upper_limit"),
             F.col("t.unit").alias("unit"), F.col("t.measured_value").between(F.col("t.lo"), F.col("t.hi")).alias("passed"), "inspection_ts",
@@ -114,8 +118,9 @@ class Plant:
 
     @cached_property
     def process_parameters(self) -> DataFrame:
-        return self.table("lineitem").select(
-            self._tube_key,
+        return self.line_rows.select(
+            "tube_key",
+            self._tube_id,
             F.col("l_shipdate").alias("process_start_ts"),
             (F.col("l_discount") * 10.0 + 0.0).alias("tool_wear_index"),
             (F.col("l_tax") * 10.0 + 0.0).alias("sensor_degradation_index"),
@@ -130,7 +135,6 @@ class Plant:
         """Unplanned stops of the order plant: one per order."""
         places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         customer = self.table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
-        customer = broadcast_if_small(customer, self.table("customer"))
         minutes = F.col("o_totalprice") / 1000.0
         return self.table("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
             F.col("o_orderkey").alias("downtime_event_id"), F.col("r_name").alias("line_id"), F.col("o_orderpriority").alias("shift_id"),
@@ -153,6 +157,10 @@ class Plant:
             F.lit(True).alias("internal_simulated_limits"),
         )
 
+    @cached_property
+    def dim_grades(self) -> DataFrame:
+        return self.table("part").select(F.col("p_type").alias("grade_family")).distinct()
+
     @cached_property
     def dim_shifts(self) -> DataFrame:
         return self.table("orders").groupBy(F.col("o_orderpriority").alias("shift_id")).agg(

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tonnage.catalog.base import query, rnd, sql
 from tonnage.functions import scalar as S
-from tonnage.plans import contracts, diagnostics, quality
+from tonnage.plans import contracts, packages, quality
 from tonnage.plans.quality import Rule
+from tonnage.sources import sinks
+from tonnage.sources.scratch import scratch
 
 
 def _report(df):
@@ -33,12 +35,15 @@ def _tables(*names):
     return lambda b: {n: b.table(n) for n in names}
 
 
-_COUNTED = ("orders", "part", "supplier", "customer", "nation", "region")
-_dq("dq1_row_counts", _tables(*_COUNTED), [Rule(f"row_count.{t}", "count", t, at_least=1) for t in _COUNTED], "", {f"row_count.{t}": f"SELECT count(*) FROM {t}" for t in _COUNTED})
+_ALL = contracts.SOURCE_TABLES
+_dq("dq1_row_counts", _tables(*_ALL), [Rule(f"row_count.{t}", "count", t, at_least=1) for t in _ALL], "", {f"row_count.{t}": f"SELECT count(*) FROM {t}" for t in _ALL})
 
-_KEYS = {**contracts.BOUND_KEYS, "nation": "n_nationkey", "region": "r_regionkey", "labels": "doc_id", "pages": "page_id"}
-_dq("dq2_primary_keys", _tables(*_KEYS), [Rule(f"primary_key.{t}", "key", t, columns=(k,)) for t, k in _KEYS.items()], "",
-    {f"primary_key.{t}": f"SELECT count(*) - count(DISTINCT {k}) FROM {t}" for t, k in _KEYS.items()})
+_KEYS = {t: (k,) for t, k in {**contracts.BOUND_KEYS, "nation": "n_nationkey", "region": "r_regionkey", "labels": "doc_id", "pages": "page_id", "benchmark": "item_id"}.items()}
+_KEYS |= {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "conversations": ("conv_id", "turn")}
+_MART_KEYS = {"mt1": ("order_id",), "mt2": ("date_key", "line_key", "shift_key"), "fp": ("tube_id",)}
+_KEYED = _KEYS | _MART_KEYS
+_dq("dq2_primary_keys", lambda b: _tables(*_KEYS)(b) | {"mt1": b.stored.order_mart, "mt2": b.stored.shift_mart, "fp": b.production}, [Rule(f"primary_key.{t}", "key", t, columns=k) for t, k in _KEYED.items()], "mt1 mt2 fp",
+    {f"primary_key.{t}": f"SELECT coalesce(sum(CASE WHEN {' OR '.join(f'{c} IS NULL' for c in k)} THEN n ELSE n - 1 END), 0) FROM (SELECT {', '.join(k)}, count(*) AS n FROM {t} GROUP BY ALL) g" for t, k in _KEYED.items()})
 _dq("dq3_lineage", _tables("documents", "conversations"), [
     Rule("lineage.documents", "rows", "documents", "source <> 'web' OR source IS NULL"), Rule("lineage.conversations", "rows", "conversations", "role NOT IN ('user', 'assistant') OR role IS NULL")], "",
     {"lineage.documents": "SELECT count(*) FROM documents WHERE source <> 'web' OR source IS NULL", "lineage.conversations": "SELECT count(*) FROM conversations WHERE role NOT IN ('user', 'assistant') OR role IS NULL"})
@@ -90,31 +95,46 @@ def dq11(b):
 
 
 def _pairs(name, needs, rows):
-    """Reconciliations: (id, left frame, left aggregate, right frame, right aggregate, left SQL, right SQL)."""
-    parts = [f"SELECT '{i}' AS check_id, {rnd(f'({ls})', 4)} AS observed, CASE WHEN abs(({ls}) - ({rs})) <= greatest(1e-12 * greatest(abs(({ls})), abs(({rs}))), 1e-8) THEN 'PASS' ELSE 'FAIL' END AS status" for i, _, _, _, _, ls, rs in rows]
+    """Reconciliations: (id, left total, right total, left SQL, right SQL); a total is an observed (frame, measure) or a function."""
+    parts = [f"SELECT '{i}' AS check_id, {rnd(f'({ls})', 4)} AS observed, CASE WHEN abs(({ls}) - ({rs})) <= greatest(1e-12 * greatest(abs(({ls})), abs(({rs}))), 1e-8) THEN 'PASS' ELSE 'FAIL' END AS status" for i, _, _, ls, rs in rows]
 
     def plan(b):
-        b = b.stored
-        out = [quality.reconcile(i, lf(b), F.expr(lc), rf(b), F.expr(rc)) for i, lf, lc, rf, rc, _, _ in rows]
-        return S.rounded(reduce(lambda x, y: x.unionByName(y), out).select("check_id", "observed", "status"), 4)
+        total = lambda t: t(b.stored) if callable(t) else b.stored.total(*t)
+        out = quality.reconcile_totals(b.spark, [(i, total(left), total(right)) for i, left, right, _, _ in rows])
+        return S.rounded(out.select("check_id", "observed", "status"), 4)
 
     query(name, sql(needs, " UNION ALL ".join(parts)))(plan)
 
 
-_pairs("dq12_layer_counts", "fp fe", [
-    ("count.production", lambda b: b.tubes, "count(1)", lambda b: b.production, "count(1)", "SELECT count(*)::DOUBLE FROM lineitem", "SELECT count(*)::DOUBLE FROM fp"),
-    ("count.energy", lambda b: b.energy_events, "count(1)", lambda b: b.energy, "count(1)", "SELECT 3.0 * count(*)::DOUBLE FROM lineitem", "SELECT count(*)::DOUBLE FROM fe")])
+def _size(frame):
+    """Row count as a total; of a scan it comes from the file footers."""
+    return lambda b: float(frame(b).count())
+
+
+_FACT_COUNTS = [("production", "lineitem", 1, "fp"), ("energy_events", "lineitem", 3, "fe"), ("quality_results", "lineitem", 4, "fq"), ("process_parameters", "lineitem", 1, "process"), ("stop_facts", "orders", 1, "stops")]
+_pairs("dq12_layer_counts", "fp fe fq process stops", [
+    (f"count.{f}", lambda b, t=t, k=k: float(k * b.table(t).count()), (f, "rows"), f"SELECT {k}.0 * count(*)::DOUBLE FROM {t}", f"SELECT count(*)::DOUBLE FROM {v}") for f, t, k, v in _FACT_COUNTS])
+
+
+@query("dq12_curated_counts", " UNION ALL ".join(f"SELECT 'curated.{t}' AS check_id, count(*)::DOUBLE AS observed, 'PASS' AS status FROM {t}" for t in _ALL))
+def dq12_curated(b):
+    """Rows observed while each raw table was copied, against the rows of the copy."""
+    copied = sinks.export_report({t: b.table(t) for t in _ALL}, scratch(b.spark), ("parquet",))
+    ok = F.col("rows") == F.col("source_rows")
+    return copied.select(F.concat(F.lit("curated."), "table_name").alias("check_id"), F.col("source_rows").cast("double").alias("observed"), F.when(ok, "PASS").otherwise("FAIL").alias("status"))
+
+
 _GRAINS = {"mt1": ("order_id",), "mt2": ("date_key", "line_key", "shift_key"), "mt4": ("date_key", "product_key", "line_key", "grade_family", "characteristic", "unit")}
 _dq("dq13_grain_unique", lambda b: {"mt1": b.order_mart, "mt2": b.shift_mart, "mt4": b.quality_mart}, [Rule(f"grain.{m}", "key", m, columns=k) for m, k in _GRAINS.items()], "mt1 mt2 mt4",
     {f"grain.{m}": f"SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM {m} GROUP BY {', '.join(k)}) g" for m, k in _GRAINS.items()}, stored=True)
 _pairs("dq14_reconciliations", "fp fe stops mt1 mt2 mt4 mt5", [
-    ("good.order", lambda b: b.production, "sum(good_mass_t)", lambda b: b.order_mart, "sum(good_tonnes)", "SELECT sum(good_mass_t) FROM fp", "SELECT sum(good_tonnes) FROM mt1"),
-    ("good.shift", lambda b: b.production, "sum(good_mass_t)", lambda b: b.shift_mart, "sum(good_tonnes)", "SELECT sum(good_mass_t) FROM fp", "SELECT sum(good_tonnes) FROM mt2"),
-    ("hours.shift", lambda b: b.production, "sum(productive_hours)", lambda b: b.shift_mart, "sum(productive_hours)", "SELECT sum(productive_hours) FROM fp", "SELECT sum(productive_hours) FROM mt2"),
-    ("energy.order", lambda b: b.energy_events, "sum(energy_kwh)", lambda b: b.order_mart, "sum(energy_kwh)", "SELECT sum(energy_kwh) FROM fe", "SELECT sum(energy_kwh) FROM mt1"),
-    ("energy.mart", lambda b: b.energy_events, "sum(energy_kwh)", lambda b: b.energy_mart, "sum(energy_kwh)", "SELECT sum(energy_kwh) FROM fe", "SELECT sum(energy_kwh) FROM mt5"),
-    ("downtime.shift", lambda b: b.stop_facts, "sum(duration_minutes)", lambda b: b.shift_mart, "sum(unplanned_downtime_minutes)", "SELECT sum(duration_minutes) FROM stops", "SELECT sum(unplanned_downtime_minutes) FROM mt2"),
-    ("inspections", lambda b: b.quality, "count(1)", lambda b: b.quality_mart, "sum(inspection_count)", "SELECT count(*)::DOUBLE FROM fq", "SELECT sum(inspection_count)::DOUBLE FROM mt4")])
+    ("good.order", ("production", "good_mass_t"), ("order_mart", "good_tonnes"), "SELECT sum(good_mass_t) FROM fp", "SELECT sum(good_tonnes) FROM mt1"),
+    ("good.shift", ("production", "good_mass_t"), ("shift_mart", "good_tonnes"), "SELECT sum(good_mass_t) FROM fp", "SELECT sum(good_tonnes) FROM mt2"),
+    ("hours.shift", ("production", "productive_hours"), ("shift_mart", "productive_hours"), "SELECT sum(productive_hours) FROM fp", "SELECT sum(productive_hours) FROM mt2"),
+    ("energy.order", ("energy_events", "energy_kwh"), ("order_mart", "energy_kwh"), "SELECT sum(energy_kwh) FROM fe", "SELECT sum(energy_kwh) FROM mt1"),
+    ("energy.mart", ("energy_events", "energy_kwh"), ("energy_mart", "energy_kwh"), "SELECT sum(energy_kwh) FROM fe", "SELECT sum(energy_kwh) FROM mt5"),
+    ("downtime.shift", ("stop_facts", "duration_minutes"), ("shift_mart", "unplanned_downtime_minutes"), "SELECT sum(duration_minutes) FROM stops", "SELECT sum(unplanned_downtime_minutes) FROM mt2"),
+    ("inspections", ("quality_results", "rows"), ("quality_mart", "inspection_count"), "SELECT count(*)::DOUBLE FROM fq", "SELECT sum(inspection_count)::DOUBLE FROM mt4")])
 _F1, _F2, _F3 = ("abs(tbh - good_tonnes / NULLIF(productive_hours, 0)) > 1e-10",) * 2 + ("abs(mix_adjusted_tbh_gap - (actual_tbh - mix_expected_tbh)) > 1e-10",)
 _dq("dq15_formulas", lambda b: {"mt1": b.order_mart, "mt2": b.shift_mart, "dg2": b.mix}, [Rule("formula.order_tbh", "rows", "mt1", _F1), Rule("formula.shift_tbh", "rows", "mt2", _F2), Rule("formula.mix_gap", "rows", "dg2", _F3)], "mt1 mt2 dg2",
     {"formula.order_tbh": f"SELECT count(*) FROM mt1 WHERE {_F1}", "formula.shift_tbh": f"SELECT count(*) FROM mt2 WHERE {_F2}", "formula.mix_gap": f"SELECT count(*) FROM dg2 WHERE {_F3}"}, stored=True)
@@ -123,9 +143,11 @@ _dq("dq16_bounds", lambda b: {"mt2": b.shift_mart, "mt8": b.pareto}, [Rule(f"bou
     {f"bounds.{t}.{c}": f"SELECT count(*) FROM {t} WHERE {c} NOT BETWEEN 0 AND 1 + 1e-9" for t, cs in _BOUNDS.items() for c in cs}, stored=True)
 _dq("dq17_point_in_time", lambda b: {"pt1": b.pre_order, "pt2": b.in_process, "pt3": b.asset_snapshot}, [Rule(f"leak.{t}", "rows", t, "feature_max_source_ts > snapshot_ts") for t in ("pt1", "pt2", "pt3")], "pt1 pt2 pt3",
     {f"leak.{t}": f"SELECT count(*) FROM {t} WHERE feature_max_source_ts > snapshot_ts" for t in ("pt1", "pt2", "pt3")})
-_pairs("dq19_snapshot_counts", "pt1 pt3 ev cal ev_assets", [
-    ("count.pre_order", lambda b: b.pre_order, "count(1)", lambda b: b.event_orders, "count(1)", "SELECT count(*)::DOUBLE FROM pt1", "SELECT count(*)::DOUBLE FROM ev WHERE event_type = 'purchase'"),
-    ("count.asset_window", lambda b: b.asset_snapshot, "count(1)", lambda b: b.windows, "count(1)", "SELECT count(*)::DOUBLE FROM pt3", "SELECT (SELECT date_diff('day', first_day, last_day) + 1 FROM cal) * (SELECT count(*) FROM ev_assets) * 12.0")])
+_pairs("dq19_snapshot_counts", "pt1 pt2 pt3 ev cal ev_assets", [
+    ("count.pre_order", _size(lambda b: b.pre_order), _size(lambda b: b.event_orders), "SELECT count(*)::DOUBLE FROM pt1", "SELECT count(*)::DOUBLE FROM ev WHERE event_type = 'purchase'"),
+    ("count.in_process", _size(lambda b: b.in_process), _size(lambda b: b.user_process.join(b.stage_events.select("tube_id").distinct(), "tube_id")), "SELECT count(*)::DOUBLE FROM pt2",
+     "SELECT count(*)::DOUBLE FROM (SELECT DISTINCT user_id, line_id FROM ev WHERE event_type = 'view') v JOIN (SELECT DISTINCT user_id FROM ev WHERE event_type = 'purchase') p USING (user_id)"),
+    ("count.asset_window", _size(lambda b: b.asset_snapshot), _size(lambda b: b.windows), "SELECT count(*)::DOUBLE FROM pt3", "SELECT (SELECT date_diff('day', first_day, last_day) + 1 FROM cal) * (SELECT count(*) FROM ev_assets) * 12.0")])
 
 
 @query("dq20_required_kpis", "SELECT p_type AS kpi_name FROM (VALUES ('ECONOMY'), ('LUXURY'), ('SMALL'), ('VINTAGE')) r(p_type) WHERE p_type NOT IN (SELECT p_type FROM part)")
@@ -149,16 +171,21 @@ def dq22(b):
 _dq("dq23_targets_after_snapshot", lambda b: {"pt6": b.window_labels}, [Rule("targets.asset_window", "rows", "pt6", "target_available_at_ts <= snapshot_ts")], "pt6", {"targets.asset_window": "SELECT count(*) FROM pt6 WHERE target_available_at_ts <= snapshot_ts"})
 
 
-@query("dq24_export_counts")
+#: SQL view behind each exported table.
+EXPORT_VIEWS = {
+    "dim_date": "dim_date", "dim_product": "dim_product", "dim_line": "dim_line", "dim_shift": "dim_shift", "dim_asset": "ev_assets", "fact_line_shift": "mt2", "fact_order": "mt1", "fact_quality": "mt4",
+    "fact_energy": "mt5", "fact_downtime": "fd", "fact_maintenance": "fm", "fact_losses": "mt8", "fact_asset_condition": "mt7", "daily_trend": "dg1", "mix_adjustment": "dg2", "spc_tbh": "dg3",
+    "spc_quality": "dg4", "process_interactions": "dg5", "segment_associations": "dg6", "loss_pareto": "mt8",
+}
+
+
+@query("dq24_export_counts", sql(" ".join(dict.fromkeys(EXPORT_VIEWS.values())), " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, f AS format, count(*) AS rows, 'PASS' AS status FROM {v} CROSS JOIN (VALUES ('parquet'), ('csv')) x(f) GROUP BY f" for t, v in EXPORT_VIEWS.items())))
 def dq24(b):
-    """Rows read back from the written files against the source."""
-    from tonnage.sources.scratch import scratch
-    from tonnage.sources import sinks
-
-    frames = {t: b.table(t) for t in ("supplier", "part", "orders")}
-    written = sinks.export_package(frames, scratch(b.spark))
-    truth = reduce(lambda x, y: x.unionByName(y), [df.agg(F.count(F.lit(1)).alias("source_rows")).withColumn("table_name", F.lit(t)) for t, df in frames.items()])
-    return written.join(truth, "table_name").withColumn("status", F.when(F.col("rows") == F.col("source_rows"), "PASS").otherwise("FAIL"))
+    """Both packages: rows in the files of each format against the rows observed while they were written."""
+    frames = packages.package(b.stored, packages.BI_TABLES) | packages.package(b.stored, packages.DIAGNOSTIC_TABLES)
+    report = sinks.export_report(frames, scratch(b.spark))
+    return report.select("table_name", "format", "rows", F.when(F.col("rows") == F.col("source_rows"), "PASS").otherwise("FAIL").alias("status"))
 
 
 _dq("dq25_spc_guardrails", lambda b: {"dg3": b.tbh_chart, "dg4": b.quality_chart}, [

@@ -10,7 +10,8 @@ from tonnage.catalog.star_queries import TS, day, dtx, texted, tx
 from tonnage.catalog.views import corr_sql
 from tonnage.functions import scalar as S
 from tonnage.operators import asof, lookup, ordered
-from tonnage.plans import contracts
+from tonnage.catalog.quality_queries import EXPORT_VIEWS
+from tonnage.plans import contracts, packages
 from tonnage.sources import sinks, tables
 from tonnage.sources.scratch import scratch
 
@@ -21,10 +22,11 @@ def src1(b):
     return tables.read_table(b.spark, b.sf_dir, "orders.parquet").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src2_named_views", "SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("src2_named_views", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in contracts.SOURCE_TABLES))
 def src2(b):
-    tables.register_layer(b.spark, {t: b.table(t) for t in ("nation", "region")}, "raw")
-    return b.spark.sql("SELECT r_name, count(*) AS nations FROM raw_nation JOIN raw_region ON n_regionkey = r_regionkey GROUP BY r_name")
+    """Every given table as a named view, read through SQL."""
+    views = tables.register_layer(b.spark, {t: b.table(t) for t in contracts.SOURCE_TABLES}, "raw")
+    return b.spark.sql(" UNION ALL ".join(f"SELECT '{v.removeprefix('raw_')}' AS table_name, count(*) AS rows FROM {v}" for v in views))
 
 
 @query("src3_column_scan", f"SELECT l_returnflag AS m, {rnd('sum(l_quantity)')} AS x FROM lineitem GROUP BY 1")
@@ -44,11 +46,21 @@ def src5(b):
     return tables.step_series(b.event_assets.select("asset_id"), 0, 24, 2, "window_hour")
 
 
+_OVER = "sum({0} * {1}) / nullif(sum({1}), 0)"
+_AVAIL = "sum(productive_hours) / nullif(sum(productive_hours) + sum(unplanned_downtime_minutes) / 60.0, 0)"
+_PERF = "least(sum(total_tonnes) / nullif(42.0 * sum(productive_hours), 0), 1.0)"
+_QUAL = "sum(good_tonnes) / nullif(sum(total_tonnes), 0)"
+_OF = "sum(CASE WHEN characteristic IN ({1}) THEN {0} * inspection_count END) / nullif(sum(CASE WHEN characteristic IN ({1}) THEN inspection_count END), 0)"
+#: Formulas over the line-shift mart, and over the quality mart. The probability stays empty until a model's output is stored.
 _KPI_VALUES = {
-    "good_tonnes": "sum(good_tonnes)", "productive_hours": "sum(productive_hours)", "tbh": "sum(good_tonnes) / sum(productive_hours)",
-    "fpy": "sum(fpy * tube_count) / sum(tube_count)", "scrap_rate": "sum(scrap_rate * tube_count) / sum(tube_count)",
-    "rework_rate": "sum(rework_rate * tube_count) / sum(tube_count)", "energy_per_good_tonne": "sum(energy_kwh) / sum(good_tonnes)",
-    "unplanned_downtime": "sum(unplanned_downtime_minutes)",
+    "good_tonnes": "sum(good_tonnes)", "productive_hours": "sum(productive_hours)", "tbh": "sum(good_tonnes) / nullif(sum(productive_hours), 0)",
+    "fpy": _OVER.format("fpy", "tube_count"), "availability": _AVAIL, "performance": _PERF, "quality": _QUAL, "oee": f"({_AVAIL}) * ({_PERF}) * ({_QUAL})",
+    "scrap_rate": _OVER.format("scrap_rate", "tube_count"), "rework_rate": _OVER.format("rework_rate", "tube_count"),
+    "energy_per_good_tonne": "sum(energy_kwh) / nullif(sum(good_tonnes), 0)", "unplanned_downtime": "sum(unplanned_downtime_minutes)",
+}
+_QUALITY_KPIS = {
+    "outer_diameter_deviation": _OF.format("mean_value", "'outer_diameter_deviation_mm'"), "wall_eccentricity": _OF.format("mean_value", "'wall_eccentricity_pct'"),
+    "ovality": _OF.format("mean_value", "'ovality_pct'"), "simulated_mechanical_conformance": _OF.format("conformance_rate", "'yield_strength_mpa', 'tensile_strength_mpa'"),
 }
 
 
@@ -65,14 +77,20 @@ def src6(b):
     return declared.join(seen, "table_name")
 
 
-@query("mt9_kpi_catalog", sql("mt2", "SELECT kpi_name, value FROM (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS kpi_name, {rnd(e, 4)} AS value FROM mt2" for n, e in _KPI_VALUES.items()) + ") k"))
+_AS_DOUBLE = lambda e: e.replace("60.0", "60.0::DOUBLE").replace("42.0", "42.0::DOUBLE").replace("1.0)", "1.0::DOUBLE)")
+
+
+@query("mt9_kpi_catalog", sql("mt2 mt4", "SELECT kpi_name, value FROM (" + " UNION ALL ".join(
+    [f"SELECT '{n}' AS kpi_name, {rnd(_AS_DOUBLE(e), 4)} AS value FROM {t}" for t, kpis in (("mt2", _KPI_VALUES), ("mt4", _QUALITY_KPIS)) for n, e in kpis.items()]
+    + ["SELECT 'next_window_downtime_probability', NULL::DOUBLE"]) + ") k"))
 def mt9(b):
-    """Catalogue entries with the value each line-shift KPI has on the data."""
+    """All catalogue entries with the value each KPI has on the data (null while nothing defines one)."""
     catalogue = tables.literal_table(b.spark, [(n,) for n in contracts.KPI_NAMES], "kpi_name string")
-    values = b.shift_mart.agg(*[F.expr(e).alias(n) for n, e in _KPI_VALUES.items()])
-    long = values.unpivot([], list(_KPI_VALUES), "kpi_name", "value")
-    return S.rounded(catalogue.join(long, "kpi_name"), 4)
+    long = None
+    for mart, kpis in ((b.stored.shift_mart, _KPI_VALUES), (b.stored.quality_mart, _QUALITY_KPIS)):
+        part = mart.agg(*[F.expr(e).cast("double").alias(n) for n, e in kpis.items()]).unpivot([], list(kpis), "kpi_name", "value")
+        long = part if long is None else long.unionByName(part)
+    return S.rounded(catalogue.join(long, "kpi_name", "left"), 4)
 
 
 @query("src7_document_scan")
@@ -86,9 +104,14 @@ def src7(b):
 
 
 # ---- sinks ---------------------------------------------------------------------------------------
-@query("snk1_curated_copy", "SELECT 'part' AS table_name, count(*) AS rows FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'orders', count(*) FROM orders")
+@query("snk1_curated_copy", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in contracts.SOURCE_TABLES))
 def snk1(b):
-    return sinks.export_package({t: b.table(t) for t in ("part", "supplier", "orders")}, scratch(b.spark), ("parquet",))
+    return sinks.export_package({t: b.table(t) for t in contracts.SOURCE_TABLES}, scratch(b.spark), ("parquet",))
+
+
+def _counted(views):
+    """SQL row counts of exported tables, from table name to view."""
+    return sql(" ".join(dict.fromkeys(views.values())), " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {v}" for t, v in views.items()))
 
 
 @query("snk2_partitioned_write", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
@@ -100,26 +123,20 @@ def snk2(b):
     return back.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk3_bi_export", sql("mt2 mt3 mt5 mt8", "SELECT 'line_shift_performance' AS table_name, count(*) AS rows FROM mt2 UNION ALL SELECT 'line_shift_summary', count(*) FROM mt3 UNION ALL SELECT 'energy_summary', count(*) FROM mt5 UNION ALL SELECT 'loss_pareto', count(*) FROM mt8"))
+@query("snk3_bi_export", _counted({t: EXPORT_VIEWS[t] for t in packages.BI_TABLES}))
 def snk3(b):
-    b = b.stored
-    frames = {"line_shift_performance": b.shift_mart, "line_shift_summary": b.shift_summary, "energy_summary": b.energy_mart, "loss_pareto": b.pareto}
-    return sinks.export_package(frames, scratch(b.spark))
+    return sinks.export_package(packages.package(b.stored, packages.BI_TABLES), scratch(b.spark))
 
 
-@query("snk4_diagnostic_export", sql("dg1 dg2 dg3", "SELECT 'daily_trend' AS table_name, count(*) AS rows FROM dg1 UNION ALL SELECT 'mix_adjustment', count(*) FROM dg2 UNION ALL SELECT 'spc_tbh', count(*) FROM dg3"))
+@query("snk4_diagnostic_export", _counted({t: EXPORT_VIEWS[t] for t in packages.DIAGNOSTIC_TABLES}))
 def snk4(b):
-    b = b.stored
-    return sinks.export_package({"daily_trend": b.trend, "mix_adjustment": b.mix, "spc_tbh": b.tbh_chart}, scratch(b.spark))
+    return sinks.export_package(packages.package(b.stored, packages.DIAGNOSTIC_TABLES), scratch(b.spark))
 
 
-@query("snk5_feature_package", sql("pt6", "SELECT t AS table_name, count(*) AS rows FROM pt6 CROSS JOIN (VALUES ('X'), ('index'), ('y')) v(t) GROUP BY 1"))
+@query("snk5_feature_package", sql("pt1 pt3 pt6 mt1", "SELECT s || '_' || t AS table_name, count(*) AS rows FROM (SELECT 'pre_order' AS s FROM pt1 JOIN mt1 USING (order_id) UNION ALL SELECT 'asset_window' FROM pt3 JOIN pt6 USING (window_id)) k "
+    "CROSS JOIN (VALUES ('X'), ('index'), ('y')) v(t) GROUP BY 1"))
 def snk5(b):
-    from tonnage.plans.features import select_xy
-
-    covered = b.asset_snapshot.join(b.window_labels.select("window_id"), "window_id", "left_semi")
-    x, index, y = select_xy(covered, b.window_labels, "window_id", ["window_hour", "prior_7d_downtime_events"], ["next_window_downtime_occurred"])
-    return sinks.export_package({"X": x, "index": index, "y": y}, scratch(b.spark), ("parquet",))
+    return sinks.export_package(packages.feature_package(b.stored), scratch(b.spark), ("parquet",))
 
 
 @query("snk6_fingerprint")
@@ -127,10 +144,11 @@ def snk6(b):
     return sinks.fingerprint(b.table("lineitem"))
 
 
-@query("snk7_bi_views", sql("mt3", f"SELECT line_id, shift_id, {rnd('tbh')} AS tbh FROM mt3"))
+@query("snk7_bi_views", _counted({t: EXPORT_VIEWS[t] for t in packages.BI_TABLES}))
 def snk7(b):
-    tables.register_layer(b.spark, {"line_shift_summary": b.shift_summary}, "bi")
-    return S.rounded(b.spark.sql("SELECT line_id, shift_id, tbh FROM bi_line_shift_summary"))
+    """Every table of the BI package as a named view, read through SQL."""
+    views = tables.register_layer(b.spark, packages.package(b.stored, packages.BI_TABLES), "bi")
+    return b.spark.sql(" UNION ALL ".join(f"SELECT '{v.removeprefix('bi_')}' AS table_name, count(*) AS rows FROM {v}" for v in views))
 
 
 @query("snk9_flat_rows")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tonnage.catalog.base import cols, query, sql
 from tonnage.functions.scalar import rounded, text_ts
-from tonnage.plans import diagnostics, features, marts, measures, readmodel
+from tonnage.plans import contracts, diagnostics, features, marts, measures, packages, readmodel
 
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -59,7 +59,7 @@ _FP = "tube_id order_id date_key product_key line_key shift_key product_code gra
 
 @query("fc1_fact_production", sql("fp", f"SELECT {cols(_FP)}, {tx('actual_end_ts')}, {cols('total_mass_t good_mass_t productive_hours actual_tph rework_mass_t scrap_mass_t', 6)} FROM fp"))
 def fc1(b):
-    return rounded(texted(b.production, "actual_end_ts").drop("actual_start_ts"))
+    return rounded(texted(b.production, "actual_end_ts").drop("actual_start_ts", "tube_key", "grade_key"))
 
 
 @query("fc2_fact_quality", sql("fq", f"SELECT {cols('quality_result_id tube_id order_id date_key product_key line_key shift_key characteristic unit passed')}, {cols('measured_value', 6)} FROM fq"))
@@ -181,6 +181,9 @@ _measure_query("me6_mechanical_conformance", lambda b: b.quality_mart, "product_
     "mechanical_conformance": "sum(conformance_rate * inspection_count) FILTER (characteristic IN ('yield_strength_mpa', 'tensile_strength_mpa')) / NULLIF(sum(inspection_count) FILTER (characteristic IN ('yield_strength_mpa', 'tensile_strength_mpa')), 0)"})
 
 
+_P1F = "ambient_temperature_c carbon_pct manganese_pct chromium_pct molybdenum_pct billet_diameter_mm billet_mass_kg"
+
+
 # ---- snapshots and labels ------------------------------------------------------------------------
 _P1 = "order_id product_code grade_family line_id shift_id committed_sequence hours_since_last_maintenance"
 
@@ -232,11 +235,25 @@ def pt6(b):
     return rounded(texted(b.window_labels, "snapshot_ts", "target_available_at_ts"))
 
 
-@query("pt7_contract_selection", sql("pt3 pt6", f"""SELECT p.window_id AS sample_key, window_hour, prior_7d_downtime_events, prior_30d_downtime_events, asset_type, {cols('prior_mean_tool_wear', 6)},
-  strftime(p.snapshot_ts, {TS}) AS snapshot_ts, {tx('feature_max_source_ts')}, {tx('target_available_at_ts')}, next_window_downtime_occurred FROM pt3 p JOIN pt6 l USING (window_id)"""))
+_PT7 = [c for c in contracts.ASSET_WINDOW_FEATURES if c not in ("asset_criticality", *_P3D.split())]
+
+
+@query("pt7_contract_selection", sql("pt3 pt6", f"""SELECT p.window_id AS sample_key, {cols(' '.join(_PT7))}, criticality AS asset_criticality, {cols(_P3D, 6)},
+  strftime(p.snapshot_ts, {TS}) AS snapshot_ts, {tx('feature_max_source_ts')}, {tx('target_available_at_ts')}, next_window_downtime_occurred, {cols('next_window_downtime_duration_minutes', 6)}
+  FROM pt3 p JOIN pt6 l USING (window_id)"""))
 def pt7(b):
-    chosen = ["window_hour", "prior_7d_downtime_events", "prior_30d_downtime_events", "asset_type", "prior_mean_tool_wear"]
-    x, index, y = features.select_xy(b.asset_snapshot, b.window_labels, "window_id", chosen, ["next_window_downtime_occurred"])
+    snapshot, labels, key, chosen, targets = packages.contract_frames(b)["asset_window"]
+    x, index, y = features.select_xy(snapshot, labels, key, chosen, targets)
+    joined = x.join(index.drop("entity_id"), "sample_key").join(y, "sample_key")
+    return rounded(texted(joined, "snapshot_ts", "feature_max_source_ts", "target_available_at_ts"))
+
+
+@query("pt7_pre_order_selection", sql("pt1 mt1 fp", f"""SELECT p.order_id AS sample_key, p.product_code, p.grade_family, p.line_id, p.shift_id, committed_sequence, {cols(_P1F, 6)}, strftime(p.snapshot_ts, {TS}) AS snapshot_ts,
+  {tx('feature_max_source_ts')}, {tx('target_available_at_ts')}, {cols('tbh fpy energy_per_good_tonne_kwh_t rework_rate scrap_rate', 6)}
+  FROM pt1 p JOIN mt1 USING (order_id) JOIN (SELECT order_id, max(actual_end_ts) AS target_available_at_ts FROM fp GROUP BY 1) a USING (order_id)"""))
+def pt7_orders(b):
+    snapshot, labels, key, chosen, targets = packages.contract_frames(b)["pre_order"]
+    x, index, y = features.select_xy(snapshot, labels, key, chosen, targets)
     joined = x.join(index.drop("entity_id"), "sample_key").join(y, "sample_key")
     return rounded(texted(joined, "snapshot_ts", "feature_max_source_ts", "target_available_at_ts"))
 
@@ -257,7 +274,7 @@ def dg2(b):
 
 @query("dg3_spc_tbh", sql("dg3", f"SELECT {cols('date_key line_key shift_key line_id shift_id baseline_observations baseline_end_date_key limits_reliable control_signal')}, {cols('tbh centerline_tbh lower_control_tbh upper_control_tbh', 6)} FROM dg3"))
 def dg3(b):
-    return rounded(b.tbh_chart)
+    return rounded(b.stored.tbh_chart)
 
 
 _D4K = "date_key product_key line_key product_code grade_family line_id characteristic unit inspection_count baseline_observations baseline_end_date_key limits_reliable control_signal"
@@ -332,10 +349,10 @@ def rm4(b):
     return rounded(day(readmodel.mix_by_date(b.stored.mix), "full_date"))
 
 
-@query("rm5_quality_alerts", sql("dg4_tight", f"""SELECT * FROM (SELECT {_MONTHKEY} AS full_date, line_id, product_code, grade_family, characteristic, {cols('mean_value conformance_rate', 5)}, control_signal
-  FROM dg4_tight WHERE limits_reliable AND control_signal) x ORDER BY full_date DESC, line_id, product_code, grade_family, characteristic LIMIT 100"""))
+@query("rm5_quality_alerts", sql("dg4", f"""SELECT * FROM (SELECT {_MONTHKEY} AS full_date, line_id, product_code, grade_family, characteristic, {cols('mean_value conformance_rate', 5)}, control_signal
+  FROM dg4 WHERE limits_reliable AND control_signal) x ORDER BY full_date DESC, line_id, product_code, grade_family, characteristic LIMIT 100"""))
 def rm5(b):
-    return rounded(day(readmodel.quality_alerts(diagnostics.spc_quality(b.stored.quality_mart, k=1.5)), "full_date"), 5)
+    return rounded(day(readmodel.quality_alerts(b.stored.quality_chart), "full_date"), 5)
 
 
 @query("rm6_tbh_control", sql("dg3", f"SELECT {_MONTHKEY} AS full_date, line_id, shift_id, control_signal, {cols('tbh lower_control_tbh upper_control_tbh', 6)} FROM dg3 WHERE limits_reliable ORDER BY 1, 2, 3"))

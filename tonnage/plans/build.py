@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonnage.bindings import SENSORS, Plant
+from tonnage.operators.ordered import range_count
 from tonnage.plans import diagnostics, features, marts, star
 from tonnage.sources.scratch import written
+from tonnage.sources.warehouse import Totals, bucketed, source_version
 
 PERIOD = "yyyyMM"  # month keys give the order plant several rows per cell
 
 
+#: Control totals of each stored frame: SQL aggregates, observed while it is written.
+TOTALS = {
+    "production": {"rows": "count(1)", "good_mass_t": "sum(good_mass_t)", "productive_hours": "sum(productive_hours)"},
+    "energy_events": {"rows": "count(1)", "energy_kwh": "sum(energy_kwh)"},
+    "quality_results": {"rows": "count(1)"},
+    "process_parameters": {"rows": "count(1)"},
+    "stop_facts": {"rows": "count(1)", "duration_minutes": "sum(duration_minutes)"},
+    "order_mart": {"rows": "count(1)", "good_tonnes": "sum(good_tonnes)", "energy_kwh": "sum(energy_kwh)"},
+    "shift_mart": {
+        "rows": "count(1)", "good_tonnes": "sum(good_tonnes)", "productive_hours": "sum(productive_hours)",
+        "unplanned_downtime_minutes": "sum(unplanned_downtime_minutes)",
+    },
+    "quality_mart": {"rows": "count(1)", "inspection_count": "sum(inspection_count)"},
+    "energy_mart": {"rows": "count(1)", "energy_kwh": "sum(energy_kwh)"},
+}
+
+
 class Build(Plant):
+    """Facts come from the stored tables of the session, one write for all builds over the same files; the rest is lazy."""
+
     # order plant
+    @cached_property
+    def stored(self) -> "StoredBuild":
+        """The build whose facts and marts are tables; for plans that read them several times."""
+        return stored_build(self.spark, self.sf_dir)
+
     @cached_property
     def products(self) -> DataFrame:
         return star.dim_product(self.dim_products)
@@ -28,9 +54,25 @@ class Build(Plant):
     def shifts_dim(self) -> DataFrame:
         return star.dim_shift(self.dim_shifts)
 
+    @cached_property
+    def grades_dim(self) -> DataFrame:
+        return star.dim_grade(self.dim_grades)
+
     @cached_property
     def production(self) -> DataFrame:
-        return star.fact_production(self.tubes, self.products, self.lines_dim, self.shifts_dim, PERIOD)
+        return self.stored.production
+
+    @cached_property
+    def energy_events(self) -> DataFrame:
+        return self.stored.energy_events
+
+    @cached_property
+    def quality_results(self) -> DataFrame:
+        return self.stored.quality_results
+
+    @cached_property
+    def process_parameters(self) -> DataFrame:
+        return self.stored.process_parameters
 
     @cached_property
     def energy(self) -> DataFrame:
@@ -40,24 +82,18 @@ class Build(Plant):
     def tube_energy(self) -> DataFrame:
         return star.energy_totals(self.energy_events, self.production, PERIOD)
 
-    @cached_property
-    def stored(self) -> "StoredBuild":
-        """The same build over facts and marts written once; for plans that read them several times."""
-        return StoredBuild(self.spark, self.sf_dir)
-
     @cached_property
     def quality(self) -> DataFrame:
         return star.fact_quality(self.quality_results, self.production, PERIOD)
 
     @cached_property
     def stop_facts(self) -> DataFrame:
-        keyed = self.stops.join(self.lines_dim.select("line_id", "line_key"), "line_id")
-        keyed = keyed.join(self.shifts_dim.select("shift_id", "shift_key"), "shift_id")
-        return features.period_of(keyed, "event_start_ts", PERIOD)
+        return self.stored.stop_facts
 
     @cached_property
     def order_mart(self) -> DataFrame:
-        return marts.order_performance(self.production, self.tube_energy)
+        names = (self.stored.products, self.stored.lines_dim, self.stored.shifts_dim, self.stored.grades_dim)
+        return marts.order_performance(self.production, self.tube_energy, *names)
 
     @cached_property
     def shift_mart(self) -> DataFrame:
@@ -167,32 +203,108 @@ class Build(Plant):
 
 
 class StoredBuild(Build):
-    """Facts and marts as tables: each is written to shared storage on first use and read from there."""
+    """Facts and marts as tables: each is written to shared storage on first use, with its totals observed, and read from there.
+
+    Facts of tubes are bucketed by tube_key: joins between them and aggregations per tube need no exchange."""
+
+    @cached_property
+    def totals(self) -> Totals:
+        return Totals()
+
+    def total(self, name: str, measure: str) -> float | None:
+        """A control total of a stored frame; the frame is written if it was not yet."""
+        getattr(self, name)
+        return self.totals.of(name)[measure]
+
+    def _watched(self, name: str, df: DataFrame) -> DataFrame:
+        return self.totals.watch(df, name, TOTALS[name])
+
+    def _mart(self, name: str) -> DataFrame:
+        return written(self._watched(name, getattr(Build, name).func(self)), name)
+
+    def _events(self, name: str) -> DataFrame:
+        return bucketed(self._watched(name, getattr(Plant, name).func(self)), name, "tube_key", exchanged=True)
 
     @property
     def stored(self) -> "StoredBuild":
         return self
 
+    @cached_property
+    def products(self) -> DataFrame:
+        return written(Build.products.func(self), "dim_product")
+
+    @cached_property
+    def lines_dim(self) -> DataFrame:
+        return written(Build.lines_dim.func(self), "dim_line")
+
+    @cached_property
+    def shifts_dim(self) -> DataFrame:
+        return written(Build.shifts_dim.func(self), "dim_shift")
+
+    @cached_property
+    def grades_dim(self) -> DataFrame:
+        return written(Build.grades_dim.func(self), "dim_grade")
+
+    @cached_property
+    def line_rows(self) -> DataFrame:
+        """One exchange by tube; the rows that events are made of multiply only after it."""
+        rows = Plant.line_rows.func(self)
+        return rows.repartition(range_count(rows), "tube_key")
+
     @cached_property
     def production(self) -> DataFrame:
-        return written(Build.production.func(self), "fact_production")
+        tubes = Plant(self.spark, self.sf_dir).tubes
+        made = star.fact_production(tubes, self.products, self.lines_dim, self.shifts_dim, PERIOD, self.grades_dim)
+        parts = range_count(made)
+        return bucketed(self._watched("production", made.repartition(parts, "tube_key")), "fact_production", "tube_key", exchanged=True)
 
     @cached_property
-    def tube_energy(self) -> DataFrame:
-        return written(Build.tube_energy.func(self), "tube_energy")
+    def energy_events(self) -> DataFrame:
+        return self._events("energy_events")
+
+    @cached_property
+    def quality_results(self) -> DataFrame:
+        return self._events("quality_results")
+
+    @cached_property
+    def process_parameters(self) -> DataFrame:
+        return self._events("process_parameters")
+
+    @cached_property
+    def stop_facts(self) -> DataFrame:
+        keyed = self.stops.join(self.lines_dim.select("line_id", "line_key"), "line_id")
+        keyed = keyed.join(self.shifts_dim.select("shift_id", "shift_key"), "shift_id")
+        return written(self._watched("stop_facts", features.period_of(keyed, "event_start_ts", PERIOD)), "stop_facts")
 
     @cached_property
     def order_mart(self) -> DataFrame:
-        return written(Build.order_mart.func(self), "order_performance")
+        return self._mart("order_mart")
 
     @cached_property
     def shift_mart(self) -> DataFrame:
-        return written(Build.shift_mart.func(self), "line_shift_performance")
+        return self._mart("shift_mart")
 
     @cached_property
     def quality_mart(self) -> DataFrame:
-        return written(Build.quality_mart.func(self), "quality_summary")
+        return self._mart("quality_mart")
+
+    @cached_property
+    def energy_mart(self) -> DataFrame:
+        return self._mart("energy_mart")
 
     @cached_property
     def cells(self) -> DataFrame:
         return written(Build.cells.func(self), "process_interactions")
+
+
+_STORES: dict[str, tuple[tuple, StoredBuild]] = {}
+_SOURCES = ("lineitem", "orders", "part", "supplier", "customer", "nation", "region")
+
+
+def stored_build(spark: SparkSession, sf_dir: str) -> StoredBuild:
+    """The stored build of this session over these files: made anew when a file is another than when it was written."""
+    version = (spark.sparkContext.applicationId, source_version(spark, [f"{sf_dir}/{t}.parquet" for t in _SOURCES]))
+    known = _STORES.get(sf_dir)
+    if known is None or known[0] != version:
+        known = _STORES[sf_dir] = (version, StoredBuild(spark, sf_dir))
+    return known[1]

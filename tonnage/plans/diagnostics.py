@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonnage.functions.scalar import flag, safe_corr, safe_ratio
 from tonnage.operators.ordered import exact_quantiles, tiles
 from tonnage.plans.features import DIMENSIONAL, pivot_characteristics
+from tonnage.plans.star import tube_keys
 from tonnage.sources.scratch import written
 
 
@@ -144,10 +145,11 @@ def interactions(
 
 
 def process_interactions(production: DataFrame, process: DataFrame, quality: DataFrame, energy: DataFrame) -> DataFrame:
-    state = process.select("tube_id", "roll_speed_rpm", "thermal_uniformity_index", "tool_wear_index")
-    used = energy.groupBy("tube_id").agg(F.sum("energy_kwh").alias("energy_kwh"))
-    made = production.select("tube_id", "product_code", "grade_family", "line_id", "actual_tph", "approved_first_pass", "disposition")
-    ranked = made.join(state, "tube_id").join(pivot_characteristics(quality, DIMENSIONAL), "tube_id").join(used, "tube_id")
+    keys = tube_keys(production, process, quality, energy)
+    state = process.select(*keys, "roll_speed_rpm", "thermal_uniformity_index", "tool_wear_index")
+    used = energy.groupBy(*keys).agg(F.sum("energy_kwh").alias("energy_kwh"))
+    made = production.select(*keys, "product_code", "grade_family", "line_id", "actual_tph", "approved_first_pass", "disposition")
+    ranked = made.join(state, keys).join(pivot_characteristics(quality, DIMENSIONAL), keys).join(used, keys)
     # two rankings read these rows four times
     ranked = written(ranked, "ranked_tubes")
     means = {
@@ -189,9 +191,10 @@ SEGMENT_PAIRS = {
 
 
 def segment_associations(production: DataFrame, process: DataFrame, quality: DataFrame) -> DataFrame:
-    state = process.select("tube_id", "roll_speed_rpm", "thermal_uniformity_index", "tool_wear_index", "sensor_degradation_index")
-    made = production.select("tube_id", "product_code", "grade_family", "line_id", "actual_tph")
-    joined = made.join(state, "tube_id").join(pivot_characteristics(quality, ("wall_eccentricity_pct",)), "tube_id")
+    keys = tube_keys(production, process, quality)
+    state = process.select(*keys, "roll_speed_rpm", "thermal_uniformity_index", "tool_wear_index", "sensor_degradation_index")
+    made = production.select(*keys, "product_code", "grade_family", "line_id", "actual_tph")
+    joined = made.join(state, keys).join(pivot_characteristics(quality, ("wall_eccentricity_pct",)), keys)
     return associations(joined, SEGMENT_PAIRS, ["product_code", "grade_family", "line_id"])
 
 

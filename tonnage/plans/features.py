@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import add_seconds, flag, hour_boundaries, period_key, safe_ratio, shift_start_hour
 from tonnage.operators.asof import EventSource, Lookback, asof_last, lookahead_agg, lookback_agg
+from tonnage.plans.star import tube_keys
 from tonnage.sources.tables import time_grid
 
 GRID_STEP_HOURS = 2
@@ -136,15 +137,16 @@ def order_labels(production: DataFrame, order_mart: DataFrame) -> DataFrame:
 
 def pivot_characteristics(quality: DataFrame, names: Sequence[str]) -> DataFrame:
     picked = [F.max(F.when(F.col("characteristic") == n, F.col("measured_value"))).alias(n) for n in names]
-    return quality.groupBy("tube_id").agg(*picked)
+    return quality.groupBy(*tube_keys(quality)).agg(*picked)
 
 
 DIMENSIONAL = ("outer_diameter_deviation_mm", "wall_eccentricity_pct", "ovality_pct")
 
 
 def tube_labels(production: DataFrame, quality: DataFrame, energy: DataFrame) -> DataFrame:
-    used = energy.groupBy("tube_id").agg(F.sum("energy_kwh").alias("__kwh"))
-    joined = production.join(pivot_characteristics(quality, DIMENSIONAL), "tube_id").join(used, "tube_id")
+    keys = tube_keys(production, quality, energy)
+    used = energy.groupBy(*keys).agg(F.sum("energy_kwh").alias("__kwh"))
+    joined = production.join(pivot_characteristics(quality, DIMENSIONAL), keys).join(used, keys)
     return joined.select(
         "tube_id",
         F.col("actual_end_ts").alias("target_available_at_ts"),

@@ -33,12 +33,20 @@ def _carried(*names: str) -> list[Column]:
     return [F.min(n).alias(n) for n in names]
 
 
-def order_performance(production: DataFrame, energy: DataFrame) -> DataFrame:
-    """Per order; orders without any energy event drop out."""
-    carried = _carried("date_key", "product_key", "line_key", "shift_key", "product_code", "grade_family", "line_id", "shift_id")
+def order_performance(
+    production: DataFrame, energy: DataFrame, products: DataFrame, lines: DataFrame, shifts: DataFrame, grades: DataFrame
+) -> DataFrame:
+    """Per order; orders without any energy event drop out.
+
+    Surrogate keys ascend with the names, so an order's least name is that of its least key: numbers are aggregated (min of a
+    text would sort all tubes) and the names looked up for the orders only."""
+    carried = _carried("date_key", "product_key", "line_key", "shift_key", "grade_key")
     made = production.groupBy("order_id").agg(*carried, *_production_aggs())
     used = energy.groupBy("order_id").agg(F.sum("energy_kwh").alias("energy_kwh"))
-    return made.join(used, "order_id").withColumns(
+    made = made.join(used, "order_id")
+    for dimension, key, name in ((products, "product_key", "product_code"), (lines, "line_key", "line_id"), (shifts, "shift_key", "shift_id"), (grades, "grade_key", "grade_family")):
+        made = made.join(dimension.select(key, name), key)
+    return made.drop("grade_key").withColumns(
         {
             "tbh": safe_ratio("good_tonnes", "productive_hours"),
             "energy_per_good_tonne_kwh_t": safe_ratio("energy_kwh", "good_tonnes"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import close_to
@@ -107,6 +107,16 @@ def reconcile(check_id: str, left: DataFrame, left_value: Column, right: DataFra
     )
 
 
+def reconcile_totals(spark: SparkSession, pairs: Sequence[tuple[str, float | None, float | None]], relative: float = 1e-12, absolute: float = 1e-8) -> DataFrame:
+    """Compare control totals that were observed while their frames were written: (check_id, left, right). No data is read."""
+    totals = spark.createDataFrame([(i, a, b) for i, a, b in pairs], "check_id string, __l double, __r double")
+    ok = F.coalesce(close_to("__l", "__r", relative, absolute), F.lit(False))
+    return totals.select(
+        "check_id", F.col("__l").alias("observed"), F.col("__r").cast("string").alias("expected"),
+        F.when(ok, "PASS").otherwise("FAIL").alias("status"), F.lit("both totals must agree").alias("detail"),
+    )
+
+
 def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys present on one side only, with the side that has them."""
     a = left.select(F.col(key).alias("__a")).distinct()

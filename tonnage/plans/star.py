@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import period_key, shift_start_hour
 from tonnage.operators.ordered import row_numbers
+from tonnage.sources.scratch import written
 from tonnage.sources.tables import date_series
 
 
-ONE_TASK_ROWS = 100_000
-
-
 def with_surrogate(df: DataFrame, natural_key: str, name: str) -> DataFrame:
-    """Dense integer key in natural-key order.
+    """Dense integer key in natural-key order, numbered range by range at any size.
 
-    A dimension whose size was checked is numbered by a plain window; a larger one by range-wise numbering.
-    """
-    if df.select(natural_key).limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(natural_key)))
-    return row_numbers(df, [], natural_key, name=name).withColumn(name, F.col(name).cast("int"))
+    The members are written first: the numbering reads them several times, and they often come from an aggregation."""
+    return row_numbers(written(df, name), [], natural_key, name=name).withColumn(name, F.col(name).cast("int"))
 
 
 def dim_date(bounds: DataFrame, start: str, end: str) -> DataFrame:
@@ -56,16 +51,34 @@ def dim_asset(assets: DataFrame, lines: DataFrame) -> DataFrame:
     return with_surrogate(keyed, "asset_id", "asset_key")
 
 
-def fact_production(tubes: DataFrame, products: DataFrame, lines: DataFrame, shifts: DataFrame, period: str = "yyyyMMdd") -> DataFrame:
-    """Tube fact; AQE broadcasts the dimensions as long as their measured size allows."""
+def dim_grade(grades: DataFrame) -> DataFrame:
+    return with_surrogate(grades, "grade_family", "grade_key")
+
+
+#: A tube's identity, and the spread 64-bit number of it that tables are bucketed by.
+TUBE = ("tube_key", "tube_id")
+
+
+def tube_keys(*frames: DataFrame) -> list[str]:
+    """The parts of a tube's identity that all frames have."""
+    return [c for c in TUBE if all(c in f.columns for f in frames)]
+
+
+def fact_production(
+    tubes: DataFrame, products: DataFrame, lines: DataFrame, shifts: DataFrame, period: str = "yyyyMMdd", grades: DataFrame | None = None
+) -> DataFrame:
+    """Tube fact; AQE broadcasts the dimensions as long as their measured size allows. With `grades`, it has their key too."""
+    if grades is not None:
+        tubes = tubes.join(grades, "grade_family")
     tonnes = F.col("tube_mass_kg") / 1000.0
     return (
         tubes.join(products.select("product_code", "product_key"), "product_code")
         .join(lines.select("line_id", "line_key"), "line_id")
         .join(shifts.select("shift_id", "shift_key"), "shift_id")
         .select(
-            "tube_id",
+            *tube_keys(tubes),
             "order_id",
+            *(["grade_key"] if grades is not None else []),
             period_key("actual_start_ts", period).alias("date_key"),
             "product_key",
             "line_key",
@@ -92,7 +105,9 @@ _CONTEXT = ("product_key", "line_key", "shift_key", "product_code", "grade_famil
 
 
 def _with_context(events: DataFrame, production: DataFrame) -> DataFrame:
-    return events.join(production.select("tube_id", *_CONTEXT), "tube_id")
+    keys = tube_keys(events, production)
+    # stored facts are bucketed alike: a merge needs no exchange at any size, a broadcast would send a fact
+    return events.join(production.select(*keys, *_CONTEXT).hint("merge"), keys)
 
 
 def fact_quality(quality: DataFrame, production: DataFrame, period: str = "yyyyMMdd") -> DataFrame:
@@ -106,7 +121,7 @@ def fact_energy(energy: DataFrame, production: DataFrame, period: str = "yyyyMMd
 def energy_totals(energy: DataFrame, production: DataFrame, period: str = "yyyyMMdd") -> DataFrame:
     """Energy summed per tube and period before the join to production: all the marts need, on fewer rows."""
     keyed = energy.withColumn("date_key", period_key("event_ts", period))
-    sums = keyed.groupBy("tube_id", "order_id", "date_key").agg(F.sum("energy_kwh").alias("energy_kwh"), F.sum("good_mass_t").alias("good_mass_t"))
+    sums = keyed.groupBy(*tube_keys(keyed), "order_id", "date_key").agg(F.sum("energy_kwh").alias("energy_kwh"), F.sum("good_mass_t").alias("good_mass_t"))
     return _with_context(sums, production)
 
 

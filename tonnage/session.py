@@ -12,6 +12,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # tables bucketed by a part of the join keys join without an exchange
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # joins whose measured build partitions are small skip the sort
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "67108864",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,17 +19,19 @@ def export(
     order: Sequence[str] | str = "all",
     partition_by: str | None = None,
 ) -> dict[str, str]:
-    """Write one table in total order (range-sorted part files) as Parquet zstd and CSV with a header."""
+    """Write one table in total order (range-sorted part files) as Parquet zstd and CSV with a header.
+
+    The plan of `df` runs once: later formats sort what the first one wrote."""
     keys = df.columns if order == "all" else list(order)
-    ordered = df.orderBy(*keys) if keys else df
-    written = {}
+    source, written = df, {}
     for kind in formats:
         target = f"{path}/{kind}"
-        writer = ordered.write.mode("overwrite")
+        writer = (source.orderBy(*keys) if keys else source).write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         if kind == "parquet":
             writer.option("compression", "zstd").parquet(target)
+            source = df.sparkSession.read.schema(df.schema).parquet(target)
         elif kind == "csv":
             writer.option("header", "true").csv(target)
         else:
@@ -38,15 +40,26 @@ def export(
     return written
 
 
+def _read_back(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    return spark.read.parquet(path) if kind == "parquet" else spark.read.option("header", "true").option("multiLine", "true").csv(path)
+
+
 def export_package(frames: Mapping[str, DataFrame], root: str, formats: Sequence[str] = ("parquet", "csv")) -> DataFrame:
     """Export several tables; returns table, rows as counted from the files just written."""
-    counts = None
+    return export_report(frames, root, formats).filter(F.col("format") == formats[0]).select("table_name", F.col("rows"))
+
+
+def export_report(frames: Mapping[str, DataFrame], root: str, formats: Sequence[str] = ("parquet", "csv")) -> DataFrame:
+    """Export several tables: table_name, format, source_rows (observed while the table was written) and rows (in its files)."""
+    report = None
     for name, df in frames.items():
-        written = export(df, f"{root}/{name}", formats)
-        again = df.sparkSession.read.parquet(written["parquet"]).agg(F.count(F.lit(1)).alias("rows"))
-        row = again.select(F.lit(name).alias("table_name"), "rows")
-        counts = row if counts is None else counts.unionByName(row)
-    return counts
+        seen = Observation(name)
+        watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        for kind, path in export(watched, f"{root}/{name}", formats).items():
+            rows = _read_back(df.sparkSession, kind, path).agg(F.count(F.lit(1)).alias("rows"))
+            row = rows.select(F.lit(name).alias("table_name"), F.lit(kind).alias("format"), F.lit(seen.get["rows"]).cast("long").alias("source_rows"), "rows")
+            report = row if report is None else report.unionByName(row)
+    return report
 
 
 def write_partitioned(df: DataFrame, path: str, ts: str, pattern: str = "yyyy-MM") -> None:
