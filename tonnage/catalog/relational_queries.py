@@ -363,10 +363,10 @@ def _levels_sql(minimum: int) -> str:
             f"FROM (SELECT DISTINCT product_code, grade_family, line_id, shift_id FROM tubes) c {' '.join(joins)}")
 
 
-@query("jn17_hierarchical_fallback", sql("tubes", _levels_sql(30)))
+@query("jn17_hierarchical_fallback", sql("tubes", _levels_sql(150)))
 def jn17(b):
     contexts = b.tubes.select(*_LEVELS[0]).distinct()
-    return lookup.fallback_support(b.tubes, contexts, _LEVELS, 30)
+    return lookup.fallback_support(b.tubes, contexts, _LEVELS, 150)
 
 
 # ---- aggregations --------------------------------------------------------------------------------

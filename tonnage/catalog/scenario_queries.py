@@ -18,10 +18,10 @@ from tonnage.streaming.windows import stream_window_summary, window_summary
 CONTROLS = tuple(f"c{i:02d}" for i in range(1, 12))
 BOUNDS = {c: (-0.25, 0.25) for c in CONTROLS}
 CHANGE = {c: 0.15 if i < 6 else 0.12 for i, c in enumerate(CONTROLS)}
-MIN_SUPPORT = 30
+MIN_SUPPORT = 150
 
 _C = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(CONTROLS))
-view("emb", "", f"SELECT vec_id, label, {_C} FROM embeddings")
+view("emb", "", f"SELECT vec_id, label % 3 AS label, {_C} FROM embeddings")
 view("emb_long", "emb", " UNION ALL ".join(f"SELECT vec_id, label, '{c}' AS control, {c} AS value FROM emb" for c in CONTROLS))
 view("ranges", "emb_long", "SELECT label, control, quantile_cont(value, 0.02) AS p_low, quantile_cont(value, 0.98) AS p_high, median(value) AS mid, stddev_pop(value) AS sd FROM emb_long GROUP BY 1, 2")
 view("medoid", "emb_long ranges", f"""SELECT m.*, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM (
@@ -56,7 +56,8 @@ _SHIFT = " + CASE WHEN e.control = 'c01' THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END"
 
 
 def rows(b):
-    return b.table("embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(CONTROLS)])
+    """Operating points by context: three families of labels, so that a context has the support it needs also in the small tables."""
+    return b.table("embeddings").select("vec_id", (F.col("label") % 3).alias("label"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(CONTROLS)])
 
 
 def guard(b):
@@ -78,13 +79,13 @@ _SUPPORT = (("product_code", "grade_family", "line_id", "wear"), ("product_code"
 view("worn", "tubes", "SELECT product_code, grade_family, line_id, CASE WHEN productive_hours < 5 THEN 'short' ELSE 'long' END AS wear FROM tubes")
 
 
-@query("sc2_conditional_support", sql("worn", "SELECT product_code, grade_family, line_id, wear, CASE " + " ".join(f"WHEN n{i} >= 60 THEN {i + 1}" for i in range(4)) + " END AS level, CASE " + " ".join(f"WHEN n{i} >= 60 THEN n{i}" for i in range(4)) + " END AS support FROM (SELECT DISTINCT * FROM worn) c " + " ".join(
+@query("sc2_conditional_support", sql("worn", "SELECT product_code, grade_family, line_id, wear, CASE " + " ".join(f"WHEN n{i} >= 150 THEN {i + 1}" for i in range(4)) + " END AS level, CASE " + " ".join(f"WHEN n{i} >= 150 THEN n{i}" for i in range(4)) + " END AS support FROM (SELECT DISTINCT * FROM worn) c " + " ".join(
     f"LEFT JOIN (SELECT {', '.join(k)}, count(*) AS n{i} FROM worn GROUP BY ALL) s{i} USING ({', '.join(k)})" for i, k in enumerate(_SUPPORT))))
 def sc2(b):
     from tonnage.operators.lookup import fallback_support
 
     worn = b.tubes.select("product_code", "grade_family", "line_id", S.bands("productive_hours", [float("-inf"), 5.0, float("inf")], ["short", "long"]).alias("wear"))
-    return fallback_support(worn, worn.distinct(), _SUPPORT, 60)
+    return fallback_support(worn, worn.distinct(), _SUPPORT, 150)
 
 
 @query("sc3_envelopes", sql("bounds", f"SELECT label, control, status, {cols('current_value lower upper decision_lower decision_upper', 6)} FROM bounds"))
@@ -190,11 +191,14 @@ def sc8(b):
 
 
 _BEATS = " AND ".join(f"o.{c} <= s.{c} + 1e-12" for c in OBJECTIVES) + " AND (" + " OR ".join(f"o.{c} < s.{c} - 1e-12" for c in OBJECTIVES) + ")"
-view("front", "scored", f"SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM scored o WHERE {_BEATS})")
+# of feasible scenarios with equal controls the one with the smallest id stands for all
+view("feasible", "scored", "SELECT * FROM scored WHERE hard_constraints_pass QUALIFY row_number() OVER (PARTITION BY throughput_p50, energy_p50 ORDER BY scenario_id) = 1")
+view("front", "feasible", f"SELECT * FROM feasible s WHERE NOT EXISTS (SELECT 1 FROM feasible o WHERE {_BEATS})")
 
 
 def front(b):
-    return skyline(scored(b), OBJECTIVES, "scenario_id")
+    """Non-dominated ones of the distinct scenarios that keep all hard limits: nothing infeasible can be recommended."""
+    return skyline(sc.feasible_distinct(scored(b), ["throughput_p50", "energy_p50"], "scenario_id"), OBJECTIVES, "scenario_id")
 
 
 @query("sc9_pareto_front", sql("front", f"SELECT scenario_id, {cols(' '.join(OBJECTIVES), 5)} FROM front"))
@@ -242,7 +246,7 @@ view("alt3", "alt_scores alt1 alt2", "SELECT scenario_id FROM alt_scores WHERE s
 def alternatives(b):
     from tonnage.sources.scratch import written
 
-    scores = written(sc.alternative_scores(front(b), OBJECTIVES, _UNC, "distance_ratio", "objective_intervention_magnitude"), "scores")
+    scores = written(sc.alternative_scores(written(front(b), "front"), OBJECTIVES, _UNC, "distance_ratio", "objective_intervention_magnitude"), "scores")
     return sc.select_alternatives(scores, "scenario_id", [], ["estimated_tbh_proxy", "quality_failure_probability", "energy_p50"])
 
 

@@ -355,6 +355,13 @@ def rm5(b):
     return rounded(day(readmodel.quality_alerts(b.stored.quality_chart), "full_date"), 5)
 
 
+@query("rm5_tight_quality_alerts", sql("dg4_tight", f"""SELECT * FROM (SELECT {_MONTHKEY} AS full_date, line_id, product_code, grade_family, characteristic, {cols('mean_value conformance_rate', 5)}, control_signal
+  FROM dg4_tight WHERE limits_reliable AND control_signal) x ORDER BY full_date DESC, line_id, product_code, grade_family, characteristic LIMIT 100"""))
+def rm5_tight(b):
+    """The same report under narrow limits (1.5 sigma), which these data do cross."""
+    return rounded(day(readmodel.quality_alerts(diagnostics.spc_quality(b.stored.quality_mart, k=1.5)), "full_date"), 5)
+
+
 @query("rm6_tbh_control", sql("dg3", f"SELECT {_MONTHKEY} AS full_date, line_id, shift_id, control_signal, {cols('tbh lower_control_tbh upper_control_tbh', 6)} FROM dg3 WHERE limits_reliable ORDER BY 1, 2, 3"))
 def rm6(b):
     return rounded(day(readmodel.tbh_control(b.tbh_chart), "full_date"))

@@ -1,4 +1,4 @@
-"""Exact k-th nearest-neighbour distance inside groups, in bounded blocks."""
+"""Exact k-th nearest-neighbour distance inside groups, in bounded blocks that are visited only where they can matter."""
 
 from __future__ import annotations
 
@@ -6,16 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonnage.functions.scalar import null_safe_join
+from tonnage.operators.ordered import row_numbers, running
+from tonnage.sources.scratch import written
 
-
-def _blocks(df: DataFrame, by: Sequence[str], rows: int, name: str) -> DataFrame:
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    return sizes.select(*by, F.ceil(F.col("__n") / F.lit(rows)).cast("int").alias(name))
+_BITS = 60
+#: Blocks of one super-block, whose box is looked at before theirs; lists of distances that one merge takes.
+FAN_IN = 64
 
 
 def _pairwise(left: np.ndarray, right: np.ndarray, k: int, chunk: int = 512) -> np.ndarray:
@@ -32,37 +33,112 @@ def _pairwise(left: np.ndarray, right: np.ndarray, k: int, chunk: int = 512) ->
     return out
 
 
-def knn_distance(
-    points: DataFrame, support: DataFrame, by: Sequence[str], key: str, support_key: str, vector: str, k: int, out: str = "distance", block_rows: int = 4096
-) -> DataFrame:
-    """by, key, `out`: distance of each point to its k-th nearest support row of the same group.
+def _curve(size: int) -> Column:
+    """Place of __v on a Z-order curve over the group's mean and deviation per dimension (__m, __s)."""
+    dims = min(size, _BITS)
+    bits = max(1, _BITS // dims)
+    place = F.lit(0).cast("long")
+    for i in range(dims):
+        scaled = (F.col("__v")[i] - F.col("__m")[i]) / F.greatest(4.0 * F.col("__s")[i], F.lit(1e-300)) + 0.5
+        cell = F.floor(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0 - 1e-9)) * (1 << bits)).cast("long")
+        for b in range(bits):
+            place = place.bitwiseOR(F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1)), b * dims + i))
+    return place
+
+
+def _boxes(rows: DataFrame, keys: Sequence[str], size: int, prefix: str, extra: Sequence[Column] = ()) -> DataFrame:
+    low, high = [F.array(*[f(F.col("__v")[i]) for i in range(size)]) for f in (F.min, F.max)]
+    return rows.groupBy(*keys).agg(low.alias(f"{prefix}lo"), high.alias(f"{prefix}hi"), *extra)
+
+
+def _gap(a: str, b: str) -> Column:
+    """Least distance between two boxes."""
+    def side(lo: Column, hi: Column) -> Column:
+        return F.zip_with(lo, hi, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+
+    apart = F.zip_with(side(F.col(f"{a}lo"), F.col(f"{b}hi")), side(F.col(f"{b}lo"), F.col(f"{a}hi")), lambda x, y: F.greatest(x, y))
+    return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda t, g: t + g * g))
 
-    Both sides are cut into blocks of about `block_rows`; one task compares one point block with one support
-    block and emits k distances per point, never the pairs. A group of any size therefore spreads over tasks.
-    Null when the group has fewer than k support rows.
-    """
-    by = list(by)
-    width = null_safe_join(_blocks(points, by, block_rows, "__pb"), _blocks(support, by, block_rows, "__sb"), by, "inner")
-    left = null_safe_join(points.select(*by, key, F.col(vector).alias("__v")), width, by)
-    left = left.withColumn("__i", F.pmod(F.xxhash64(key), F.col("__pb").cast("long")).cast("int"))
-    left = left.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__sb") - 1))).drop("__pb", "__sb")
-    right = null_safe_join(support.select(*by, support_key, F.col(vector).alias("__v")), width, by)
-    right = right.withColumn("__j", F.pmod(F.xxhash64(support_key), F.col("__sb").cast("long")).cast("int"))
-    right = right.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__pb") - 1))).drop("__pb", "__sb")
-    fields = [*[points.schema[c] for c in by], points.schema[key], T.StructField("__near", T.ArrayType(T.DoubleType()))]
+
+def _near(points: DataFrame, support: DataFrame, cell: list[str], by: list[str], key: str, k: int, bounded: bool) -> DataFrame:
+    """by, key, __near: up to k ascending distances from each point to the support rows of its cell (with `bounded`, to __far at most)."""
+    names = [f"__r_{i}" for i in range(len(cell))]
+    fields = T.StructType([*[points.schema[c] for c in (*by, key)], T.StructField("__near", T.ArrayType(T.DoubleType()))])
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({f.name: [] for f in fields})
         near = _pairwise(np.stack(a["__v"].to_numpy()), np.stack(b["__r__v"].to_numpy()), k)
         result = a[[*by, key]].reset_index(drop=True)
-        result["__near"] = list(near)
-        return result
+        result["__near"] = [row[row <= far] for row, far in zip(near, a["__far"], strict=True)] if bounded else list(near)
+        return result[result["__near"].map(len) > 0]
 
-    cell = [*by, "__i", "__j"]
+    kept = points.select(*cell, *[c for c in (*by, key) if c not in cell], "__v", *(["__far"] if bounded else []))
     # fresh names keep the two sides apart when points and support come from one frame
-    right = right.select(*[F.col(c).alias(f"__r_{i}") for i, c in enumerate(cell)], F.col("__v").alias("__r__v"))
-    opposite = right.groupBy(*[f"__r_{i}" for i in range(len(cell))])
-    partial = left.groupBy(*cell).cogroup(opposite).applyInPandas(compare, T.StructType(fields))
-    merged = partial.groupBy(*by, key).agg(F.sort_array(F.flatten(F.collect_list("__near"))).alias("__all"))
-    return merged.select(*by, key, F.try_element_at("__all", F.lit(k)).alias(out))
+    opposite = support.select(*[F.col(c).alias(n) for c, n in zip(cell, names, strict=True)], F.col("__v").alias("__r__v"))
+    return kept.groupBy(*cell).cogroup(opposite.groupBy(*names)).applyInPandas(compare, fields)
+
+
+def knn_distance(
+    points: DataFrame, support: DataFrame, by: Sequence[str], key: str, support_key: str, vector: str, k: int, out: str = "distance", block_rows: int = 4096,
+    visited: list[int] | None = None,
+) -> DataFrame:
+    """by, key, `out`: distance of each point to its k-th nearest support row of the same group.
+
+    Support rows are ranked along a Z-order curve and cut into blocks of `block_rows`, each with its box. A point first meets
+    the block at its own place on the curve, which bounds its k-th distance from above; after that a block of points meets
+    only the blocks whose box lies within the bound of one of its points (boxes of FAN_IN blocks are tried first). A task
+    compares one block with one block and emits up to k distances a point; these lists are merged FAN_IN at a time.
+    Null when the group has fewer than k support rows. `visited` gets the number of block pairs compared after the first.
+    """
+    by = list(by)
+    rows = written(support.select(*by, F.col(support_key).alias("__key"), F.col(vector).alias("__v")), "rows")
+    peek = rows.select(F.size("__v").alias("n")).first()
+    if peek is None:
+        return points.select(*by, key, F.lit(None).cast("double").alias(out)).limit(0)
+    size = peek["n"]
+    shape = rows.groupBy(*by).agg(
+        F.array(*[F.avg(F.col("__v")[i]) for i in range(size)]).alias("__m"), F.array(*[F.stddev_pop(F.col("__v")[i]) for i in range(size)]).alias("__s"), F.count(F.lit(1)).alias("__all")
+    )
+    shape = written(shape, "shape")
+    placed = written(null_safe_join(rows, shape, by).withColumn("__z", _curve(size)).drop("__m", "__s"), "placed")
+    ranked = row_numbers(placed, by, "__z", "__key", name="__rank")
+    blocks = written(ranked.withColumn("__sb", F.floor((F.col("__rank") - 1) / block_rows)).drop("__rank"), "support")
+    asked = null_safe_join(points.select(*by, key, F.col(vector).alias("__v")), shape, by).withColumn("__z", _curve(size)).drop("__m", "__s")
+    asked = written(asked, "asked")
+    # a point's own block: as many support rows stand before its place on the curve
+    steps = placed.select(*by, "__z", F.lit(1).alias("__one")).unionByName(asked.select(*by, "__z", F.lit(0).alias("__one")))
+    before = running(steps, by, "__z", {"__upto": ("sum", "__one")}, ranges_from=placed)
+    asked = null_safe_join(asked, before, [*by, "__z"]).withColumn("__sb", F.floor(F.greatest(F.col("__upto") - 1, F.lit(0)) / block_rows))
+    cells = asked.groupBy(*by, "__sb").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("__parts"))
+    asked = null_safe_join(asked, cells, [*by, "__sb"]).withColumn("__pb", F.pmod(F.xxhash64(key), F.col("__parts"))).drop("__upto", "__parts")
+    asked = written(asked, "points")
+    copies = null_safe_join(blocks.select(*by, "__sb", "__v"), cells, [*by, "__sb"])
+    copies = copies.withColumn("__pb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
+    own = written(_near(asked, copies, [*by, "__sb", "__pb"], by, key, k, bounded=False), "own")
+
+    far = F.coalesce(F.try_element_at("__near", F.lit(k)), F.lit(float("inf")))
+    bounded = null_safe_join(asked, own.select(*by, key, far.alias("__far")), [*by, key], "left").withColumn("__far", F.coalesce("__far", F.lit(float("inf"))))
+    mine = [*by, "__sb", "__pb"]
+    hulls = _boxes(bounded, mine, size, "__p", [F.max("__far").alias("__reach")])
+    boxes = _boxes(blocks, [*by, "__sb"], size, "__b").withColumn("__sup", F.floor(F.col("__sb") / FAN_IN)).withColumnRenamed("__sb", "__other")
+    supers = boxes.groupBy(*by, "__sup").agg(*[F.array(*[f(F.col(c)[i]) for i in range(size)]).alias(n) for c, n, f in (("__blo", "__ulo", F.min), ("__bhi", "__uhi", F.max))])
+    close = F.lit(1.0 + 1e-12)  # a bound never fails for a rounding
+    first = null_safe_join(hulls, supers, by).filter(_gap("__p", "__u") <= F.col("__reach") * close).drop("__ulo", "__uhi")
+    pairs = null_safe_join(first, boxes, [*by, "__sup"]).filter((F.col("__other") != F.col("__sb")) & (_gap("__p", "__b") <= F.col("__reach") * close))
+    pairs = written(pairs.select(*mine, "__other", "__blo", "__bhi"), "pairs")
+    if visited is not None:
+        visited.append(pairs.count())
+    visitors = null_safe_join(bounded, pairs, mine).withColumns({"__plo": F.col("__v"), "__phi": F.col("__v")})
+    visitors = visitors.filter(_gap("__p", "__b") <= F.col("__far") * close).drop("__plo", "__phi", "__blo", "__bhi", "__z")
+    cell = [*mine, "__other"]
+    hosts = null_safe_join(blocks.select(*by, F.col("__sb").alias("__other"), "__v"), visitors.select(*cell).distinct(), [*by, "__other"])
+    more = _near(visitors, hosts, cell, by, key, k, bounded=True)
+
+    lists = own.unionByName(more).withColumn("__slot", F.pmod(F.xxhash64("__near"), F.lit(FAN_IN * FAN_IN)))
+    few = F.slice(F.sort_array(F.flatten(F.collect_list("__near"))), 1, k).alias("__near")
+    most = pairs.groupBy(*mine).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if most >= FAN_IN:  # first merges of a bounded number of lists
+        lists = written(lists, "lists").groupBy(*by, key, "__slot").agg(few)
+    merged = lists.groupBy(*by, key).agg(few)
+    return merged.select(*by, key, F.try_element_at("__near", F.lit(k)).alias(out))

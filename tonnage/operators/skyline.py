@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonnage.operators.ordered import _cut, _splits
+from tonnage.functions.scalar import null_safe_join
+from tonnage.operators.ordered import row_numbers
 from tonnage.sources.scratch import written
 
-MAX_BLOCKS = 1024
-
 
 def _dominated(victims: np.ndarray, killers: np.ndarray, tolerance: float) -> np.ndarray:
     out = np.zeros(len(victims), dtype=bool)
@@ -31,60 +30,100 @@ def _dominated(victims: np.ndarray, killers: np.ndarray, tolerance: float) -> np
     return out
 
 
-def skyline(df: DataFrame, objectives: Sequence[str], key: str, by: Sequence[str] = (), block_rows: int = 4096, tolerance: float = 1e-12) -> DataFrame:
+def _front(values: np.ndarray, tolerance: float, first: int = 256) -> np.ndarray:
+    """Mask of the rows that no other row beats. The rows with the least sums beat most others, so they go first (exact: who
+    is left still meets all that are left)."""
+    alive = np.ones(len(values), dtype=bool)
+    if len(values) > first:
+        best = values[np.argpartition(values.sum(axis=1), first)[:first]]
+        alive = ~_dominated(values, best, tolerance)
+    rest = np.flatnonzero(alive)
+    alive[rest] = ~_dominated(values[rest], values[rest], tolerance)
+    return alive
+
+
+def skyline(
+    df: DataFrame, objectives: Sequence[str], key: str, by: Sequence[str] = (), block_rows: int = 4096, tolerance: float = 1e-12, fan_in: int = 8
+) -> DataFrame:
     """Non-dominated rows of `df`, per group when `by` is given.
 
-    A first pass drops rows beaten inside their own Arrow batch. The rest is cut into blocks by the sum of the
-    objectives; only block pairs whose bounding boxes allow dominance are compared, and a task emits the keys of
-    beaten rows, not pairs. The driver holds one box per block, at most MAX_BLOCKS of them.
+    A tree of merges: every Arrow batch keeps its own front; what is left is cut, per group, into blocks of at most
+    `block_rows` along the sum of the objectives; fronts of `fan_in` neighbouring nodes then become the front of one node,
+    level by level, and after each level the survivors are packed into fewer blocks. A task compares one block with one other
+    block whose box allows it to win, and emits keys of beaten rows. Nothing but row counts reaches the driver, and a level
+    works on survivors only; a front that holds nearly all rows must still compare nearly all its blocks.
     """
     objectives, by = list(objectives), list(by)
-    names = [*by, key, *objectives]
     slim = df.select(*by, key, *[F.col(c).cast("double").alias(c) for c in objectives])
-    if not by:
-        def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                # the rows with the smallest sums beat most others; only survivors meet each other
-                values = batch[objectives].to_numpy(float)
-                best = values[np.argsort(values.sum(axis=1))[:256]]
-                batch = batch[~_dominated(values, best, tolerance)]
-                values = batch[objectives].to_numpy(float)
-                yield batch[~_dominated(values, values, tolerance)]
-
-        slim = slim.mapInPandas(thin, slim.schema)
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [part for _, part in batch.groupby(by, dropna=False, sort=False)] if by else [batch]
+            for part in parts:
+                yield part[_front(part[objectives].to_numpy(float), tolerance)]
 
     # the thinning depends on batch borders, so all later steps must see one fixed result
-    slim = written(slim, "thinned")
+    alive = written(slim.mapInPandas(thin, slim.schema), "thinned").withColumn("__node", F.lit(0).cast("long"))
     score = sum((F.col(c) for c in objectives[1:]), F.col(objectives[0]))
-    rows = slim.count()
-    parts = max(1, min(MAX_BLOCKS, -(-rows // block_rows)))
-    splits, _ = _splits(slim, score, parts, isolate_heavy=False)
-    cut = _cut(slim, score, splits, "__block")
-    boxes = cut.groupBy("__block").agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(objectives)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(objectives)]).collect()
-    spots = {r["__block"]: (np.array([r[f"lo{i}"] for i in range(len(objectives))]), np.array([r[f"hi{i}"] for i in range(len(objectives))])) for r in boxes}
-    # a killer block matters only when its best corner is no worse than the victims' worst corner
-    slack = 1e-9
-    pairs = {v: [k for k in spots if k <= v + 1 and np.all(spots[k][0] <= spots[v][1] + slack)] for v in spots}
-    reverse = {k: [v for v in spots if k in pairs[v]] for k in spots}
-
-    def spread(frame: DataFrame, mine: str, other: str, mapping: dict) -> DataFrame:
-        # literal map: block -> opposite blocks, bounded by MAX_BLOCKS
-        table = [(int(b), [int(x) for x in xs]) for b, xs in mapping.items() if xs]
-        small = frame.sparkSession.createDataFrame(table, f"{mine} int, __others array<int>")
-        return frame.withColumnRenamed("__block", mine).join(small, mine).withColumn(other, F.explode("__others")).drop("__others")
-
-    victims, killers = spread(cut, "__v", "__k", pairs), spread(cut, "__k", "__v", reverse)
+    while True:
+        largest = (alive.groupBy(*by, "__node") if by else alive.groupBy("__node")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = largest.agg(F.max("n").alias("most"), F.max("__node").alias("nodes")).first()
+        nodes, most = (sizes["nodes"] or 0) + 1, sizes["most"] or 0
+        if nodes == 1:
+            # one node per group: its rows have not met beyond their batch (first turn) or are the front (later turns)
+            if most <= block_rows:
+                front = _local(alive.withColumn("__block", F.lit(0).cast("long")), by, key, objectives, tolerance)
+                return _kept(df, front, by, key)
+            blocks = -(-most // block_rows)
+            ranked = row_numbers(alive.withColumn("__score", score), by, "__score", key, name="__rank")
+            cut = ranked.withColumn("__block", F.floor((F.col("__rank") - 1) / block_rows)).drop("__rank", "__score")
+            alive = written(_local(cut, by, key, objectives, tolerance).withColumn("__node", F.col("__block")), "fronts")
+            nodes = blocks
+        while nodes > 1:
+            alive = written(_merged(alive, by, key, objectives, tolerance, block_rows, fan_in, score), "merged")
+            nodes = -(-nodes // fan_in)
+        return _kept(df, alive, by, key)
+
+
+def _kept(df: DataFrame, front: DataFrame, by: list[str], key: str) -> DataFrame:
+    return df.join(front.select(*by, key).distinct(), [*by, key], "left_semi") if not by else null_safe_join(df, front.select(*by, key).distinct(), [*by, key], "left_semi")
+
+
+def _local(cut: DataFrame, by: list[str], key: str, objectives: list[str], tolerance: float) -> DataFrame:
+    """Front of every (group, block); a block is bounded."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return part[_front(part[objectives].to_numpy(float), tolerance)]
+
+    slim = cut.select(*by, key, *objectives, "__block")
+    return slim.groupBy(*by, "__block").applyInPandas(run, slim.schema)
+
+
+def _merged(alive: DataFrame, by: list[str], key: str, objectives: list[str], tolerance: float, block_rows: int, fan_in: int, score) -> DataFrame:
+    """One level: nodes of `fan_in` become one; rows meet the blocks of the other old nodes in their new node."""
+    ranked = row_numbers(alive.drop("__block").withColumn("__score", score), [*by, "__node"], "__score", key, name="__rank")
+    rows = ranked.withColumn("__block", F.floor((F.col("__rank") - 1) / block_rows)).drop("__rank", "__score")
+    rows = written(rows.withColumn("__next", F.floor(F.col("__node") / fan_in)), "packed")
+    lows = [f"__lo{i}" for i in range(len(objectives))]
+    boxes = rows.groupBy(*by, "__next", "__node", "__block").agg(*[F.min(c).alias(lo) for c, lo in zip(objectives, lows, strict=True)])
+    boxes = boxes.withColumnsRenamed({"__node": "__knode", "__block": "__kblock"})
+    met = null_safe_join(rows, boxes, [*by, "__next"]).filter(F.col("__knode") != F.col("__node"))
+    for c, lo in zip(objectives, lows, strict=True):
+        met = met.filter(F.col(lo) <= F.col(c) + F.lit(1e-9))
+    cell = [*by, "__next", "__node", "__block", "__knode", "__kblock"]
+    victims = met.select(*cell, key, *objectives)
+    pairs = victims.select(*cell).distinct()
     rivals = [f"__o_{i}" for i in range(len(objectives))]
-    out = T.StructType([*[slim.schema[c] for c in by], slim.schema[key]])
+    killers = rows.select(*by, "__next", F.col("__node").alias("__knode"), F.col("__block").alias("__kblock"), *[F.col(c).alias(r) for c, r in zip(objectives, rivals, strict=True)])
+    killers = null_safe_join(killers, pairs, [*by, "__next", "__knode", "__kblock"])
+    names = [f"__r_{i}" for i in range(len(cell))]
+    killers = killers.select(*[F.col(c).alias(n) for c, n in zip(cell, names, strict=True)], *rivals)
+    out = T.StructType([*[alive.schema[c] for c in by], alive.schema[key]])
 
     def beat(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         lost = _dominated(a[objectives].to_numpy(float), b[rivals].to_numpy(float), tolerance)
         return a.loc[lost, [*by, key]]
 
-    # fresh names keep the two sides of the self comparison apart
-    cell = [*by, "__v", "__k"]
-    keys = [f"__r_{i}" for i in range(len(cell))]
-    killers = killers.select(*[F.col(c).alias(k) for c, k in zip(cell, keys)], *[F.col(c).alias(r) for c, r in zip(objectives, rivals)])
-    beaten = victims.select(*cell, key, *objectives).groupBy(*cell).cogroup(killers.groupBy(*keys)).applyInPandas(beat, out)
-    alive = slim.select(*names[: len(by) + 1]).join(beaten.distinct(), [*by, key], "left_anti")
-    return df.join(alive, [*by, key], "left_semi")
+    beaten = victims.groupBy(*cell).cogroup(killers.groupBy(*names)).applyInPandas(beat, out).distinct()
+    left = rows.select(*by, key, *objectives, F.col("__next").alias("__node"))
+    return null_safe_join(left, beaten, [*by, key], "left_anti")

@@ -153,9 +153,12 @@ def intervention(controls: Sequence[str], current: Mapping[str, str], lower: Map
     return sum(terms[1:], terms[0]) / F.lit(float(len(terms)))
 
 
-def feasible_distinct(scored: DataFrame, controls: Sequence[str]) -> DataFrame:
-    """Passing scenarios, one per distinct control setting."""
-    return scored.filter("hard_constraints_pass").dropDuplicates(list(controls))
+def feasible_distinct(scored: DataFrame, controls: Sequence[str], key: str | None = None) -> DataFrame:
+    """Passing scenarios, one per distinct control setting: the one with the least `key`, where one is given."""
+    feasible = scored.filter("hard_constraints_pass")
+    if key is None:
+        return feasible.dropDuplicates(list(controls))
+    return feasible.join(feasible.groupBy(*controls).agg(F.min(key).alias(key)).select(key), key, "left_semi")
 
 
 def normalised(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), prefix: str = "n_") -> DataFrame:

@@ -18,15 +18,20 @@ def export(
     formats: Sequence[str] = ("parquet", "csv"),
     order: Sequence[str] | str = "all",
     partition_by: str | None = None,
+    seen: Observation | None = None,
 ) -> dict[str, str]:
     """Write one table in total order (range-sorted part files) as Parquet zstd and CSV with a header.
 
-    The plan of `df` runs once: later formats sort what the first one wrote."""
+    The plan of `df` runs once: later formats sort what the first one wrote. `seen` gets the `rows` of that first write; it stands
+    above the sort, whose range borders come from a pass of its own."""
     keys = df.columns if order == "all" else list(order)
     source, written = df, {}
     for kind in formats:
         target = f"{path}/{kind}"
-        writer = (source.orderBy(*keys) if keys else source).write.mode("overwrite")
+        ordered = source.orderBy(*keys) if keys else source
+        if seen is not None and source is df:
+            ordered = ordered.observe(seen, F.count(F.lit(1)).alias("rows"))
+        writer = ordered.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         if kind == "parquet":
@@ -54,8 +59,7 @@ def export_report(frames: Mapping[str, DataFrame], root: str, formats: Sequence[
     report = None
     for name, df in frames.items():
         seen = Observation(name)
-        watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        for kind, path in export(watched, f"{root}/{name}", formats).items():
+        for kind, path in export(df, f"{root}/{name}", formats, seen=seen).items():
             rows = _read_back(df.sparkSession, kind, path).agg(F.count(F.lit(1)).alias("rows"))
             row = rows.select(F.lit(name).alias("table_name"), F.lit(kind).alias("format"), F.lit(seen.get["rows"]).cast("long").alias("source_rows"), "rows")
             report = row if report is None else report.unionByName(row)
