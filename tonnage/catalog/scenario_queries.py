@@ -11,7 +11,7 @@ from tonnage.operators.neighbours import knn_distance
 from tonnage.operators.ordered import row_numbers
 from tonnage.operators.skyline import skyline
 from tonnage.plans import scenarios as sc
-from tonnage.sources.scratch import scratch
+from tonnage.sources.scratch import scratch, written
 from tonnage.sources.tables import read_documents, scenario_documents
 from tonnage.streaming.windows import stream_window_summary, window_summary
 
@@ -198,7 +198,8 @@ view("front", "feasible", f"SELECT * FROM feasible s WHERE NOT EXISTS (SELECT 1
 
 def front(b):
     """Non-dominated ones of the distinct scenarios that keep all hard limits: nothing infeasible can be recommended."""
-    return skyline(sc.feasible_distinct(scored(b), ["throughput_p50", "energy_p50"], "scenario_id"), OBJECTIVES, "scenario_id")
+    table = written(scored(b), "scored")  # read by the filter, the choice of one per setting, and the front
+    return skyline(sc.feasible_distinct(table, ["throughput_p50", "energy_p50"], "scenario_id"), OBJECTIVES, "scenario_id")
 
 
 @query("sc9_pareto_front", sql("front", f"SELECT scenario_id, {cols(' '.join(OBJECTIVES), 5)} FROM front"))
@@ -244,8 +245,6 @@ view("alt3", "alt_scores alt1 alt2", "SELECT scenario_id FROM alt_scores WHERE s
 
 
 def alternatives(b):
-    from tonnage.sources.scratch import written
-
     scores = written(sc.alternative_scores(written(front(b), "front"), OBJECTIVES, _UNC, "distance_ratio", "objective_intervention_magnitude"), "scores")
     return sc.select_alternatives(scores, "scenario_id", [], ["estimated_tbh_proxy", "quality_failure_probability", "energy_p50"])
 
