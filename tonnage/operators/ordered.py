@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import epoch_micros, null_safe_join
+from tonnage.sources.scratch import written
 
 #: Types whose order codes differ wherever their values do; others have a second code for values that share the first.
 _LOSSLESS = {"double", "float", "integer", "short", "byte", "date", "boolean"}
@@ -207,17 +208,63 @@ def row_numbers(
     )
 
 
+def _tile(row: Column, rows: Column, n: int) -> Column:
+    """`ntile(n)` of a row number: the first (count mod n) tiles are one row longer."""
+    size, longer = F.floor(rows / n), rows % n
+    edge = longer * (size + 1)
+    low = F.floor((row - 1) / (size + 1))
+    high = longer + F.floor((row - 1 - edge) / F.greatest(size, F.lit(1)))
+    return (F.when(row <= edge, low).otherwise(high) + 1).cast("int")
+
+
 def tiles(
     df: DataFrame, by: Sequence[str], order: str, tie: str, n: int, name: str, ranges_from: DataFrame | None = None
 ) -> DataFrame:
-    """`ntile(n)`: the first (count mod n) tiles are one row longer."""
+    """`ntile(n)` per group by (order, tie)."""
     numbered = row_numbers(df, by, order, tie, name="__row", total="__rows", ranges_from=ranges_from)
-    size, longer = F.expr(f"__rows div {n}"), F.col("__rows") % n
-    edge = longer * (size + 1)
-    low = F.floor((F.col("__row") - 1) / (size + 1))
-    high = longer + F.floor((F.col("__row") - 1 - edge) / F.greatest(size, F.lit(1)))
-    tile = F.when(F.col("__row") <= edge, low).otherwise(high) + 1
-    return numbered.withColumn(name, tile.cast("int")).drop("__row", "__rows")
+    return numbered.withColumn(name, _tile(F.col("__row"), F.col("__rows"), n)).drop("__row", "__rows")
+
+
+def tiles_together(
+    df: DataFrame, by: Sequence[str], names: Mapping[str, str], tie: str, n: int, ranges_from: DataFrame | None = None, parts: int | None = None
+) -> DataFrame:
+    """`ntile(n)` per group by several order columns at once: `names` maps each (double) to the name of its tiles.
+
+    `df` is read twice for all columns: once for one histogram of them all, once for the rows; the range borders come from one
+    pass over `ranges_from`. A value that holds many rows is cut again on the tie-break key."""
+    by, columns = list(by), list(names)
+    parts = parts or range_count(df)
+    source = df if ranges_from is None else ranges_from
+    lossy = [c for c in columns if df.schema[c].dataType.typeName() not in _LOSSLESS]
+    if lossy:
+        raise TypeError(f"order codes of {lossy} may hold several values; use tiles")
+    codes = {c: order_code(source, c) for c in columns}
+    coded = source.select(*[codes[c].alias(f"__c{i}") for i, c in enumerate(columns)])
+    points = coded.approxQuantile([f"__c{i}" for i in range(len(columns))], [k / parts for k in range(1, parts)], 0.5 / parts)
+    tie_splits = None
+    cut = df
+    for i, (c, at) in enumerate(zip(columns, points, strict=True)):
+        heavy = {p for p in at if at.count(p) > 1}
+        splits = [float("-inf"), *sorted(p for p in {*at, *(math.nextafter(p, math.inf) for p in heavy)} if math.isfinite(p)), float("inf")]
+        cut = _cut(cut, codes[c], splits, f"__cell{i}").withColumn(f"__sub{i}", F.lit(0))
+        full = [k for k, s in enumerate(splits[:-1]) if s in heavy]
+        if full:
+            code = order_code(source, tie)
+            tie_splits = tie_splits or _splits(source, code, parts, isolate_heavy=False)[0]
+            cut = _cut(cut.drop(f"__sub{i}"), code, tie_splits, f"__sub{i}")
+            cut = cut.withColumn(f"__sub{i}", F.when(F.col(f"__cell{i}").isin(*full), F.col(f"__sub{i}")).otherwise(0))
+    spots = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__cell{i}").alias("cell"), F.col(f"__sub{i}").alias("sub")) for i in range(len(columns))])
+    counts = cut.select(*by, F.explode(spots).alias("s")).groupBy(*by, "s").agg(F.count(F.lit(1)).alias("__n")).select(*by, "s.*", "__n")
+    group = Window.partitionBy(*by, "i")
+    earlier = group.orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    counts = written(counts.select(*by, "i", "cell", "sub", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("before"), F.sum("__n").over(group).alias("rows")), "histogram")
+    for i, c in enumerate(columns):
+        own = [f"__cell{i}", f"__sub{i}"]
+        table = counts.filter(F.col("i") == i).select(*by, F.col("cell").alias(own[0]), F.col("sub").alias(own[1]), "before", "rows")
+        inside = Window.partitionBy(*by, *own).orderBy(c, tie)
+        cut = _cell_join(cut.withColumn("__at", F.row_number().over(inside)), table, [*by, *own])
+        cut = cut.withColumn(names[c], _tile(F.col("__at") + F.col("before"), F.col("rows"), n)).drop("__at", "before", "rows", *own)
+    return cut
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:

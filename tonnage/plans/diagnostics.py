@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import flag, safe_corr, safe_ratio
-from tonnage.operators.ordered import exact_quantiles, tiles
+from tonnage.operators.ordered import exact_quantiles, tiles_together
 from tonnage.plans.features import DIMENSIONAL, pivot_characteristics
 from tonnage.plans.star import tube_keys
 from tonnage.sources.scratch import written
@@ -139,8 +139,7 @@ def interactions(
     ranges_from: DataFrame | None = None,
 ) -> DataFrame:
     """Cross two per-segment tercile bands and summarise each cell."""
-    banded = tiles(df, by, x, key, bands, x_band, ranges_from)
-    banded = tiles(banded, by, y, key, bands, y_band, ranges_from)
+    banded = tiles_together(df, by, {x: x_band, y: y_band}, key, bands, ranges_from)
     return banded.groupBy(*cell, x_band, y_band).agg(*aggs)
 
 
@@ -150,7 +149,7 @@ def process_interactions(production: DataFrame, process: DataFrame, quality: Dat
     used = energy.groupBy(*keys).agg(F.sum("energy_kwh").alias("energy_kwh"))
     made = production.select(*keys, "product_code", "grade_family", "line_id", "actual_tph", "approved_first_pass", "disposition")
     ranked = made.join(state, keys).join(pivot_characteristics(quality, DIMENSIONAL), keys).join(used, keys)
-    # two rankings read these rows four times
+    # the histogram of both rankings and the rankings themselves read these rows
     ranked = written(ranked, "ranked_tubes")
     means = {
         "mean_wall_eccentricity_pct": "wall_eccentricity_pct",

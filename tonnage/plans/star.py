@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import period_key, shift_start_hour
-from tonnage.operators.ordered import row_numbers
 from tonnage.sources.scratch import written
 from tonnage.sources.tables import date_series
 
 
 def with_surrogate(df: DataFrame, natural_key: str, name: str) -> DataFrame:
-    """Dense integer key in natural-key order, numbered range by range at any size.
-
-    The members are written first: the numbering reads them several times, and they often come from an aggregation."""
-    return row_numbers(written(df, name), [], natural_key, name=name).withColumn(name, F.col(name).cast("int"))
+    """Dense integer key in natural-key order, at any size; natural keys are unique.
+
+    The members are written in range-sorted order with their place in their partition; the partitions' sizes, one row each,
+    turn places into numbers."""
+    place = written(df.orderBy(natural_key).withColumn("__at", F.monotonically_increasing_id()), name)
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = place.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    numbered = place.withColumn("__part", part).join(starts, "__part")
+    return numbered.withColumn(name, (F.col("__start") + row + 1).cast("int")).drop("__at", "__part", "__start")
 
 
 def dim_date(bounds: DataFrame, start: str, end: str) -> DataFrame:
