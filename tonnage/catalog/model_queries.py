@@ -301,7 +301,8 @@ WINDOW_FEATURES = learn.Features(("line_id", "shift_id", "asset_type", "critical
     "window_hour", "month_number", "day_of_week", "prior_7d_downtime_events", "prior_7d_downtime_minutes", "prior_30d_downtime_events", "prior_30d_downtime_minutes",
     "prior_7d_maintenance_events", "prior_7d_maintenance_minutes", "prior_mean_sensor_degradation", "prior_mean_tool_wear", "hours_since_last_maintenance"))
 TUBE_FEATURES = learn.Features(("product_code", "grade_family", "line_id", "shift_id"), (*_SIGNALS, "hours_since_maintenance"))
-ORDER_FEATURES = learn.Features(("product_code", "grade_family", "line_id", "shift_id"), ("tube_count", "total_tonnes"))
+# what an order tells before any of its tubes is made: no count or mass of the finished order
+ORDER_FEATURES = learn.Features(("product_code", "grade_family", "line_id", "shift_id"), ("order_value", "order_month"))
 _BY_TASK = {t.name: t for t in contracts.TASKS}
 
 
@@ -325,7 +326,8 @@ def order_samples(b):
     from tonnage.plans.features import order_labels
 
     start = b.production.groupBy("order_id").agg(F.min("actual_start_ts").alias("snapshot_ts"))
-    info = b.order_mart.select("order_id", *ORDER_FEATURES.all)
+    booked = b.table("orders").select(F.col("o_orderkey").alias("order_id"), (F.col("o_totalprice") / 1000.0).alias("order_value"), F.month("o_orderdate").cast("double").alias("order_month"))
+    info = b.order_mart.select("order_id", *ORDER_FEATURES.categorical).join(booked, "order_id")
     df = order_labels(b.production, b.order_mart).join(start, "order_id").join(info, "order_id").withColumnRenamed("order_id", "sample_key")
     return splits.temporal_split(df, "snapshot_ts", "target_available_at_ts")
 
@@ -369,7 +371,7 @@ def ml11(b):
 @query("ml12_random_forest")
 def ml12(b):
     _, train, test = _prepared(b, False)
-    return learn.with_score(learn.forest(train, "classification", trees=20, depth=6), test, "classification").select("sample_key", "label", "prediction")
+    return learn.with_score(learn.forest(train, "classification"), test, "classification").select("sample_key", "label", "prediction")
 
 
 @query("ml13_boosted_trees")
