@@ -190,7 +190,7 @@ def _listed(spans: Column) -> Column:
 
 
 def secrets(documents: DataFrame, rate: float = RATE) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Repeated rows get equal results; an empty table gives an empty result; texts are scanned whole, however long."""
     rows = scan(bound(documents, doc_id="doc_id", text="text"), measure(documents, rate))
@@ -198,7 +198,8 @@ def secrets(documents: DataFrame, rate: float = RATE) -> DataFrame:
     kinds = F.transform(spans, lambda x: x["kind"])
     numbers = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
     base = F.filter(spans, lambda x: x["kind"] != "random")
-    return rows.select("doc_id", *numbers, digest(_listed(base)).alias("base_sha256"), _listed(spans).alias("spans"))
+    *fixed, more = numbers
+    return rows.select("doc_id", *fixed, digest(_listed(base)).alias("base_sha256"), _listed(spans).alias("spans"), more)
 
 
 def redact(documents: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
