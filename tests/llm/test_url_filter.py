@@ -27,6 +27,15 @@ def test_against_brute_force(spark):
     assert U.judged(pages.limit(0), U.rule_table(spark, U.RULES)).count() == 0
 
 
+def test_very_long_urls(spark):
+    labels, path = ".".join(["ab"] * 60_000), "/es/" + "y" * 1_000_000
+    urls = [f"http://{labels}.example.org{path}", f"http://{labels}.net/es/", "http://" + "." * 50_000 + "org/", "http://" + "x" * 500_000 + ".com/de/?" + "q" * 500_000, "http://x.org./es/"]
+    rows = list(enumerate(urls))
+    for rules in (U.RULES, [("a.b.example.org", "/", "block"), ("", "/es/", "block"), ("ab.ab.example.org", "/es/yy", "allow")]):
+        got = U.judged(spark.createDataFrame(rows, "page_id long, url string"), U.rule_table(spark, rules)).collect()
+        assert sorted(map(tuple, got)) == [(i, *by_hand(u, rules)) for i, u in rows]
+
+
 def test_plan_is_native(spark):
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     plan = U.judged(pages, U.rule_table(spark, U.RULES))._jdf.queryExecution().toString()

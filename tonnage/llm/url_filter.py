@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions against a rule list.
 
-Every distinct URL is expanded into its host suffixes (at label borders) times its path prefixes (of the lengths that
-occur among the rules). The expressions meet the rules in an equi-join on the first 32 bits of their SHA-256, the full
+Every distinct URL is expanded into its host suffixes times its path prefixes, both only of the sizes (labels of a host,
+characters of a path) that occur among the rules, so a URL's expressions don't grow with its length. The expressions meet the rules in an equi-join on the first 32 bits of their SHA-256, the full
 digest then confirms, and of the rules that fit the longest one decides. DataFrame functions only; whether the rules
 are broadcast is left to Spark, which knows their measured size, and expressions never leave their URL's row count bound.
 """
@@ -40,6 +40,15 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.length(host).cast("string"), F.concat(host, path)), 256)
 
 
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _known(parts: list[Column]) -> Column:
+    """Array of those parts that are not null."""
+    return F.filter(F.array(F.lit(None).cast("string"), *parts), lambda p: p.isNotNull())
+
+
 def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
@@ -51,16 +60,15 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> Data
     own = known.select(F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"), "verdict")
     own = own.withColumn("full", _digest(F.col("r_host"), F.col("r_path")))
     own = own.select(F.substring("full", 1, 8).alias("short"), F.col("full").alias("r_full"), "r_host", "r_path", "verdict")
-    lengths = [r.n for r in own.select(F.length("r_path").alias("n")).distinct().orderBy("n").collect()]
+    sizes = own.select(_labels(F.col("r_host")).alias("labels"), F.length("r_path").alias("chars")).distinct().collect()
+    labels, chars = sorted({r.labels for r in sizes}), sorted({r.chars for r in sizes})
 
     rows = bound(pages, page_id="page_id", url="url")
     host, path = parsed(F.col("url"))
     urls = rows.select("url").distinct().filter("url is not null").select("url", host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    spread = urls.select("url", "path", F.explode(F.array_distinct(suffixes)).alias("suffix"))
-    spread = spread.select("url", "suffix", F.explode(prefixes).alias("prefix")) if lengths else spread.select("url", "suffix", "path").filter("false").withColumnRenamed("path", "prefix")
+    suffixes = _known([F.when(_labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in labels])
+    prefixes = _known([F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in chars])
+    spread = urls.select("url", "path", F.explode(suffixes).alias("suffix")).select("url", "suffix", F.explode(prefixes).alias("prefix"))
     spread = spread.withColumn("full", _digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("full", 1, 8))
     met = spread.select("url", "short", "full").join(own, "short").filter("full = r_full")
     rank = F.struct(F.length(F.concat("r_host", "r_path")), F.length("r_host"), F.col("verdict") == "block")
