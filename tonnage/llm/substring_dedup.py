@@ -74,7 +74,7 @@ def _seeds(texts: DataFrame, window: int) -> DataFrame:
                 n = np.diff(np.append(new, len(value)))
                 yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(keys[first + owner[new]]), pa.array(n)], ["seed", "key", "n"])
 
-    return texts.mapInArrow(seed, "seed long, key long, n long")
+    return texts.mapInArrow(seed, "seed long not null, key long not null, n long not null")
 
 
 def _segments(texts: DataFrame, window: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _segments(texts: DataFrame, window: int) -> DataFrame:
                 columns = [pa.array(c) for c in (segment.view(np.int64), keys[first + text], ids[first + text], start - counts[text])]
                 yield pa.RecordBatch.from_arrays([*columns, lists], ["segment", "key", "id", "start", "hashes"])
 
-    return texts.mapInArrow(cut, "segment long, key long, id long, start long, hashes array<long>")
+    return texts.mapInArrow(cut, "segment long not null, key long not null, id long not null, start long not null, hashes array<long> not null")
 
 
 def _repeated(parts: DataFrame) -> DataFrame:
@@ -133,15 +133,16 @@ def removal(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     docs = bound(documents, doc_id="doc_id", text="text")
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("copy"), text.alias("text"))
+    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id"), F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("copy"), text.alias("text"))
     heads = keyed.groupBy("copy").agg(F.min("id").alias("id"))
-    # one exchange of the texts, by a key of text and id; three branches read it, and all joins with texts are on that key
+    # one exchange of the texts, by a key of text and id: all joins with texts are on that key; the branches that read it take
+    # every column and no column is nullable, as the exchange is shared only where nothing is pruned or filtered below it
     key = F.xxhash64("copy", "id").alias("key")
     texts = keyed.select(key, "id", "copy", "text").join(heads.select(key), "key", "left_semi")
-    seeds = _seeds(texts.select("key", "text"), window)
+    seeds = _seeds(texts, window)
     again = seeds.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
     known = seeds.select("seed", "key").join(again, "seed", "left_semi").groupBy("key").agg(F.collect_set("seed").alias("seeds"))
-    parts = _segments(texts.join(known, "key").select("id", "key", "text", "seeds"), window)
+    parts = _segments(texts.join(known, "key"), window)
     later = _repeated(parts).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     @F.arrow_udf(RESULT)
