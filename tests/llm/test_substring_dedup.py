@@ -5,6 +5,7 @@ import pytest
 
 from tests.llm.fixtures import documents, prose
 from tonnage.llm import substring_dedup as S
+from tonnage.llm.common import written_once
 
 
 def by_hand(rows, window):
@@ -46,3 +47,11 @@ def test_against_brute_force(spark, window):
 
 def test_empty_table(spark):
     assert S.removal(documents(spark).limit(0)).count() == 0
+
+
+def test_written_once_leaves_the_session_as_it_was(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    rows = spark.range(50).selectExpr("id % 7 AS k").groupBy("k").count()
+    assert sorted(written_once(rows, "counts").collect()) == sorted(rows.collect())
+    assert spark.conf.get(setting, None) == before

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tonnage.sources.scratch import written
 
-__all__ = ["bound", "components", "mixed", "ngrams", "read", "slices", "text_bytes", "words", "written"]
+__all__ = ["bound", "components", "mixed", "ngrams", "read", "slices", "text_bytes", "words", "written", "written_once"]
 
 #: Bytes of text that one round of numpy work takes; a longer text is taken whole, alone.
 CHUNK_BYTES = 1 << 20
@@ -143,6 +143,19 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """`written`, but the shuffle files of the write go when it ends, not whenever the driver collects garbage.
+
+    For a frame that no later job computes again: those would have to make the files anew."""
+    conf, setting = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting, None)
+    conf.set(setting, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(setting) if before is None else conf.set(setting, before)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph (a, b): its smallest node names a component.
 

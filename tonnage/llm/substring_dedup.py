@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonnage.llm.common import bound, mixed, ngrams, slices, text_bytes, words, written
+from tonnage.llm.common import bound, mixed, ngrams, slices, text_bytes, words, written_once
 
 WINDOW = 20
 GRAM = 5
@@ -109,12 +109,12 @@ def _segments(texts: DataFrame, window: int) -> DataFrame:
 def _repeated(parts: DataFrame) -> DataFrame:
     """(key, start, n): runs of n windows that also start earlier.
 
-    What the whole segments leave open is written once, as two plans read it."""
+    What the whole segments leave open is written once, as two plans read it; the shuffle files of that write go with its end."""
     place = F.struct("id", "start")
     first = parts.groupBy("segment").agg(F.min(place).alias("first"))
     late = place > F.col("first")
     judged = parts.join(first, "segment").select("key", "id", "start", F.size("hashes").alias("n"), F.when(~late, F.col("hashes")).alias("hashes"))
-    judged = written(judged, "segments")
+    judged = written_once(judged, "segments")
     gone = judged.filter("hashes is null").select("key", "start", "n")
     windows = judged.filter("hashes is not null").select("key", "id", "start", F.posexplode("hashes").alias("at", "hash"))
     windows = windows.select("hash", "key", "id", (F.col("start") + F.col("at")).alias("start"))
