@@ -113,3 +113,35 @@ def test_stream_equals_batch_for_finished_windows(spark, tmp_path):
     done = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*key, "reading_count", "mean_value").collect()}
     full = {tuple(r) for r in window_summary(rows, **columns).select(*key, "reading_count", "mean_value").collect()}
     assert done and done <= full
+
+
+def test_restarted_stream_with_late_and_repeated_readings_equals_batch(spark, tmp_path):
+    rows = spark.sql("SELECT id, id % 3 AS e, 'temp' AS s, timestampadd(SECOND, CAST(id * 20 AS INT), TIMESTAMP '2024-01-01') AS ts, CAST(id AS DOUBLE) AS v FROM range(240)")
+    late = F.col("id").between(116, 118)  # within the watermark of 2 minutes when the first delivery ends
+    deliveries = (
+        rows.filter((F.col("id") < 120) & ~late).unionByName(rows.filter("id < 40")),  # repeats in one delivery
+        rows.filter(((F.col("id") >= 120) & (F.col("id") < 200)) | late).unionByName(rows.filter("id BETWEEN 90 AND 119")),  # late ones, and repeats of the delivery before
+        rows.filter("id >= 200 OR id < 60"),  # repeats of windows long written
+    )
+    columns = dict(entity="e", sensor="s", ts="ts", value="v", low=0.0, high=150.0, identity="id")
+    for delivery in deliveries:
+        delivery.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        stream_window_summary(stream, str(tmp_path / "out"), str(tmp_path / "cp"), watermark="2 minutes", **columns).awaitTermination()
+    shown = ["e", "window_start_ts", "reading_count", "mean_value"]
+    done = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*shown).collect())
+    batch = window_summary(rows, **columns).filter(F.col("window_end_ts") <= F.lit("2024-01-01 01:17:40").cast("timestamp"))  # newest reading less 2 minutes
+    assert done == sorted(tuple(r) for r in batch.select(*shown).collect()) and len(done) > 100
+
+
+def test_slope_does_not_depend_on_the_calendar(spark):
+    # a window across a multiple of 365 days since 1970
+    rows = spark.sql("SELECT id, 'e' AS e, 's' AS s, timestamp_seconds(19710 * 86400L + (id - 5) * 10) AS ts, CAST(id AS DOUBLE) AS v FROM range(10)")
+    out = window_summary(rows, "e", "s", "ts", "v", 0.0, 9.0, width="7 days").first()
+    assert out["reading_count"] == 10 and abs(out["slope"] - 0.1) < 1e-9
+
+
+def test_repeats_in_a_table_count_once(spark):
+    rows = spark.sql("SELECT id, 'e' AS e, 's' AS s, TIMESTAMP '2024-01-01' AS ts, CAST(id AS DOUBLE) AS v FROM range(3)")
+    out = window_summary(rows.unionByName(rows), "e", "s", "ts", "v", 0.0, 9.0, identity="id").first()
+    assert (out["reading_count"], out["mean_value"]) == (3, 1.0)

@@ -408,6 +408,39 @@ def ml16(b):
     return _scored_windows(b)[1]
 
 
+def _tree_effects(b):
+    """Contributions of the fitted trees on the final-test windows."""
+    data, task = written(window_samples(b)), _BY_TASK["downtime_occurrence"]
+    fitted = learn.fit(task, data, WINDOW_FEATURES, rounds=8, depth=3)
+    test = splits.task_rows(data, task, "final_test").withColumn("segment", F.col("asset_type"))
+    return learn.tree_contributions(fitted, test, keep=["segment", "label"])
+
+
+@query("ex1_tree_importance")
+def ex1_tree(b):
+    return S.rounded(explain.importance_rank(_tree_effects(b)), 5)
+
+
+@query("ex2_tree_segments")
+def ex2_tree(b):
+    return S.rounded(explain.importance_rank(_tree_effects(b), ["segment"], 10), 5)
+
+
+@query("ex3_tree_cases")
+def ex3_tree(b):
+    """Cases spread over the margins, each with base value and largest contributions of the model itself."""
+    effects = written(_tree_effects(b), "effects")
+    scored = effects.groupBy("sample_key").agg(F.first("label").alias("observed"), F.first("prediction").alias("prediction"), F.first("base").alias("base_value"))
+    return explain.local_cases(scored, effects, 10, 5)
+
+
+@query("ex4_contribution_sums")
+def ex4_sums(b):
+    """Whether base and contributions add up to the margin in every final-test row."""
+    each = _tree_effects(b).groupBy("sample_key").agg((F.first("base") + F.sum("contribution") - F.first("prediction")).alias("gap"))
+    return each.agg((F.max(F.abs("gap")) < 1e-9).alias("adds_up"))
+
+
 @query("snk10_prediction_table")
 def snk10(b):
     from tonnage.sources.scratch import scratch

@@ -353,7 +353,7 @@ _SW = "mean_value minimum_value maximum_value standard_deviation amplitude out_o
 SW_SQL = sql("", f"""SELECT user_id, event_type, strftime(w, {TS}) AS window_start_ts, strftime(w + INTERVAL 1 DAY, {TS}) AS feature_available_at_ts, reading_count, {cols(_SW, 5)}, round(slope * 1e6, 3) + 0.0 AS slope_micro FROM (
   SELECT user_id, event_type, date_trunc('day', ts) AS w, count(*) AS reading_count, avg(value) AS mean_value, min(value) AS minimum_value, max(value) AS maximum_value, stddev_pop(value) AS standard_deviation,
     max(value) - min(value) AS amplitude, avg((NOT value BETWEEN 1 AND 60)::INT) * 100.0::DOUBLE AS out_of_range_pct,
-    CASE WHEN count(*) > 1 THEN regr_slope(value, epoch_us(ts) / 1000000.0::DOUBLE % (86400.0::DOUBLE * 365)) END AS slope FROM events GROUP BY 1, 2, 3) x""")
+    CASE WHEN count(*) > 1 THEN regr_slope(value, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 1000000.0::DOUBLE) END AS slope FROM events GROUP BY 1, 2, 3) x""")
 
 
 def _sw_rows(df):
@@ -363,12 +363,17 @@ def _sw_rows(df):
     return S.rounded(micro, 5, {"slope_micro": 3})
 
 
-@query("sw1_window_summary", SW_SQL.replace("round(slope * 1e6, 3) + 0.0", "round(round(slope * 1e6, 3) * 1.000000000001::DOUBLE, 3) + 0.0"))
+_SW_ALL = SW_SQL.replace("round(slope * 1e6, 3) + 0.0", "round(round(slope * 1e6, 3) * 1.000000000001::DOUBLE, 3) + 0.0")
+# a stream emits the windows that the watermark, an hour behind the newest event, has passed
+_SW_FINISHED = _SW_ALL + " WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("sw1_window_summary", _SW_ALL)
 def sw1(b):
     return _sw_rows(window_summary(b.table("events"), "user_id", "event_type", "ts", "value", 1.0, 60.0, width="1 day"))
 
 
-@query("sw1_streaming_windows")
+@query("sw1_streaming_windows", _SW_FINISHED)
 def sw1_stream(b):
     """The same plan as a stream over the event files: finished windows only, appended once."""
     path = scratch(b.spark)
@@ -377,4 +382,21 @@ def sw1_stream(b):
     stream = b.spark.readStream.schema(source.schema).parquet(f"{path}/in")
     running = stream_window_summary(stream, f"{path}/out", f"{path}/state", watermark="1 hour", entity="user_id", sensor="event_type", ts="ts", value="value", low=1.0, high=60.0, width="1 day")
     running.awaitTermination()
-    return b.spark.read.parquet(f"{path}/out")
+    return _sw_rows(b.spark.read.parquet(f"{path}/out"))
+
+
+@query("sw1_restarted_stream", _SW_FINISHED)
+def sw1_restarted(b):
+    """Events in two deliveries, the query stopped between them: the second brings the last odd events of the first half
+    late and every even event of it again. Each event counts once."""
+    path = scratch(b.spark)
+    source = b.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = source.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    half = F.lit(ends["a"] + (ends["z"] - ends["a"]) / 2)
+    early, held = F.col("ts") < half, (F.col("ts") >= half - F.expr("INTERVAL 30 MINUTES")) & (F.col("event_id") % 2 == 1)
+    columns = dict(entity="user_id", sensor="event_type", ts="ts", value="value", low=1.0, high=60.0, width="1 day", identity="event_id")
+    for delivery in (source.filter(early & ~held), source.filter(~early | held | (F.col("event_id") % 2 == 0))):
+        delivery.write.mode("append").parquet(f"{path}/in")
+        stream = b.spark.readStream.schema(source.schema).parquet(f"{path}/in")
+        stream_window_summary(stream, f"{path}/out", f"{path}/state", watermark="1 hour", **columns).awaitTermination()
+    return _sw_rows(b.spark.read.parquet(f"{path}/out"))

@@ -14,7 +14,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Logisti
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import hash_id
@@ -23,7 +23,7 @@ from tonnage.operators.ordered import exact_quantiles
 from tonnage.plans import metrics
 from tonnage.plans.contracts import Task
 from tonnage.plans.splits import expanding_folds, task_rows
-from tonnage.sources.scratch import written
+from tonnage.sources.scratch import scratch, written
 
 SEED = 7
 
@@ -294,3 +294,52 @@ def linear_contributions(df: DataFrame, key: str, target: str, names: Sequence[s
         F.struct(F.lit(n).alias("feature"), (F.lit(row[f"s_{n}"] or 0.0) * (F.col(n).cast("double") - F.lit(row[f"m_{n}"]))).alias("contribution")) for n in names
     ])
     return df.select(key, *keep, F.inline(parts))
+
+
+def leaf_contributions(model, size: int) -> DataFrame:
+    """(tree, leaf, base, gains): what each leaf of a boosted ensemble adds to the prediction, by feature number.
+
+    Every split on the way from the root to a leaf credits its feature with the change of the node's mean it brings, times
+    the weight of the tree; `base` is the weighted mean of the root. Leaves are numbered as in `leafCol`, by node number.
+    The table has at most trees x 2^depth rows of `size` doubles, whatever the number of samples.
+    """
+    spark = SparkSession.active()
+    path = f"{scratch(spark)}/ensemble"
+    model.write().save(path)
+    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.treeWeights)], "tree int, weight double")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), F.col("nodeData.prediction").alias("mean"),
+        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"), F.col("nodeData.split.featureIndex").alias("feature"))
+    nodes = written(nodes.join(weights, "tree").withColumn("mean", F.col("mean") * F.col("weight")).drop("weight"), "nodes")
+    child = nodes.filter("left < 0 OR node > 0").select("tree", F.col("node").alias("child"), F.col("mean").alias("child_mean"), F.col("left").alias("child_left"), F.col("right").alias("child_right"), F.col("feature").alias("child_feature"))
+    here = nodes.filter("node = 0").select("*", F.col("mean").alias("base"), F.array_repeat(F.lit(0.0), size).alias("gains"))
+    leaves = here.filter("left < 0").select("tree", "node", "base", "gains")
+    for _ in range(max(t.depth for t in model.trees)):
+        below = here.filter("left >= 0").select("*", F.explode(F.array("left", "right")).alias("child")).join(child, ["tree", "child"])
+        gain = F.col("child_mean") - F.col("mean")
+        # a step of its own: beside the new names, the lambda would read those instead of the parent's columns
+        below = below.withColumn("gains", F.transform("gains", lambda g, i: F.when(i == F.col("feature"), g + gain).otherwise(g)))
+        here = below.select(
+            "tree", F.col("child").alias("node"), F.col("child_mean").alias("mean"), F.col("child_left").alias("left"), F.col("child_right").alias("right"), F.col("child_feature").alias("feature"), "base", "gains")
+        leaves = leaves.unionByName(here.filter("left < 0").select("tree", "node", "base", "gains"))
+    numbered = F.row_number().over(Window.partitionBy("tree").orderBy("node")) - 1
+    return leaves.select("tree", numbered.alias("leaf"), "base", "gains")
+
+
+def tree_contributions(fitted: Fitted, df: DataFrame, key: str = "sample_key", keep: Sequence[str] = ()) -> DataFrame:
+    """Long table (key, *keep, base, prediction, feature, contribution) of a boosted model over the rows of `df`.
+
+    `base` plus the contributions of a row are its prediction (regression) or its margin (classification), to rounding.
+    `key` is unique in `df`. Each row meets one leaf a tree; the sums of a row are complete before the shuffle.
+    """
+    names = fitted.preprocessor.features.all
+    model = fitted.model.copy({fitted.model.leafCol: "__leaves"})
+    scored = with_score(model, fitted.preprocessor.transform(df), fitted.task.kind)
+    value = F.col("prediction" if fitted.task.kind == "regression" else "score")
+    met = scored.select(key, *keep, value.alias("__value"), F.posexplode(vector_to_array("__leaves")).alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+    # bounded by trees x 2^depth, see leaf_contributions
+    each = met.join(F.broadcast(written(leaf_contributions(fitted.model, len(names)), "leaves")), ["tree", "leaf"])
+    sums = each.groupBy(key).agg(
+        *[F.first(c).alias(c) for c in keep], F.sum("base").alias("base"), F.first("__value").alias("prediction"), *[F.sum(F.col("gains")[i]).alias(f"__g{i}") for i in range(len(names))])
+    parts = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"__g{i}").alias("contribution")) for i, n in enumerate(names)])
+    return sums.select(key, *keep, "base", "prediction", F.inline(parts))

@@ -9,16 +9,23 @@ from tonnage.functions.scalar import epoch_micros, flag
 
 
 def window_summary(
-    readings: DataFrame, entity: str, sensor: str, ts: str, value: str, low: float, high: float, width: str = "2 minutes", watermark: str | None = None
+    readings: DataFrame, entity: str, sensor: str, ts: str, value: str, low: float, high: float, width: str = "2 minutes", watermark: str | None = None,
+    identity: str | None = None,
 ) -> DataFrame:
     """Statistics per entity, sensor and tumbling window. A window's facts are available from its end.
 
-    With `watermark`, a streaming input emits each window once, in append mode, when it can no longer change.
+    With `watermark`, a streaming input emits each window once, in append mode, when it can no longer change: readings up
+    to that much behind the newest count, later ones are dropped. With `identity`, a reading sent again counts
+    once: a repeat has the same identity, entity, sensor, time and value. A stream keeps a reading in mind only until the
+    watermark has passed its time; a repeat that comes after that is dropped as late.
     """
     source = readings.withWatermark(ts, watermark) if watermark else readings
-    second = (epoch_micros(ts) / F.lit(1_000_000.0)) % F.lit(86_400.0 * 365)
+    if identity:
+        source = source.dropDuplicates([identity, entity, sensor, ts, value])
+    source = source.withColumn("window", F.window(ts, width))
+    second = (epoch_micros(ts) - epoch_micros(F.col("window.start"))) / F.lit(1_000_000.0)
     x = F.col(value)
-    out = source.groupBy(F.col(entity), F.col(sensor), F.window(ts, width)).agg(
+    out = source.groupBy(F.col(entity), F.col(sensor), "window").agg(
         F.count(F.lit(1)).alias("reading_count"),
         F.count(value).alias("value_count"),
         F.avg(x).alias("mean_value"),
@@ -48,6 +55,9 @@ def window_summary(
 
 
 def stream_window_summary(stream: DataFrame, path: str, checkpoint: str, watermark: str = "10 minutes", **columns):
-    """Start an append-mode query that writes finished windows as Parquet; returns the running query."""
+    """Start an append-mode query that writes finished windows as Parquet; returns the running query.
+
+    A query stopped at any point goes on from `checkpoint`: state and offsets are read back, and the file sink's log holds
+    each batch once, so a batch that runs again leaves no second copy for readers of `path`."""
     summary = window_summary(stream, watermark=watermark, **columns)
     return summary.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
