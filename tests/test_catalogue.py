@@ -31,3 +31,10 @@ def test_against_sql(spark, name):
     want = sorted((tuple(repr(r[i]) for i in order) for r in cursor.fetchall()))
     got = sorted(tuple(repr(v) for v in r) for r in df.select(*pick).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["sc15_medoids"])
+def test_every_label_is_a_context(spark, name):
+    directory = "/root/testdata/sf0.01"
+    labels = {r[0] for r in spark.read.parquet(f"{directory}/embeddings.parquet").select("label").distinct().collect()}
+    assert {r["label"] for r in entry.queries()[name](spark, directory).select("label").distinct().collect()} == labels
