@@ -33,7 +33,7 @@ def test_against_sql(spark, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["sc15_medoids"])
+@pytest.mark.parametrize("name", ["sc15_medoids", "sc19_probes"])
 def test_every_label_is_a_context(spark, name):
     directory = "/root/testdata/sf0.01"
     labels = {r[0] for r in spark.read.parquet(f"{directory}/embeddings.parquet").select("label").distinct().collect()}
