@@ -38,3 +38,10 @@ def test_every_label_is_a_context(spark, name):
     directory = "/root/testdata/sf0.01"
     labels = {r[0] for r in spark.read.parquet(f"{directory}/embeddings.parquet").select("label").distinct().collect()}
     assert {r["label"] for r in entry.queries()[name](spark, directory).select("label").distinct().collect()} == labels
+
+
+def test_front_of_all_scenarios(spark):
+    directory = "/root/testdata/sf0.01"
+    front = {r["scenario_id"] for r in entry.queries()["sc9_pareto_front"](spark, directory).collect()}
+    refused = {r["scenario_id"] for r in entry.queries()["sc8_scenario_scores"](spark, directory).filter("NOT hard_constraints_pass").collect()}
+    assert front & refused
