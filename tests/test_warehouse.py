@@ -56,6 +56,23 @@ def test_totals_of_a_write_equal_a_second_scan(spark, build):
     assert totals.of("empty")["rows"] == 100
 
 
+def test_facts_are_made_from_the_one_stored_table_of_lines(build):
+    for fact in (build.production, build.energy_events, build.quality_results, build.process_parameters):
+        assert "tonnage_lines_" in plan_of(fact) and "Exchange" not in plan_of(fact)
+
+
+def test_repeated_part_repeats_production_only(spark, tmp_path):
+    for n in ("lineitem", "orders", "supplier", "customer", "nation", "region"):
+        shutil.copyfile(f"{SMALL}/{n}.parquet", tmp_path / f"{n}.parquet")
+    part, lines = spark.read.parquet(f"{SMALL}/part.parquet"), spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    gone = part.agg(F.max("p_partkey")).first()[0]
+    part.filter(F.col("p_partkey") != gone).unionByName(part.filter("p_partkey <= 5")).write.parquet(f"{tmp_path}/part.parquet")
+    store, n = stored_build(spark, str(tmp_path)), lines.count()
+    twice, never = lines.filter("l_partkey <= 5").count(), lines.filter(F.col("l_partkey") == gone).count()
+    assert twice and store.production.count() == n + twice - never
+    assert store.energy_events.count() == 3 * n and store.quality_results.count() == 4 * n and store.process_parameters.count() == n
+
+
 def test_store_is_shared_until_a_file_changes(spark, tmp_path):
     names = ("lineitem", "orders", "part", "supplier", "customer", "nation", "region")
     for n in names:
