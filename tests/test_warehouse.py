@@ -73,6 +73,14 @@ def test_repeated_part_repeats_production_only(spark, tmp_path):
     assert store.energy_events.count() == 3 * n and store.quality_results.count() == 4 * n and store.process_parameters.count() == n
 
 
+def test_training_rows_of_tubes_meet_where_they_lie(build):
+    from tonnage.catalog.model_queries import tube_samples
+
+    samples = tube_samples(build)
+    assert "Exchange hashpartitioning(tube_id" not in plan_of(samples)
+    assert samples.select("sample_key").distinct().count() == build.production.select("tube_id").distinct().count()
+
+
 def test_store_is_shared_until_a_file_changes(spark, tmp_path):
     names = ("lineitem", "orders", "part", "supplier", "customer", "nation", "region")
     for n in names:
