@@ -2,8 +2,10 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tonnage.operators import lookup
@@ -137,3 +139,14 @@ def test_tree_contributions_add_up_and_follow_the_paths(spark, kind):
                 want[i] += weight * (below.prediction() - node.prediction())
                 node = below
         assert all(abs(got[key, n] - w) < 1e-9 for n, w in zip(features.all, want))
+
+
+@pytest.mark.parametrize("make", [learn.logistic, lambda train: learn.forest(train, "classification", trees=3, depth=3)])
+def test_classifiers_carry_no_training_summary(spark, make):
+    draw = random.Random(3)
+    rows = [(Vectors.dense(x, draw.random()), 1.0 if x + 0.2 * draw.random() > 0.6 else 0.0) for x in (draw.random() for _ in range(300))]
+    train = spark.createDataFrame(rows, ["features", "label"])
+    model = make(train)
+    assert not model.hasSummary
+    right = learn.with_score(model, train, "classification").filter("(prediction > 0.5) = (label = 1.0)").count()
+    assert right > 240

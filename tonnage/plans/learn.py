@@ -103,17 +103,25 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", weight.cast("double"))
 
 
+def _stored(model, name: str):
+    """The model read back from shared storage: coefficients and trees only. A fitted classifier also holds the summary of its
+    training, with the training frame behind it, and its scoring function would carry all of that to the tasks."""
+    path = f"{scratch(SparkSession.active())}/{name}"
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def logistic(train: DataFrame, c: float = 0.5):
     n = train.count()
     model = LogisticRegression(labelCol="label", weightCol="weight", elasticNetParam=0.0, regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=500)
-    return model.fit(balanced(train))
+    return _stored(model.fit(balanced(train)), "logistic")
 
 
 def forest(train: DataFrame, kind: str, trees: int = 60, depth: int = 12, leaf: int = 10):
     common = dict(labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, maxBins=_bins(train), seed=SEED)
     if kind == "regression":
         return RandomForestRegressor(**common).fit(train)
-    return RandomForestClassifier(weightCol="weight", **common).fit(balanced(train))
+    return _stored(RandomForestClassifier(weightCol="weight", **common).fit(balanced(train)), "forest")
 
 
 def boosted(task: Task, train: DataFrame, tune: DataFrame, rounds: int | None = None, depth: int | None = None):
