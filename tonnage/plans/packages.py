@@ -27,7 +27,7 @@ def contract_frames(build: StoredBuild) -> dict[str, tuple[DataFrame, DataFrame,
     """Snapshot, labels, key, features and targets of the snapshots that have labels under their key."""
     windows = build.asset_snapshot.withColumnRenamed("criticality", "asset_criticality")
     return {
-        "pre_order": (build.pre_order, features.order_labels(build.production, build.order_mart), "order_id", contracts.PRE_ORDER_FEATURES, contracts.PRE_ORDER_TARGETS),
+        "pre_order": (build.pre_order, features.order_labels(build.order_rows), "order_id", contracts.PRE_ORDER_FEATURES, contracts.PRE_ORDER_TARGETS),
         "asset_window": (windows, build.window_labels, "window_id", contracts.ASSET_WINDOW_FEATURES, contracts.ASSET_WINDOW_TARGETS),
     }
 
