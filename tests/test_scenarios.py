@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tonnage.catalog import run, scenario_queries
+from tonnage.operators import neighbours
 from tonnage.operators.neighbours import knn_distance
 from tonnage.operators.skyline import skyline
 from tonnage.plans import quality, scenarios
@@ -40,6 +42,58 @@ def test_knn_distance_over_many_blocks(spark):
         assert got[i] == pytest.approx(sorted(mine)[5], abs=1e-9)
 
 
+def test_nearest_in_runs_equals_all_pairs():
+    rng = np.random.default_rng(5)
+    clouds = {
+        "plain": rng.normal(size=(1500, 11)),
+        "copies": np.repeat(rng.normal(size=(150, 4)), 10, axis=0),
+        "near copies": np.vstack([1.0 + rng.normal(size=(900, 4)) * 1e-9, rng.normal(size=(300, 4))]),
+        "far out": rng.normal(size=(1200, 3)) + 1e9,
+        "beyond single precision": rng.normal(size=(1200, 3)) * 1e25,
+        "tiny": rng.normal(size=(1200, 3)) * 1e-25,
+        "one outlier": np.vstack([rng.normal(size=(1200, 5)), np.full((1, 5), 1e7)]),
+        "not a number": np.vstack([rng.normal(size=(700, 4)), np.full((3, 4), np.nan)]),
+        "fewer than k": rng.normal(size=(3, 2)),
+    }
+    for name, cloud in clouds.items():
+        want = np.full((len(cloud), 6), np.nan)
+        want[:, : min(6, len(cloud))] = neighbours._pairwise(cloud, cloud, 6)
+        unbounded = neighbours._nearest(cloud, cloud, 6, np.full(len(cloud), np.inf))
+        assert np.array_equal(unbounded, want, equal_nan=True), name
+        bounded = neighbours._nearest(cloud, cloud, 6, want[:, 4])
+        assert np.array_equal(bounded[:, :5], np.where(want[:, 4:5] == 0, np.nan, want[:, :5]), equal_nan=True), name
+
+
+def test_runs_out_of_reach_are_not_compared():
+    line = np.sort(np.random.default_rng(6).random(8192))[:, None]
+    counted = []
+    neighbours._nearest(line, line, 6, np.full(len(line), np.inf), counted)
+    assert sum(counted) < len(line) ** 2 / 8
+
+
+def test_one_search_gives_several_distances_and_is_not_repeated(spark):
+    points = np.random.default_rng(8).normal(size=(200, 3))
+    df = spark.createDataFrame([(i, "g", [float(x) for x in points[i]]) for i in range(200)], "k int, g string, v array<double>")
+    found = knn_distance(df, df, ["g"], "k", "k", "v", {"fourth": 4, "sixth": 6}, block_rows=40)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()  # a second reader reads rows, it does not search again
+    for r in found.collect():
+        near = np.sort(np.linalg.norm(points - points[r["k"]], axis=1))
+        assert (r["fourth"], r["sixth"]) == pytest.approx((near[3], near[5]), abs=1e-12)
+
+
+def test_batch_evaluation_searches_once(spark, monkeypatch):
+    searches = []
+
+    def counting(*args, **kwargs):
+        searches.append(args[2])
+        return knn_distance(*args, **kwargs)
+
+    monkeypatch.setattr(scenario_queries, "knn_distance", counting)
+    monkeypatch.setattr(scenarios, "knn_distance", counting)
+    run("sc20_batch_evaluation", spark, "/root/testdata/sf0.001")
+    assert len(searches) == 1
+
+
 def test_envelope_accepts_medoid_and_refuses_probe(spark):
     rng = np.random.default_rng(7)
     names = [f"c{i}" for i in range(11)]

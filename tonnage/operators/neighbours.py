@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from tonnage.sources.scratch import written
 _BITS = 60
 #: Blocks of one super-block, whose box is looked at before theirs; lists of distances that one merge takes.
 FAN_IN = 64
+#: Rows of one run inside a block, skipped or compared as a whole.
+RUN = 512
 
 
 def _pairwise(left: np.ndarray, right: np.ndarray, k: int, chunk: int = 512) -> np.ndarray:
@@ -33,6 +35,67 @@ def _pairwise(left: np.ndarray, right: np.ndarray, k: int, chunk: int = 512) ->
     return out
 
 
+def _merge(near: np.ndarray, rows: np.ndarray, more: np.ndarray) -> None:
+    near[rows] = np.sort(np.concatenate([near[rows], more], axis=1), axis=1)[:, : near.shape[1]]
+
+
+def _flat(rows: np.ndarray, middle: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a matrix whose product with that of the other side holds the squared distances; the rows' squared lengths."""
+    rows = rows - middle
+    squares, ones = np.square(rows).sum(axis=1, keepdims=True), np.ones((len(rows), 1))
+    return np.hstack([-2.0 * rows, ones, squares] if left else [rows, squares, ones]).astype(np.float32), squares[:, 0]
+
+
+def _nearest(points: np.ndarray, support: np.ndarray, k: int, far: np.ndarray, counted: list[int] | None = None) -> np.ndarray:
+    """k smallest distances from each point, ascending, filled up with NaN; those beyond the point's bound `far` may be missing.
+
+    Rows are taken in runs. A run of points meets the runs of support from the nearest on, and each point only those
+    whose box lies within its bound, which falls with every run. A matrix product in single precision, with room for its
+    rounding, tells the pairs that may lie within the bounds; only these are measured, as in `_pairwise`. The order of the
+    rows changes no distance; along a curve the boxes are small. `counted` gets the number of pairs in each product.
+    """
+    near, far = np.full((len(points), k), np.nan), np.where(np.isnan(far), np.inf, far)
+    runs = [support[i : i + RUN] for i in range(0, len(support), RUN)]
+    low, high = (np.stack([f.reduce(run, axis=0) for run in runs]) for f in (np.fmin, np.fmax))
+    slack = 2.4e-7 * (support.shape[1] + 4)
+    with np.errstate(all="ignore"):  # pairs that single precision cannot judge are measured
+        middle = np.nan_to_num(support).mean(axis=0)
+        flats = [_flat(run, middle, False) for run in runs]
+        for start in range(0, len(points), RUN):
+            mine, bound, best = (x[start : start + RUN] for x in (points, far, near))
+            product, lengths = _flat(mine, middle, True)
+            centre = mine.mean(axis=0)
+            for j in np.argsort(np.square(np.maximum(np.maximum(low - centre, centre - high), 0.0)).sum(axis=1), kind="stable"):
+                gap = np.zeros(len(mine))
+                for d in range(mine.shape[1]):
+                    gap += np.square(np.maximum(np.maximum(low[j, d] - mine[:, d], mine[:, d] - high[j, d]), 0.0))
+                reach = np.square(bound) * (1.0 + 1e-12)
+                rows = np.flatnonzero(~(gap > reach) & (bound > 0.0))  # below a bound of zero there is nothing
+                if not rows.size:
+                    continue
+                flat, others = flats[j]
+                limit = (reach[rows] + slack * (lengths[rows] + others.max()) + 1e-30).astype(np.float32)
+                i, c = np.divmod(np.flatnonzero(~(product[rows] @ flat.T > limit[:, None])), len(flat))
+                if counted is not None:
+                    counted.append(len(rows) * len(flat))
+                many = np.bincount(i, minlength=len(rows)) > 8 * k
+                if many.any():  # no bound yet, or many rows alike
+                    _merge(best, rows[many], _pairwise(mine[rows[many]], runs[j], k))
+                    i, c = i[~many[i]], c[~many[i]]
+                if i.size:
+                    squared = np.zeros(len(i))
+                    for d in range(mine.shape[1]):
+                        squared += np.square(mine[rows[i], d] - runs[j][c, d])
+                    order = np.lexsort((squared, i))
+                    found, first, line = np.unique(i[order], return_index=True, return_inverse=True)
+                    place = np.arange(len(i)) - first[line]
+                    more = np.full((len(found), k), np.nan)
+                    more[line[place < k], place[place < k]] = np.sqrt(squared[order][place < k])
+                    _merge(best, rows[found], more)
+                np.fmin(bound, best[:, k - 1], out=bound)
+    return near
+
+
 def _curve(size: int) -> Column:
     """Place of __v on a Z-order curve over the group's mean and deviation per dimension (__m, __s)."""
     dims = min(size, _BITS)
@@ -68,34 +131,38 @@ def _near(points: DataFrame, support: DataFrame, cell: list[str], by: list[str],
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({f.name: [] for f in fields})
-        near = _pairwise(np.stack(a["__v"].to_numpy()), np.stack(b["__r__v"].to_numpy()), k)
+        a, b = a.sort_values("__z"), b.sort_values("__r__z")
+        far = a["__far"].to_numpy() if bounded else np.full(len(a), np.inf)
+        near = _nearest(np.stack(a["__v"].to_numpy()), np.stack(b["__r__v"].to_numpy()), k, far)[:, : len(b)]
         result = a[[*by, key]].reset_index(drop=True)
-        result["__near"] = [row[row <= far] for row, far in zip(near, a["__far"], strict=True)] if bounded else list(near)
+        result["__near"] = [row[row <= most] for row, most in zip(near, far, strict=True)] if bounded else list(near)
         return result[result["__near"].map(len) > 0]
 
-    kept = points.select(*cell, *[c for c in (*by, key) if c not in cell], "__v", *(["__far"] if bounded else []))
+    kept = points.select(*cell, *[c for c in (*by, key) if c not in cell], "__v", "__z", *(["__far"] if bounded else []))
     # fresh names keep the two sides apart when points and support come from one frame
-    opposite = support.select(*[F.col(c).alias(n) for c, n in zip(cell, names, strict=True)], F.col("__v").alias("__r__v"))
+    opposite = support.select(*[F.col(c).alias(n) for c, n in zip(cell, names, strict=True)], F.col("__v").alias("__r__v"), F.col("__z").alias("__r__z"))
     return kept.groupBy(*cell).cogroup(opposite.groupBy(*names)).applyInPandas(compare, fields)
 
 
 def knn_distance(
-    points: DataFrame, support: DataFrame, by: Sequence[str], key: str, support_key: str, vector: str, k: int, out: str = "distance", block_rows: int = 4096,
+    points: DataFrame, support: DataFrame, by: Sequence[str], key: str, support_key: str, vector: str, k: int | Mapping[str, int], out: str = "distance", block_rows: int = 16384,
     visited: list[int] | None = None,
 ) -> DataFrame:
-    """by, key, `out`: distance of each point to its k-th nearest support row of the same group.
+    """by, key, `out`: distance of each point to its k-th nearest support row of the same group, written once.
 
+    With column names and their k in place of k, one search gives all of these columns.
     Support rows are ranked along a Z-order curve and cut into blocks of `block_rows`, each with its box. A point first meets
     the block at its own place on the curve, which bounds its k-th distance from above; after that a block of points meets
     only the blocks whose box lies within the bound of one of its points (boxes of FAN_IN blocks are tried first). A task
-    compares one block with one block and emits up to k distances a point; these lists are merged FAN_IN at a time.
+    compares one block with one block, run by run, and emits up to k distances a point; these lists are merged FAN_IN at a time.
     Null when the group has fewer than k support rows. `visited` gets the number of block pairs compared after the first.
     """
-    by = list(by)
+    by, wanted = list(by), dict(k) if isinstance(k, Mapping) else {out: k}
+    k = max(wanted.values())
     rows = written(support.select(*by, F.col(support_key).alias("__key"), F.col(vector).alias("__v")), "rows")
     peek = rows.select(F.size("__v").alias("n")).first()
     if peek is None:
-        return points.select(*by, key, F.lit(None).cast("double").alias(out)).limit(0)
+        return points.select(*by, key, *[F.lit(None).cast("double").alias(name) for name in wanted]).limit(0)
     size = peek["n"]
     shape = rows.groupBy(*by).agg(
         F.array(*[F.avg(F.col("__v")[i]) for i in range(size)]).alias("__m"), F.array(*[F.stddev_pop(F.col("__v")[i]) for i in range(size)]).alias("__s"), F.count(F.lit(1)).alias("__all")
@@ -113,7 +180,7 @@ def knn_distance(
     cells = asked.groupBy(*by, "__sb").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("__parts"))
     asked = null_safe_join(asked, cells, [*by, "__sb"]).withColumn("__pb", F.pmod(F.xxhash64(key), F.col("__parts"))).drop("__upto", "__parts")
     asked = written(asked, "points")
-    copies = null_safe_join(blocks.select(*by, "__sb", "__v"), cells, [*by, "__sb"])
+    copies = null_safe_join(blocks.select(*by, "__sb", "__v", "__z"), cells, [*by, "__sb"])
     copies = copies.withColumn("__pb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
     own = written(_near(asked, copies, [*by, "__sb", "__pb"], by, key, k, bounded=False), "own")
 
@@ -130,9 +197,9 @@ def knn_distance(
     if visited is not None:
         visited.append(pairs.count())
     visitors = null_safe_join(bounded, pairs, mine).withColumns({"__plo": F.col("__v"), "__phi": F.col("__v")})
-    visitors = visitors.filter(_gap("__p", "__b") <= F.col("__far") * close).drop("__plo", "__phi", "__blo", "__bhi", "__z")
+    visitors = visitors.filter(_gap("__p", "__b") <= F.col("__far") * close).drop("__plo", "__phi", "__blo", "__bhi")
     cell = [*mine, "__other"]
-    hosts = null_safe_join(blocks.select(*by, F.col("__sb").alias("__other"), "__v"), visitors.select(*cell).distinct(), [*by, "__other"])
+    hosts = null_safe_join(blocks.select(*by, F.col("__sb").alias("__other"), "__v", "__z"), visitors.select(*cell).distinct(), [*by, "__other"])
     more = _near(visitors, hosts, cell, by, key, k, bounded=True)
 
     lists = own.unionByName(more).withColumn("__slot", F.pmod(F.xxhash64("__near"), F.lit(FAN_IN * FAN_IN)))
@@ -141,4 +208,4 @@ def knn_distance(
     if most >= FAN_IN:  # first merges of a bounded number of lists
         lists = written(lists, "lists").groupBy(*by, key, "__slot").agg(few)
     merged = lists.groupBy(*by, key).agg(few)
-    return merged.select(*by, key, F.try_element_at("__near", F.lit(k)).alias(out))
+    return written(merged.select(*by, key, *[F.try_element_at("__near", F.lit(n)).alias(name) for name, n in wanted.items()]), "distances")
