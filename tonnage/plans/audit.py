@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonnage.functions.scalar import null_safe_join, safe_corr
-from tonnage.operators.ordered import average_ranks
+from tonnage.operators.ordered import average_ranks, average_ranks_together
+from tonnage.sources.scratch import written
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), min_rows: int = 20) -> DataFrame:
@@ -50,9 +51,7 @@ def audit_pairs(df: DataFrame, mechanisms: Sequence[Mechanism], threshold: float
             row = spearman(df, m.signal, m.target, min_rows=min_rows).select(F.lit(i).alias("__i"), "pairs", "rho")
             rows = row if rows is None else rows.unionByName(row)
     else:
-        ranked = df.select(*columns)
-        for c in columns:
-            ranked = ranked.join(average_ranks(df.select(c), [], c, f"__rank_{c}").drop(f"__rank_{c}_ties"), c)
+        ranked = average_ranks_together(df.select(*columns), {c: f"__rank_{c}" for c in columns})
         rhos = [safe_corr(f"__rank_{m.signal}", f"__rank_{m.target}").alias(f"r{i}") for i, m in enumerate(mechanisms)]
         wide = ranked.agg(F.count(F.lit(1)).alias("pairs"), *rhos)
         parts = F.array(*[F.struct(F.lit(i).alias("__i"), F.when(F.col("pairs") >= min_rows, F.col(f"r{i}")).alias("rho")) for i in range(len(mechanisms))])
@@ -78,7 +77,8 @@ def recovered(audit: DataFrame, expected: DataFrame, importance: DataFrame, top:
     `expected`: mechanism, feature. `importance`: feature, rank.
     """
     ranked = expected.join(importance.filter(F.col("rank") <= top), "feature", "left_semi").select("mechanism").distinct()
-    hits = audit.join(ranked.withColumn("feature_ranked", F.lit(True)), "mechanism", "left")
+    # a row for each mechanism, read twice
+    hits = written(audit, "audit").join(ranked.withColumn("feature_ranked", F.lit(True)), "mechanism", "left")
     hits = hits.withColumn("feature_ranked", F.coalesce("feature_ranked", F.lit(False)))
     hits = hits.withColumn("recovered", F.col("associated") & F.col("feature_ranked"))
     total = hits.agg(F.count_if("recovered").alias("n")).scalar()
