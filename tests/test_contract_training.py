@@ -1,15 +1,55 @@
-"""Tasks read tubes of one line without joining them."""
+"""Tasks train the rounds and depth of their contract, and read tubes of one line without joining them."""
 
+import inspect
+import math
+
+import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tonnage.catalog import model_queries as models
-from tonnage.plans import features
+from tonnage.plans import features, learn
 from tonnage.plans.build import Build
+from tonnage.plans.contracts import Task
 from tonnage.session import configure
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_the_round_that_is_kept():
+    assert learn.best_round([5.0, 4.0, 4.5, 3.0], 2) == (4, False)
+    assert learn.best_round([5.0, 4.0, 4.5, 4.5, 3.0], 2) == (2, True)
+    assert learn.best_round([5.0] * 30, 20) == (1, True)
+    assert learn.best_round([math.nan] * 6, 2) == (6, False)
+
+
+def test_tasks_have_no_other_rounds_than_their_own():
+    assert not {"rounds", "depth"} & set(inspect.signature(learn.run_tasks).parameters)
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    rows = [(Vectors.dense(float(i % 20)), float(i % 20)) for i in range(200)]
+    return spark.createDataFrame(rows, ["features", "label"]).cache()
+
+
+def test_slow_progress_trains_all_rounds(steps):
+    # a round takes less than a hundredth off the tuning error, where Spark's own stop ends
+    model = learn.boosted(Task("t", "s", "label", "regression", depth=2, rate=0.002, rounds=33), steps, steps)
+    assert len(model.trees) == 33
+
+
+def test_no_progress_keeps_the_best_round(steps):
+    against = steps.withColumn("label", F.lit(9.5))  # every round away from the mean is worse
+    task = Task("t", "s", "label", "regression", depth=2, rate=0.5, rounds=40)
+    model = learn.boosted(task, steps, against)
+    whole = learn.GBTRegressor(labelCol="label", maxDepth=2, stepSize=0.5, maxIter=30, seed=learn.SEED).fit(steps)
+    errors = whole.evaluateEachIteration(against, "absolute")
+    best = errors.index(min(errors)) + 1
+    assert len(model.trees) == best < 30
+    assert [t.toDebugString.split("\n", 1)[1] for t in model.trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.trees[:best]]
+
+
 class OneLineTubes(Build):
     @property
     def production(self):
