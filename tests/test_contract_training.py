@@ -8,7 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tonnage.catalog import model_queries as models
-from tonnage.plans import features, learn
+from tonnage.plans import features, learn, splits
 from tonnage.plans.build import Build
 from tonnage.plans.contracts import Task
 from tonnage.session import configure
@@ -27,6 +27,19 @@ def test_tasks_have_no_other_rounds_than_their_own():
     assert not {"rounds", "depth"} & set(inspect.signature(learn.run_tasks).parameters)
 
 
+def test_tasks_of_two_snapshots_side_by_side(spark):
+    rows = spark.range(400).select(
+        F.col("id").alias("sample_key"), F.expr("timestampadd(DAY, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-01')").alias("snapshot_ts"), (F.col("id") % 3).cast("string").alias("c"),
+        (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 + F.col("id") % 3).cast("double").alias("y"), (F.col("id") % 7 > 3).alias("high"))
+    rows = splits.temporal_split(rows.withColumn("label_ts", F.col("snapshot_ts")), "snapshot_ts", "label_ts")
+    tasks = [Task("a", "one", "y", "regression", depth=2, rounds=3, quantiles=True), Task("b", "two", "high", "classification", depth=2, rounds=2), Task("c", "one", "y", "regression", depth=1, rounds=1)]
+    frames, takes = {"one": rows, "two": rows}, learn.Features(("c",), ("x",))
+    out = learn.run_tasks(tasks, frames, {n: takes for n in frames}, {n: ["c"] for n in frames}).collect()
+    assert [t for i, t in enumerate([r["task"] for r in out]) if i == 0 or out[i - 1]["task"] != t] == ["a", "b", "c"]
+    mae = {(r["task"], r["model"]): r["value"] for r in out if r["metric"] == "mae"}
+    assert mae["a", "boosted"] < mae["c", "boosted"] and mae["a", "boosted"] < mae["a", "global"]
+
+
 @pytest.fixture(scope="module")
 def steps(spark):
     rows = [(Vectors.dense(float(i % 20)), float(i % 20)) for i in range(200)]
